@@ -135,7 +135,8 @@ def body_text(
 ) -> Column:
     """Readable body; truncated, then redacted if categories are given.
 
-    One UDF does all of it, so that a body crosses to Python once. HTML is handed over
+    One UDF does all of it, so that a body crosses to Python once, and filters on the
+    result stay above it instead of rendering bodies a second time. HTML is handed over
     only where there is no plain text.
     """
     rules = rules_for(categories) if categories else ()
@@ -149,4 +150,4 @@ def body_text(
 
     plain = trim_ws(joined_bodies(parts, "text/plain"))
     html = F.when(plain == "", joined_bodies(parts, "text/html")).otherwise("")
-    return body_text_udf(plain, html)
+    return body_text_udf.asNondeterministic()(plain, html)

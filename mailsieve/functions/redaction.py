@@ -90,8 +90,14 @@ def redact(c: Column, categories: Sequence[str] = DEFAULT_CATEGORIES, enabled: b
     return _redact_rules(c, rules)
 
 
-def redact_text(c: Column, categories: Sequence[str] = DEFAULT_CATEGORIES, enabled: bool = True) -> Column:
-    """Only the redacted text."""
+def redact_text(
+    c: Column,
+    categories: Sequence[str] = DEFAULT_CATEGORIES,
+    enabled: bool = True,
+    pinned: bool = False,
+) -> Column:
+    """Only the redacted text. ``pinned`` keeps filters on the result above the UDF, so
+    that it runs once per row."""
     rules = rules_for(categories)
     if not enabled or not rules:
         return c
@@ -100,7 +106,7 @@ def redact_text(c: Column, categories: Sequence[str] = DEFAULT_CATEGORIES, enabl
     def redact_text_udf(texts: pa.Array) -> pa.Array:
         return redact_batch(texts, rules)[0]
 
-    return redact_text_udf(c)
+    return (redact_text_udf.asNondeterministic() if pinned else redact_text_udf)(c)
 
 
 def redact_addresses(c: Column, patterns: Sequence[str] | None = None) -> Column:

@@ -53,7 +53,7 @@ def _flag(c: Column) -> Column:
 
 
 def _body_html(o: ExportOptions) -> Column:
-    return redact_text(body_html(F.col("parts"), o.body_max_chars), o.categories, o.sanitize)
+    return redact_text(body_html(F.col("parts"), o.body_max_chars), o.categories, o.sanitize, pinned=True)
 
 
 def _body_text(o: ExportOptions) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve.functions.headers import header
-from mailsieve.functions.parts import attachment_summary
+from mailsieve.functions.parts import attachment_summary, body_text
 
 
 def _labels() -> Column:
@@ -59,6 +59,13 @@ def subject_contains(phrase: str) -> Column:
     return text_contains(header(F.col("headers"), "Subject"), phrase)
 
 
+def phrase_search(messages: DataFrame, phrase: str) -> DataFrame:
+    """Messages with the phrase in the subject or the readable body."""
+    bodies = messages.withColumn("_body", body_text(F.col("parts")))
+    hit = subject_contains(phrase) | text_contains(F.col("_body"), phrase)
+    return bodies.where(hit).drop("_body")
+
+
 def has_attachment() -> Column:
     return attachment_summary(F.col("parts"))["has"]
 
