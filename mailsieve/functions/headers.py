@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mailsieve.functions.once import once
 from mailsieve.functions.whitespace import trim_ws
 
 # Address shapes. ``$`` would also match before a final newline on the
@@ -25,28 +26,36 @@ def header(headers: Column, name: str) -> Column:
 
 def parse_email(raw: Column) -> Column:
     """``struct(name, email)`` of a single mailbox header."""
-    s = trim_ws(F.coalesce(raw, F.lit("")))
-    display = F.regexp_extract(s, BRACKET_FORM, 1)
-    inside = F.regexp_extract(s, BRACKET_FORM, 2)
-    found = F.when(F.contains(s, F.lit("@")), F.lower(F.regexp_extract(s, ADDRESS_FORM, 0))).otherwise("")
-    # The lower-cased address is removed once and literally: if the text spells it in
-    # capitals, it stays part of the name.
-    at = F.instr(s, found)
-    without = F.when(at > 0, F.concat(F.left(s, at - 1), F.substr(s, at + F.length(found)))).otherwise(s)
-    bracketed = (display != "") & (inside != "")
-    return F.struct(
-        F.when(bracketed, trim_ws(F.replace(display, F.lit('"'), F.lit(""))))
-        .when(found != "", trim_ws(F.translate(without, '<>"', "")))
-        .otherwise("")
-        .alias("name"),
-        F.when(bracketed, F.lower(trim_ws(inside))).otherwise(found).alias("email"),
-    )
+
+    def scan(s: Column) -> Column:
+        found = F.when(F.contains(s, F.lit("@")), F.lower(F.regexp_extract(s, ADDRESS_FORM, 0)))
+        return F.struct(
+            s.alias("s"),
+            F.regexp_extract(s, BRACKET_FORM, 1).alias("display"),
+            F.regexp_extract(s, BRACKET_FORM, 2).alias("inside"),
+            found.otherwise("").alias("found"),
+        )
+
+    def choose(t: Column) -> Column:
+        s, found = t["s"], t["found"]
+        # The lower-cased address is removed once and literally: if the text spells it in
+        # capitals, it stays part of the name.
+        at = F.instr(s, found)
+        cut = F.concat(F.left(s, at - 1), F.substr(s, at + F.length(found)))
+        rest = F.translate(F.when(at > 0, cut).otherwise(s), '<>"', "")
+        bracketed = (t["display"] != "") & (t["inside"] != "")
+        display = F.replace(t["display"], F.lit('"'), F.lit(""))
+        return F.struct(
+            trim_ws(F.when(bracketed, display).when(found != "", rest).otherwise("")).alias("name"),
+            F.when(bracketed, F.lower(trim_ws(t["inside"]))).otherwise(found).alias("email"),
+        )
+
+    return once(once(trim_ws(F.coalesce(raw, F.lit(""))), scan), choose)
 
 
 def email_domain(email: Column) -> Column:
     """Everything after the first ``@``, lower-cased; empty without one."""
-    at = F.instr(email, "@")
-    return F.when(at > 0, F.lower(F.substr(email, at + 1))).otherwise("")
+    return F.lower(F.regexp_extract(email, r"(?s)@(.*)", 1))
 
 
 def contacts(address_list: Column) -> Column:

@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mailsieve.functions.once import once
 from mailsieve.functions.redaction import redact_batch
 from mailsieve.functions.redaction_rules import rules_for
 from mailsieve.functions.text import body_text_batch
@@ -18,9 +19,29 @@ MAX_DEPTH = 16
 _PAD = 6
 
 
+def _node(path: Column, tree: Column) -> Column:
+    below = F.try_variant_get(tree, "$.parts", "array<variant>")
+    return F.struct(
+        path.alias("path"),
+        tree.alias("v"),
+        F.coalesce(below, F.array().cast("array<variant>")).alias("below"),
+    )
+
+
 def _children(node: Column) -> Column:
-    found = F.try_variant_get(node["v"], "$.parts", "array<variant>")
-    return F.coalesce(found, F.array().cast("array<variant>"))
+    count = F.size(node["below"])
+    numbers = F.slice(F.sequence(F.lit(0), count), F.lit(1), count)
+    rows = F.arrays_zip(
+        F.array_repeat(node["path"], count).alias("parent"), numbers.alias("i"), node["below"].alias("v")
+    )
+
+    def child(row: Column) -> Column:
+        position = F.when(row["i"] < 10**_PAD, F.lpad(row["i"].cast("string"), _PAD, "0")).otherwise(
+            F.raise_error(F.lit("too many sibling parts")).cast("string")
+        )
+        return _node(F.concat(row["parent"], F.lit("."), position), row["v"])
+
+    return F.transform(rows, child)
 
 
 def flatten_parts(payload: Column, max_depth: int = MAX_DEPTH) -> Column:
@@ -28,35 +49,21 @@ def flatten_parts(payload: Column, max_depth: int = MAX_DEPTH) -> Column:
 
     The tree is unrolled level by level; zero-padded paths then give the order. A tree
     deeper than ``max_depth`` raises instead of losing parts.
+
+    No lambda below reads a variable of an enclosing one: Spark 4.1 does not recognise such
+    expressions when they end up as the input of a Python UDF.
     """
+    top = F.array(F.array(_node(F.lit(""), payload)))
+
+    def add_level(levels: Column, _: Column) -> Column:
+        return F.concat(levels, F.array(F.flatten(F.transform(F.element_at(levels, -1), _children))))
 
-    def child_of(node: Column):
-        def child(v: Column, i: Column) -> Column:
-            index = F.when(i < 10**_PAD, F.lpad(i.cast("string"), _PAD, "0")).otherwise(
-                F.raise_error(F.lit("too many sibling parts"))
-            )
-            depth = F.when(node["depth"] < max_depth, node["depth"] + 1).otherwise(
-                F.raise_error(F.lit(f"MIME tree deeper than {max_depth}")).cast("int")
-            )
-            return F.struct(
-                F.concat(node["path"], F.lit("."), index).alias("path"),
-                depth.alias("depth"),
-                v.alias("v"),
-            )
-
-        return child
-
-    def add_level(seen: Column, level: Column) -> Column:
-        frontier = F.filter(seen, lambda n: n["depth"] == level - 1)
-        below = F.transform(frontier, lambda n: F.transform(_children(n), child_of(n)))
-        return F.concat(seen, F.flatten(below))
-
-    root = F.array(F.struct(F.lit("").alias("path"), F.lit(0).alias("depth"), payload.alias("v")))
-    nodes = F.reduce(F.sequence(F.lit(1), F.lit(max_depth + 1)), root, add_level)
+    levels = F.reduce(F.sequence(F.lit(1), F.lit(max_depth + 1)), top, add_level)
+    too_deep = F.raise_error(F.lit(f"MIME tree deeper than {max_depth}")).cast("string")
     parts = F.transform(
-        nodes,
+        F.flatten(levels),
         lambda n: F.struct(
-            n["path"].alias("path"),
+            F.when(F.length(n["path"]) <= max_depth * (_PAD + 1), n["path"]).otherwise(too_deep).alias("path"),
             F.try_variant_get(n["v"], "$.mimeType", "string").alias("mime_type"),
             F.try_variant_get(n["v"], "$.filename", "string").alias("filename"),
             F.try_variant_get(n["v"], "$.body.attachmentId", "string").alias("attachment_id"),
@@ -84,27 +91,29 @@ def attachment_summary(parts: Column) -> Column:
 
     def kind(p: Column) -> Column:
         extension = F.regexp_extract(F.lower(_filename(p)), r"\.([a-z0-9]{1,10})\z", 1)
-        return (
-            F.when(extension != "", extension)
-            .when(_is_set(p["mime_type"]), F.lower(p["mime_type"]))
-            .otherwise("unknown")
+        other = F.when(_is_set(p["mime_type"]), F.lower(p["mime_type"])).otherwise("unknown")
+        return F.coalesce(F.nullif(extension, F.lit("")), other)
+
+    def summary(kinds: Column) -> Column:
+        return F.struct(
+            (F.size(kinds) > 0).alias("has"),
+            F.array_sort(F.array_distinct(kinds)).alias("types"),
+            F.size(kinds).alias("count"),
         )
 
-    kinds = F.transform(F.filter(parts, is_attachment), kind)
-    return F.struct(
-        (F.size(kinds) > 0).alias("has"),
-        F.array_sort(F.array_distinct(kinds)).alias("types"),
-        F.size(kinds).alias("count"),
-    )
+    return once(F.transform(F.filter(parts, is_attachment), kind), summary)
 
 
 def decode_body(data: Column) -> Column:
     """Base64url text to a string; stray characters are skipped, bad bytes become U+FFFD."""
     body = F.substring_index(F.translate(data, "-_", "+/"), "=", 1)
-    body = F.regexp_replace(body, "[^A-Za-z0-9+/]", "")
-    # A single left-over character holds no whole byte.
-    whole = F.left(body, F.length(body) - F.when(F.length(body) % 4 == 1, 1).otherwise(0))
-    return F.make_valid_utf8(F.unbase64(whole).cast("string"))
+
+    def decode(clean: Column) -> Column:
+        # A single left-over character holds no whole byte.
+        left_over = F.when(F.length(clean) % 4 == 1, 1).otherwise(0)
+        return F.make_valid_utf8(F.unbase64(F.left(clean, F.length(clean) - left_over)).cast("string"))
+
+    return once(F.regexp_replace(body, "[^A-Za-z0-9+/]", ""), decode)
 
 
 def joined_bodies(parts: Column, mime_type: str) -> Column:
@@ -142,12 +151,15 @@ def body_text(
     rules = rules_for(categories) if categories else ()
 
     @F.arrow_udf("string")
-    def body_text_udf(plain: pa.Array, html: pa.Array) -> pa.Array:
-        text = body_text_batch(plain, html, mode)
+    def body_text_udf(bodies: pa.Array) -> pa.Array:
+        text = body_text_batch(bodies.field("plain"), bodies.field("html"), mode)
         if max_chars > 0:
             text = pc.utf8_slice_codeunits(text, 0, max_chars)
         return redact_batch(text, rules)[0] if rules else text
 
+    def html_if_needed(plain: Column) -> Column:
+        html = F.when(plain == "", joined_bodies(parts, "text/html")).otherwise("")
+        return F.struct(plain.alias("plain"), html.alias("html"))
+
     plain = trim_ws(joined_bodies(parts, "text/plain"))
-    html = F.when(plain == "", joined_bodies(parts, "text/html")).otherwise("")
-    return body_text_udf.asNondeterministic()(plain, html)
+    return body_text_udf.asNondeterministic()(once(plain, html_if_needed))

@@ -8,8 +8,7 @@ can change pay for it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -138,22 +137,25 @@ def redaction_report(
 ) -> DataFrame:
     """Matches and affected rows per enabled category over the whole data set.
 
-    The counts are summed before the one tiny shuffle: every task sends one row.
+    Batches are reduced to one row per category where they are read: neither redacted
+    texts nor per-row counts leave the tasks.
     """
-    result = df.select(redact(F.col(column), categories)["by_category"].alias("m"))
-    names = [r.category for r in rules_for(categories)]
-    n = {k: F.coalesce(F.col("m")[k], F.lit(0)) for k in names}
-    sums = [
-        F.struct(
-            F.lit(k).alias("category"),
-            F.coalesce(F.sum(n[k]), F.lit(0)).cast("bigint").alias("matches"),
-            F.count(F.when(n[k] > 0, 1)).alias("texts"),
-        )
-        for k in names
-    ]
-    totals = result.agg(F.array(*sums).alias("totals"))
+    rules = rules_for(categories)
     labels = {c.key: c.name for c in CATEGORIES}
-    name_of = reduce(
-        lambda rest, k: F.when(F.col("category") == k, labels[k]).otherwise(rest), names, F.lit(None)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matches = np.zeros(len(rules), dtype=np.int64)
+        texts = np.zeros(len(rules), dtype=np.int64)
+        for batch in batches:
+            counts = redact_batch(batch.column(0), rules)[1]
+            matches += counts.sum(axis=0)
+            texts += (counts > 0).sum(axis=0)
+        keys = [r.category for r in rules]
+        rows = {"category": keys, "category_name": [labels[k] for k in keys], "matches": matches, "texts": texts}
+        yield pa.RecordBatch.from_pydict(rows)
+
+    schema = "category string, category_name string, matches bigint, texts bigint"
+    tallies = df.select(column).mapInArrow(tally, schema)
+    return tallies.groupBy("category", "category_name").agg(
+        F.sum("matches").alias("matches"), F.sum("texts").alias("texts")
     )
-    return totals.select(F.inline("totals")).withColumn("category_name", name_of)
