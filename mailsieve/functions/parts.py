@@ -106,14 +106,20 @@ def attachment_summary(parts: Column) -> Column:
 
 def decode_body(data: Column) -> Column:
     """Base64url text to a string; stray characters are skipped, bad bytes become U+FFFD."""
-    body = F.substring_index(F.translate(data, "-_", "+/"), "=", 1)
 
-    def decode(clean: Column) -> Column:
+    def tolerant(body: Column) -> Column:
+        clean = F.regexp_replace(F.substring_index(body, "=", 1), "[^A-Za-z0-9+/]", "")
         # A single left-over character holds no whole byte.
         left_over = F.when(F.length(clean) % 4 == 1, 1).otherwise(0)
-        return F.make_valid_utf8(F.unbase64(F.left(clean, F.length(clean) - left_over)).cast("string"))
+        return F.unbase64(F.left(clean, F.length(clean) - left_over))
 
-    return once(F.regexp_replace(body, "[^A-Za-z0-9+/]", ""), decode)
+    def decode(body: Column) -> Column:
+        # Well-formed data decodes directly; only the rest pays for the clean-up.
+        raw = F.coalesce(F.try_to_binary(body, F.lit("base64")), tolerant(body))
+        return F.make_valid_utf8(raw.cast("string"))
+
+    body = F.replace(F.replace(data, F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/"))
+    return once(body, decode)
 
 
 def joined_bodies(parts: Column, mime_type: str) -> Column:

@@ -48,4 +48,5 @@ def trim_ws(c: Column) -> Column:
 
 def collapse_ws(c: Column) -> Column:
     """Runs of white space become one blank; ends are trimmed."""
-    return F.trim(F.regexp_replace(c, f"{WS}+", " "))
+    blanks = F.translate(c, WS_CHARS, " " * len(WS_CHARS))
+    return F.trim(F.regexp_replace(blanks, "  +", " "))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mailsieve.functions.headers import header
 from mailsieve.functions.parts import attachment_summary, body_text
+from mailsieve.operators.rollover import with_offsets
 
 
 def _labels() -> Column:
@@ -93,8 +94,23 @@ PRESETS = {
 }
 
 
-def row_cap(messages: DataFrame, max_messages: int) -> DataFrame:
-    """The newest ``max_messages`` rows, ties by id; all rows if not positive."""
+# Up to this many ids one task may pick the newest; beyond it ranks are computed in parallel.
+_TOP_LIMIT = 1_000_000
+
+
+def row_cap(messages: DataFrame, max_messages: int, top_limit: int = _TOP_LIMIT) -> DataFrame:
+    """The newest ``max_messages`` rows, ties by id; all rows if not positive.
+
+    Only ids and dates are sorted. The messages then join their ids (unique), so that what
+    follows runs in as many tasks as the scan has, not in the single one of a limit.
+    """
     if max_messages <= 0:
         return messages
-    return messages.orderBy(F.col("internal_date").desc(), "id").limit(max_messages)
+    order = (F.col("internal_date").desc(), F.col("id"))
+    keys = messages.select("id", "internal_date")
+    if max_messages <= top_limit:
+        newest = keys.orderBy(*order).limit(max_messages)
+    else:
+        ranked = with_offsets(keys.withColumn("one", F.lit(1).cast("bigint")), order, "one")
+        newest = ranked.where(F.col("end") <= max_messages)
+    return messages.join(newest.select("id"), "id", "left_semi")

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -118,10 +118,15 @@ def _chains(offsets: DataFrame, split: _Split) -> DataFrame:
     return rows.groupBy("block").applyInArrow(leave, "entry bigint, exit bigint, files bigint")
 
 
+def _first_entry(spark: SparkSession, first_part: int) -> DataFrame:
+    return spark.range(1).select(
+        F.lit(0).cast("bigint").alias("entry"), F.lit(first_part).cast("bigint").alias("part")
+    )
+
+
 def _block_entries(chains: DataFrame, first_part: int, blocks: int) -> DataFrame:
     """``entry, part``: the first file start in each block on the chain from offset 0."""
-    spark = chains.sparkSession
-    reached = spark.createDataFrame([(0, first_part)], "entry bigint, part bigint")
+    reached = _first_entry(chains.sparkSession, first_part)
     reach = 1
     while reach < blocks:
         further = reached.join(chains.where("exit IS NOT NULL"), "entry").select(
@@ -170,10 +175,15 @@ def assign_parts(
     step = max(room, totals.longest)
     split = _Split(room, step, max(block_bytes or max(_STEPS_PER_BLOCK * step, _MIN_BLOCK), step))
     first_part = 2 if totals.first > max_bytes - header_bytes else 1
-    chains = _written(_chains(offsets, split), "chains")
-    entries = _block_entries(chains, first_part, -(-totals.total // split.block))
-    # A last block in which no file starts continues the very last file.
-    last = entries.join(chains, "entry").agg(F.max(F.col("part") + F.col("files") - 1)).scalar()
+    blocks = -(-totals.total // split.block)
+    if blocks == 1:
+        entries = _first_entry(lines.sparkSession, first_part)
+        last = F.lit(None).cast("bigint")
+    else:
+        chains = _written(_chains(offsets, split), "chains")
+        entries = _block_entries(chains, first_part, blocks)
+        # A last block in which no file starts continues the very last file.
+        last = entries.join(chains, "entry").agg(F.max(F.col("part") + F.col("files") - 1)).scalar()
     by_block = entries.withColumn("block", F.expr(f"entry div {split.block}"))
     rows = offsets.withColumn("block", F.expr(f"start div {split.block}")).join(by_block, "block", "left")
     rows = rows.withColumn("last", last)

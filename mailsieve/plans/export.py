@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailsieve.functions.csv_lines import csv_line, csv_line_bytes, header_line
 from mailsieve.operators.fields import FIELD_SETS, choose_fields, project_fields
 from mailsieve.operators.options import ExportOptions, base_name
 from mailsieve.operators.predicates import PRESETS, row_cap
@@ -27,7 +28,7 @@ def run_export(messages: DataFrame, options: ExportOptions = ExportOptions()) ->
     """Write the export; returns ``part, file, rows, bytes`` of what was written.
 
     Rolled files hold the messages newest first. Without a size limit every task writes a
-    file of its own and the result is one summary row per export.
+    file of its own; the result is then one row, with the size of a single equivalent file.
     """
     names = choose_fields(options.fields or FIELD_SETS["default"])
     base = base_name(options)
@@ -40,6 +41,8 @@ def run_export(messages: DataFrame, options: ExportOptions = ExportOptions()) ->
     path = f"{options.output_dir}/{base}.csv"
     write_csv(rows.select(*names), path)
     written = read_csv(messages.sparkSession, path, names)
-    return written.agg(F.count("*").alias("rows")).select(
-        F.lit(1).cast("bigint").alias("part"), F.lit(f"{base}.csv").alias("file"), "rows"
+    header_bytes = len(header_line(names)) + 1
+    line_bytes = F.coalesce(F.sum(csv_line_bytes(csv_line(names))), F.lit(0))
+    return written.agg(F.count("*").alias("rows"), (line_bytes + header_bytes).alias("bytes")).select(
+        F.lit(1).cast("bigint").alias("part"), F.lit(f"{base}.csv").alias("file"), "rows", "bytes"
     )

@@ -22,6 +22,10 @@ _CSV = {
 }
 
 
+# Files are spread over at most this many tasks.
+_MAX_WRITERS = 20_000
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """Every task writes its own file; each begins with the header."""
     rows.select(*[csv_value(F.col(f"`{c}`")).alias(c) for c in rows.columns]).write.options(**_CSV).csv(path)
@@ -80,7 +84,7 @@ def write_rolled_csv(
     body = lines.join(parts, key).select("part", "start", F.col("line").alias("value"))
     (
         body.unionByName(headers)
-        .repartition("part")
+        .repartition(min(count, _MAX_WRITERS), "part")
         .withColumn("file", file_name(base, F.col("part")))
         .sortWithinPartitions("file", "start")
         .select("file", "value")

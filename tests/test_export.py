@@ -64,6 +64,8 @@ def test_cap_takes_the_newest(mail):
     assert {r.id for r in chosen.collect()} == {r.id for r in newest.collect()}
     plan = plan_of(chosen)
     assert "TakeOrderedAndProject" in plan
+    ranked = pr.row_cap(mail.where(pr.all_mail()), 5, top_limit=0)
+    assert {r.id for r in ranked.collect()} == {r.id for r in newest.collect()}
 
 
 def test_run_export_files_hold_the_export(spark, mail):
@@ -89,6 +91,7 @@ def test_unsplit_export(spark, mail):
     )
     stats = run_export(mail, options).collect()
     assert [s.rows for s in stats] == [export_rows(mail, options).count()]
+    assert stats[0].bytes > stats[0].rows * 3
 
 
 def test_header_exports_stay_in_the_jvm(spark, landed):
