@@ -81,7 +81,7 @@ def _probed_text(template: str) -> str:
 def _redact_sql(template, categories):
     chain = Chain("documents", f"doc_id, {_probed_text(template)} AS t, {zero_counts(categories)}")
     total = " + ".join(f"n_{c}" for c in categories)
-    return add_redaction(chain, categories).sql(f"SELECT doc_id, {total} AS n, t AS text FROM {{last}}")
+    return add_redaction(chain, categories).sql(f"SELECT doc_id, ({total})::INTEGER AS n, t AS text FROM {{last}}")
 
 
 _MIXED = "\n".join(PROBES.values())
@@ -105,7 +105,7 @@ register(
     "redaction_counts",
     _redaction_counts,
     _counted.sql(
-        f"SELECT doc_id, e.category, e.n FROM (SELECT doc_id, unnest([{_pairs}]) AS e FROM {{last}} "
+        f"SELECT doc_id, e.category, e.n::INTEGER AS n FROM (SELECT doc_id, unnest([{_pairs}]) AS e FROM {{last}} "
         "JOIN documents d USING (doc_id) WHERE d.text <> '')"
     ),
 )
@@ -166,7 +166,7 @@ def _address_sql(template, patterns):
     for p in map(spell_out, patterns):
         chain.set(replace_all("t", p, token), n=f"n + {count_all('t', p)}")
     chain.set(replace_all("t", rf"(\[REDACTED_ADDRESS\]{WS}*)+", token + " "))
-    return chain.sql("SELECT doc_id, n, t AS text FROM {last}")
+    return chain.sql("SELECT doc_id, n::INTEGER AS n, t AS text FROM {last}")
 
 
 _ADDRESS_RULES = named_address_patterns()
@@ -223,7 +223,7 @@ register(
 )
 
 # --- messages: scan, tree, functions ---------------------------------------------------
-_HEAD_SQL = f"id, epoch(internal_date)::BIGINT AS received_at, coalesce(thread_id, '') AS thread_id, {m.joined('label_ids')} AS labels, len(headers) AS headers, len(parts) AS parts"
+_HEAD_SQL = f"id, epoch(internal_date)::BIGINT AS received_at, coalesce(thread_id, '') AS thread_id, {m.joined('label_ids')} AS labels, len(headers)::INTEGER AS headers, len(parts)::INTEGER AS parts"
 
 
 def _head(messages: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def _flatten_parts(spark, folder):
 register(
     "flatten_parts",
     _flatten_parts,
-    f"WITH {m.MAIL} SELECT id, i - 1 AS position, parts[i].path AS path, parts[i].mime_type AS mime_type, "
+    f"WITH {m.MAIL} SELECT id, (i - 1)::INTEGER AS position, parts[i].path AS path, parts[i].mime_type AS mime_type, "
     "parts[i].filename AS filename, parts[i].attachment_id AS attachment_id, parts[i].size AS size, "
     "parts[i].data AS data FROM (SELECT id, parts, unnest(range(1, len(parts) + 1)) AS i FROM mail)",
 )
@@ -305,7 +305,7 @@ register(
     ),
     m.mail_select(
         f"id, {m.ATTACHMENT_COUNT} > 0 AS has, {m.joined(m.ATTACHMENT_TYPES)} AS types, "
-        f"{m.ATTACHMENT_COUNT} AS count"
+        f"({m.ATTACHMENT_COUNT})::INTEGER AS count"
     ),
 )
 register(
