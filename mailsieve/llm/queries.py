@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from mailsieve.llm import byte_convnet, url_filter
 from mailsieve.llm.exact_dedup import exact_dedup
 from mailsieve.llm.pfair_mixing import mix
+from mailsieve.llm.sentence_pieces import encode_pieces
 from mailsieve.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +29,20 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def _remainder(n: int):
+    """CRC-32 of the id's decimal text modulo ``n``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from three quarters of the labelled ones."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    sample = byte_convnet.training_windows(docs.where(_remainder(4) != 2), "doc_id", "text", "lang")
+    found = byte_convnet.identify(docs.select("doc_id", "text"), byte_convnet.train(sample))
+    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 @query("op2_mixing")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its place in a mixture of tempered source weights."""
@@ -41,3 +59,30 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"), keep="max")
+
+
+URL_RULES = (
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+)
+
+
+@query("op4_url_filter")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    weights = url_filter.train(url_filter.labelled_urls())
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return url_filter.judge(pages, weights, URL_RULES).drop("url")
+
+
+@query("op6_sentence_pieces")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of pieces, and digests of the ids and of the text they decode to."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model")).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
