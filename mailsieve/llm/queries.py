@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from mailsieve.llm import byte_convnet, url_filter
+from mailsieve.llm.edit_counts import apply_edits, count_tokens
 from mailsieve.llm.exact_dedup import exact_dedup
+from mailsieve.llm.huffman_ids import read_token_files, write_token_files
 from mailsieve.llm.pfair_mixing import mix
 from mailsieve.llm.sentence_pieces import encode_pieces
+from mailsieve.sources.session import work_path
 from mailsieve.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +89,40 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op7_edit_counts")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of every document before and after three edits: its language put in front,
+    twelve characters replaced after a third, its source put in after two thirds."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    size = F.coalesce(F.length("text"), F.lit(0))
+
+    def edit(at, cut, put):
+        return F.struct(at.cast("int").alias("at"), F.lit(cut).alias("cut"), put.alias("put"))
+
+    edits = F.array(
+        edit(F.floor(size * 2 / 3), 0, F.concat(F.lit(" "), F.coalesce("source", F.lit("")), F.lit("'s "))),
+        edit(F.floor(size / 3), 12, F.lit(" an edit ")),
+        edit(F.lit(0), 0, F.concat(F.coalesce("lang", F.lit("")), F.lit(": "))),
+    )
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    counted = count_tokens(docs.select("doc_id", "text", edits.alias("edits")), ranks, public_tokenizers.PATTERN)
+    return apply_edits(counted, ranks, public_tokenizers.PATTERN).select(
+        "doc_id", "n_before", F.col("n_tokens").alias("n_after"), "n_segments", "n_reencoded",
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
+@query("op9_token_files")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents written as token files and read back."""
+    path = work_path(spark, "token-files")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    write_token_files(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_token_files(spark, path).select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
