@@ -14,6 +14,7 @@ from mailsieve.llm.edit_counts import apply_edits, count_tokens
 from mailsieve.llm.exact_dedup import exact_dedup
 from mailsieve.llm.huffman_ids import read_token_files, write_token_files
 from mailsieve.llm.pfair_mixing import mix
+from mailsieve.llm.projection_dedup import near_vectors
 from mailsieve.llm.sentence_pieces import encode_pieces
 from mailsieve.sources.session import work_path
 from mailsieve.sources.tables import table
@@ -126,3 +127,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.crc32("ids").alias("ids_crc32"),
     )
+
+
+@query("op10_embedding_dedup")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"))
