@@ -16,6 +16,7 @@ from mailsieve.llm.huffman_ids import read_token_files, write_token_files
 from mailsieve.llm.pfair_mixing import mix
 from mailsieve.llm.projection_dedup import near_vectors
 from mailsieve.llm.sentence_pieces import encode_pieces
+from mailsieve.llm.trie_join import similar_documents
 from mailsieve.sources.session import work_path
 from mailsieve.sources.tables import table
 
@@ -132,3 +133,26 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_embedding_dedup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"))
+
+
+@query(
+    "op5_jaccard_join",
+    r"""
+    WITH RECURSIVE w AS MATERIALIZED (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    g AS MATERIALIZED (
+      SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) END) AS gs FROM w),
+    s AS MATERIALIZED (SELECT doc_id, len(gs) AS n, unnest(gs) AS s FROM g),
+    l AS MATERIALIZED (
+      SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+    r(doc_id, other) AS (
+      SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a)
+    SELECT g.doc_id, len(gs)::BIGINT AS n_shingles, min(r.other) AS component_id
+    FROM g JOIN r ON g.doc_id = r.doc_id GROUP BY ALL
+    """,
+)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_documents(table(spark, folder, "documents"))
