@@ -143,7 +143,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
     g AS MATERIALIZED (
       SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-        ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) END) AS gs FROM w),
+        ELSE [array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)] END) AS gs FROM w),
     s AS MATERIALIZED (SELECT doc_id, len(gs) AS n, unnest(gs) AS s FROM g),
     l AS MATERIALIZED (
       SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id

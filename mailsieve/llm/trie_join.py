@@ -56,9 +56,12 @@ def _records(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     flat = np.concatenate([*sets, np.zeros(1, np.uint64)])
     ends = np.concatenate([[0], np.cumsum(sizes)])
-    one, two = (np.concatenate([[0], np.cumsum(h)]).astype(np.uint64) for h in (mix(flat + np.uint64(7)), mix(~flat)))
-    first = mix(one[ends[1:]] - one[ends[:-1]]).view(np.int64)
-    return first, (two[ends[1:]] - two[ends[:-1]]).view(np.int64), sizes
+
+    def sums(hashes: np.ndarray) -> np.ndarray:
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes)])
+        return total[ends[1:]] - total[ends[:-1]]
+
+    return mix(sums(mix(flat + np.uint64(7)))).view(np.int64), sums(mix(~flat)).view(np.int64), sizes
 
 
 def _texts(part: pa.RecordBatch) -> list[bytes]:
