@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from mailsieve.llm import byte_convnet, url_filter
+from mailsieve.llm.context_mixing import score_documents
 from mailsieve.llm.edit_counts import apply_edits, count_tokens
 from mailsieve.llm.exact_dedup import exact_dedup
 from mailsieve.llm.huffman_ids import read_token_files, write_token_files
@@ -156,3 +157,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return similar_documents(table(spark, folder, "documents"))
+
+
+@query("op3_lm_score")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents, learned from nine tenths of them."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = score_documents(docs, _remainder(10) != 0)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), *scored.columns[2:])
