@@ -19,7 +19,7 @@ from mailsieve.operators.rollover import assign_parts
 from mailsieve.plans.export import export_rows, select_messages
 from mailsieve.plans.mailbox import dump
 from mailsieve.sources.csv_files import read_csv, write_csv, write_rolled_csv
-from mailsieve.sources.messages import read_messages, with_parts
+from mailsieve.sources.messages import land_messages, quarantine, read_landed, read_messages, with_parts
 from mailsieve.sources.session import work_path
 from mailsieve.sources.tables import spread, table
 from mailsieve.streaming import runs
@@ -377,11 +377,27 @@ register(
 register(
     "stream_dedupe",
     lambda s, f: runs.arrived(
-        lambda rows: runs.dedupe_stream(rows, "3650 days").select("message_id"), dump(s, f).drop("headers")
+        lambda rows: runs.dedupe_stream(rows).select("message_id"), dump(s, f).drop("headers")
     ),
     m.mail_select(f"DISTINCT {m.header('Message-ID')} AS message_id"),
 )
 
+
+
+def _landed(spark, folder):
+    path = work_path(spark, "landed")
+    land_messages(dump(spark, folder), path)
+    return project_fields(read_landed(spark, path), ExportOptions(fields=FIELD_SETS["contact"]), ("id",))
+
+
+def _quarantined(spark, folder):
+    broken = F.when(F.endswith("id", F.lit("7")), F.lit("{broken")).otherwise(F.col("payload"))
+    return quarantine(dump(spark, folder).withColumn("payload", broken))
+
+
+register("land_messages", _landed, m.fields_sql(FIELD_SETS["contact"]))
+register("quarantine", _quarantined, m.mail_select("id, 'bad payload' AS reason", "WHERE id LIKE '%7'"))
+
 # --- selection ---------------------------------------------------------------------------
 def _filter(predicate):
     return lambda s, f: mailbox(s, f).where(predicate()).select("id")
@@ -510,6 +526,16 @@ def _next_fit(cap: int) -> str:
       FROM placed p JOIN sizes s ON s.r = p.r + 1)"""
 
 
+register(
+    "rollover_blocks",  # many blocks, whatever the size of the input
+    lambda s, f: assign_parts(
+        documents(s, f, *_COLUMNS).select(
+            "doc_id", csv_lines.csv_line_bytes(csv_lines.csv_line(_COLUMNS)).alias("size")
+        ),
+        ["doc_id"], "size", 10_000, _HEADER_BYTES, 40_000,
+    ).select("doc_id", "part"),
+    f"WITH RECURSIVE {_next_fit(10_000)} SELECT doc_id, part FROM placed",
+)
 for _suffix, _cap in _CAPS.items():
     register(
         f"rollover{_suffix}", _rollover(_cap), f"WITH RECURSIVE {_next_fit(_cap)} SELECT doc_id, part FROM placed"
@@ -560,7 +586,13 @@ register(
     _analysis(an.unique_senders),
     _over(["from_email"], "DISTINCT from_email", "WHERE from_email <> ''"),
 )
-register("unique_sender_count", _analysis(an.unique_sender_count))
+register(
+    "unique_sender_count",
+    _analysis(an.sender_count_check),
+    _over(
+        ["from_email"], "count(DISTINCT from_email) AS senders, true AS estimate_is_near", "WHERE from_email <> ''"
+    ),
+)
 register(
     "mail_by_sender",
     _analysis(an.mail_by_sender),

@@ -42,6 +42,15 @@ def unique_sender_count(messages: DataFrame, error: float = 0.05) -> DataFrame:
     return senders.agg(F.approx_count_distinct("from_email", error).alias("senders"))
 
 
+def sender_count_check(messages: DataFrame, error: float = 0.05, within: float = 0.15) -> DataFrame:
+    """One row: the exact number of senders, and whether the estimate lies that close to it."""
+    exact = unique_senders(messages).agg(F.count("*").alias("senders"))
+    estimate = unique_sender_count(messages, error).select(F.col("senders").alias("estimate"))
+    near = F.abs(F.col("estimate") - F.col("senders")) <= F.col("senders") * within
+    both = exact.withColumn("one", F.lit(1)).join(estimate.withColumn("one", F.lit(1)), "one")
+    return both.select("senders", near.alias("estimate_is_near"))
+
+
 def mail_by_sender(messages: DataFrame) -> DataFrame:
     return _fields(messages, "from_email").groupBy("from_email").agg(F.count("*").alias("messages"))
 
@@ -119,7 +128,7 @@ def reply_links(messages: DataFrame) -> DataFrame:
     Parents are unique per Message-ID. Rows that answer nothing get a key of their own,
     so they spread over the tasks instead of meeting under one empty key.
     """
-    parents = dedupe_message_id(messages).where("message_id != ''")
+    parents = dedupe_message_id(messages.where(header(F.col("headers"), "Message-ID") != ""))
     parents = parents.select(F.col("message_id").alias("key"), F.col("id").alias("parent_id"))
     replies = messages.select("id", header(F.col("headers"), "In-Reply-To").alias("in_reply_to"))
     own_key = F.concat(F.lit("\u0000"), "id")
@@ -222,10 +231,26 @@ def attachment_inventory(messages: DataFrame) -> DataFrame:
     )
 
 
+# Zone names of mail dates and their offsets.
+ZONES = {
+    "UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600",
+    "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+}
+
+
 def sent_at(date_header: Column) -> Column:
-    """A Date header as timestamp; null if it is not one. Weekday and comment are ignored."""
-    bare = F.regexp_replace(date_header, r"^\s*[A-Za-z]{3},\s*|\s*\([^)]*\)\s*$", "")
-    return F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss Z"))
+    """A Date header as timestamp; null if it is not one.
+
+    Weekday and comments are ignored. Seconds may be missing, a year may have two digits
+    (00-49 are 20xx, the others 19xx), and the zone may be one of ``ZONES``."""
+    bare = F.regexp_replace(date_header, r"\s*\([^)]*\)", "")
+    bare = F.regexp_replace(bare, r"^\s*[A-Za-z]{3,9},?\s+|\s+$", "")
+    century = F.when(F.regexp_extract(bare, r"^[0-9]{1,2} [A-Za-z]{3} ([0-9]{2}) ", 1).between("00", "49"), "20")
+    bare = F.regexp_replace(bare, F.lit(r"^([0-9]{1,2} [A-Za-z]{3} )([0-9]{2}) "), F.concat(F.lit("$1"), century.otherwise("19"), F.lit("$2 ")))
+    zone = F.upper(F.regexp_extract(bare, r" ([A-Za-z]{1,3})$", 1))
+    offset = F.element_at(F.create_map(*[F.lit(x) for item in ZONES.items() for x in item]), zone)
+    bare = F.coalesce(F.concat(F.regexp_replace(bare, r" [A-Za-z]{1,3}$", " "), offset), bare)
+    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f"d MMM yyyy {t} Z")) for t in ("HH:mm:ss", "HH:mm")])
 
 
 def newsletter_tracking(messages: DataFrame) -> DataFrame:

@@ -24,7 +24,6 @@ from mailsieve.operators.options import ExportOptions
 class Field:
     name: str
     category: str
-    description: str
     default: bool
     value: Callable[[ExportOptions], Column]
 
@@ -82,43 +81,43 @@ _READS = {
 
 # Names, groups, defaults and order of the fields.
 FIELDS: tuple[Field, ...] = (
-    Field("from_email", "sender", "Email address of the sender", True, _mailbox("_from", "email")),
-    Field("from_name", "sender", "Display name of the sender", True, _mailbox("_from", "name")),
+    Field("from_email", "sender", True, _mailbox("_from", "email")),
+    Field("from_name", "sender", True, _mailbox("_from", "name")),
     Field(
-        "sender_domain", "sender", "Domain of the sender's address", True,
+        "sender_domain", "sender", True,
         lambda o: email_domain(F.col("_from")["email"]),
     ),
-    Field("reply_to", "sender", "Reply-To email address", False, _mailbox("_reply_to", "email")),
+    Field("reply_to", "sender", False, _mailbox("_reply_to", "email")),
     Field(
-        "reply_to_domain", "sender", "Domain of the Reply-To address", True,
+        "reply_to_domain", "sender", True,
         lambda o: email_domain(F.col("_reply_to")["email"]),
     ),
-    Field("delivered_to", "recipient", "Address delivered to", True, _mailbox("_delivered_to", "email")),
-    Field("to", "recipient", "To header", False, _raw("To")),
-    Field("cc", "recipient", "Cc header", False, _raw("Cc")),
-    Field("bcc", "recipient", "Bcc header", False, _raw("Bcc")),
-    Field("subject", "content", "Subject line, cleaned", True, _free_text(lambda: _header("Subject"))),
+    Field("delivered_to", "recipient", True, _mailbox("_delivered_to", "email")),
+    Field("to", "recipient", False, _raw("To")),
+    Field("cc", "recipient", False, _raw("Cc")),
+    Field("bcc", "recipient", False, _raw("Bcc")),
+    Field("subject", "content", True, _free_text(lambda: _header("Subject"))),
     Field(
-        "snippet", "content", "Short preview, cleaned", True,
+        "snippet", "content", True,
         _free_text(lambda: F.coalesce(F.col("snippet"), F.lit(""))),
     ),
-    Field("body_text", "content", "Readable body, links kept", False, _body_text),
-    Field("body_html", "content", "Raw HTML body", False, _body_html),
-    Field("date", "metadata", "Date header as sent", False, _raw("Date")),
-    Field("message_id", "metadata", "Message-ID header", False, _raw("Message-ID")),
-    Field("thread_id", "metadata", "Thread id", False, lambda o: F.coalesce(F.col("thread_id"), F.lit(""))),
-    Field("labels", "metadata", "Label ids, semicolon-separated", False, lambda o: join_list(F.col("label_ids"))),
-    Field("has_attachment", "attachments", "Any attachment", True, lambda o: _flag(F.col("_attachments")["has"])),
+    Field("body_text", "content", False, _body_text),
+    Field("body_html", "content", False, _body_html),
+    Field("date", "metadata", False, _raw("Date")),
+    Field("message_id", "metadata", False, _raw("Message-ID")),
+    Field("thread_id", "metadata", False, lambda o: F.coalesce(F.col("thread_id"), F.lit(""))),
+    Field("labels", "metadata", False, lambda o: join_list(F.col("label_ids"))),
+    Field("has_attachment", "attachments", True, lambda o: _flag(F.col("_attachments")["has"])),
     Field(
-        "attachment_types", "attachments", "Attachment types, semicolon-separated", True,
+        "attachment_types", "attachments", True,
         lambda o: join_list(F.col("_attachments")["types"]),
     ),
     Field(
-        "attachment_count", "attachments", "Number of attachments", False,
+        "attachment_count", "attachments", False,
         lambda o: F.col("_attachments")["count"].cast("string"),
     ),
     Field(
-        "has_list_unsubscribe", "attachments", "List-Unsubscribe header present", True,
+        "has_list_unsubscribe", "attachments", True,
         lambda o: _flag(trim_ws(_header("List-Unsubscribe")) != ""),
     ),
 )

@@ -34,8 +34,3 @@ def base_name(options: ExportOptions, now: datetime | None = None) -> str:
     """``prefix[_YYYYMMDD_HHMMSS]``."""
     stamp = (now or datetime.now()).strftime("_%Y%m%d_%H%M%S") if options.include_timestamp else ""
     return f"{options.prefix}{stamp}"
-
-
-def part_suffix(part: int) -> str:
-    """Nothing for the first file, ``_part002`` and so on for the later ones."""
-    return f"_part{part:03d}" if part > 1 else ""

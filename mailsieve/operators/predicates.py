@@ -7,6 +7,7 @@ negation does not lose rows.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mailsieve.functions.headers import header
@@ -94,23 +95,26 @@ PRESETS = {
 }
 
 
-# Up to this many ids one task may pick the newest; beyond it ranks are computed in parallel.
-_TOP_LIMIT = 1_000_000
-
-
-def row_cap(messages: DataFrame, max_messages: int, top_limit: int = _TOP_LIMIT) -> DataFrame:
+def row_cap(messages: DataFrame, max_messages: int) -> DataFrame:
     """The newest ``max_messages`` rows, ties by id; all rows if not positive.
 
-    Only ids and dates are sorted. The messages then join their ids (unique), so that what
-    follows runs in as many tasks as the scan has, not in the single one of a limit.
+    Only distinct (date, id) pairs and their numbers of rows are sorted, in as many tasks as
+    there are ranges. Rows then join the pairs that fit as a whole; of the one pair that
+    fits in part (an id that was landed repeatedly) as many rows as there is room for.
     """
     if max_messages <= 0:
         return messages
-    order = (F.col("internal_date").desc(), F.col("id"))
-    keys = messages.select("id", "internal_date")
-    if max_messages <= top_limit:
-        newest = keys.orderBy(*order).limit(max_messages)
-    else:
-        ranked = with_offsets(keys.withColumn("one", F.lit(1).cast("bigint")), order, "one")
-        newest = ranked.where(F.col("end") <= max_messages)
-    return messages.join(newest.select("id"), "id", "left_semi")
+    pairs = messages.groupBy("internal_date", "id").agg(F.count("*").alias("rows"))
+    placed = with_offsets(pairs, (F.col("internal_date").desc(), F.col("id")), "rows")
+    fitting = placed.where(F.col("start") < max_messages).select(
+        F.col("internal_date").alias("_date"),
+        F.col("id").alias("_id"),
+        F.least("rows", max_messages - F.col("start")).alias("_room"),
+        (F.col("end") <= max_messages).alias("_whole"),
+    )
+    same = F.col("internal_date").eqNullSafe(F.col("_date")) & F.col("id").eqNullSafe(F.col("_id"))
+    whole = messages.join(fitting.where("_whole"), same, "left_semi")
+    # At most one pair is cut, so its rows are few unless one id makes up the whole cap.
+    cut = messages.join(fitting.where("NOT _whole"), same)
+    numbered = cut.withColumn("_n", F.row_number().over(W.partitionBy("_date", "_id").orderBy("_id")))
+    return whole.unionByName(numbered.where("_n <= _room").select(*messages.columns))

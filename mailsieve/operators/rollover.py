@@ -28,7 +28,8 @@ from mailsieve.sources.session import work_path
 # A block holds this many of the longest steps a file boundary can make, so that the
 # rows at which a chain may enter are a small share of its rows.
 _STEPS_PER_BLOCK = 16
-_MIN_BLOCK = 64 << 20
+# About this many lines at most, unless a single step is longer.
+_BLOCK_LINES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -168,22 +169,20 @@ def assign_parts(
         F.max("end").alias("total"),
         F.max(F.col(size)).alias("longest"),
         F.max(F.when(F.col("start") == 0, F.col(size))).alias("first"),
+        F.count("*").alias("lines"),
     ).first()
     if totals.total is None:
         return offsets.drop("end").withColumn("part", F.lit(1).cast("bigint"))
     room = max(max_bytes - header_bytes, 0)
     step = max(room, totals.longest)
-    split = _Split(room, step, max(block_bytes or max(_STEPS_PER_BLOCK * step, _MIN_BLOCK), step))
+    by_lines = _BLOCK_LINES * totals.total // totals.lines
+    split = _Split(room, step, max(block_bytes or min(_STEPS_PER_BLOCK * step, by_lines), step, 1))
     first_part = 2 if totals.first > max_bytes - header_bytes else 1
     blocks = -(-totals.total // split.block)
-    if blocks == 1:
-        entries = _first_entry(lines.sparkSession, first_part)
-        last = F.lit(None).cast("bigint")
-    else:
-        chains = _written(_chains(offsets, split), "chains")
-        entries = _block_entries(chains, first_part, blocks)
-        # A last block in which no file starts continues the very last file.
-        last = entries.join(chains, "entry").agg(F.max(F.col("part") + F.col("files") - 1)).scalar()
+    chains = _written(_chains(offsets, split), "chains")
+    entries = _block_entries(chains, first_part, blocks)
+    # A last block in which no file starts continues the very last file.
+    last = entries.join(chains, "entry").agg(F.max(F.col("part") + F.col("files") - 1)).scalar()
     by_block = entries.withColumn("block", F.expr(f"entry div {split.block}"))
     rows = offsets.withColumn("block", F.expr(f"start div {split.block}")).join(by_block, "block", "left")
     rows = rows.withColumn("last", last)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mailsieve.functions.csv_lines import csv_line, csv_line_bytes, header_line
 from mailsieve.operators.fields import FIELD_SETS, choose_fields, project_fields
 from mailsieve.operators.options import ExportOptions, base_name
 from mailsieve.operators.predicates import PRESETS, row_cap
-from mailsieve.sources.csv_files import read_csv, write_csv, write_rolled_csv
+from mailsieve.sources.csv_files import write_csv, write_rolled_csv
 
 _ORDER = ("id", "internal_date")
 
@@ -28,7 +28,8 @@ def run_export(messages: DataFrame, options: ExportOptions = ExportOptions()) ->
     """Write the export; returns ``part, file, rows, bytes`` of what was written.
 
     Rolled files hold the messages newest first. Without a size limit every task writes a
-    file of its own; the result is then one row, with the size of a single equivalent file.
+    file of its own; the result is then one row, with the size of a single equivalent file,
+    counted while writing.
     """
     names = choose_fields(options.fields or FIELD_SETS["default"])
     base = base_name(options)
@@ -39,10 +40,10 @@ def run_export(messages: DataFrame, options: ExportOptions = ExportOptions()) ->
             rows, options.output_dir, base, names, "id", order, options.max_bytes_per_file
         )
     path = f"{options.output_dir}/{base}.csv"
-    write_csv(rows.select(*names), path)
-    written = read_csv(messages.sparkSession, path, names)
     header_bytes = len(header_line(names)) + 1
+    seen = Observation()
     line_bytes = F.coalesce(F.sum(csv_line_bytes(csv_line(names))), F.lit(0))
-    return written.agg(F.count("*").alias("rows"), (line_bytes + header_bytes).alias("bytes")).select(
-        F.lit(1).cast("bigint").alias("part"), F.lit(f"{base}.csv").alias("file"), "rows", "bytes"
-    )
+    write_csv(rows.select(*names).observe(seen, F.count("*").alias("rows"), line_bytes.alias("bytes")), path)
+    counted = seen.get
+    written = (1, f"{base}.csv", counted["rows"], counted["bytes"] + header_bytes)
+    return messages.sparkSession.createDataFrame([written], "part bigint, file string, rows bigint, bytes bigint")

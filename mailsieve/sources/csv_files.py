@@ -22,9 +22,6 @@ _CSV = {
 }
 
 
-# Files are spread over at most this many tasks.
-_MAX_WRITERS = 20_000
-
 
 def write_csv(rows: DataFrame, path: str) -> None:
     """Every task writes its own file; each begins with the header."""
@@ -57,8 +54,10 @@ def write_rolled_csv(
 ) -> DataFrame:
     """Write files of at most ``max_bytes`` and return ``part, file, rows, bytes``.
 
-    ``fields`` are the exported columns; the others (a unique ``key`` and what ``order``
-    reads) steer the split. Each file is a folder ``file=<name>`` with one file of lines.
+    ``fields`` are the exported columns; the others (``key``, which breaks ties, and what
+    ``order`` reads) steer the split. Every row is one line, also where keys repeat: lines are
+    numbered when they are written to the shared folder and joined by that number. Each file
+    is a folder ``file=<name>`` with one file of lines.
     The lines are computed once and written to the shared folder, only key, order and
     size are sorted, and the text moves twice: to meet its part number and to its file.
     """
@@ -67,24 +66,27 @@ def write_rolled_csv(
     spark = rows.sparkSession
     line_path = work_path(spark, "lines")
     steering = [c for c in rows.columns if c not in fields]
-    rows.select(*steering, csv_line(fields).alias("line")).write.parquet(line_path)
+    numbered = rows.select(*steering, csv_line(fields).alias("line"), F.monotonically_increasing_id().alias("_line"))
+    numbered.write.parquet(line_path)
     lines = spark.read.parquet(line_path)
     header = header_line(fields)
     header_bytes = len(header.encode()) + 1
-    sizes = lines.select(*steering, csv_line_bytes(F.col("line")).alias("size"))
-    parts = assign_parts(sizes, order, "size", max_bytes, header_bytes, block_bytes)
+    sizes = lines.select(*steering, "_line", csv_line_bytes(F.col("line")).alias("size"))
+    parts = assign_parts(sizes, [*order, key, "_line"], "size", max_bytes, header_bytes, block_bytes)
     parts_path = work_path(spark, "parts")
-    parts.select(key, "start", "size", "part").write.parquet(parts_path)
+    parts.select("_line", "start", "size", "part").write.parquet(parts_path)
     parts = spark.read.parquet(parts_path)
     # Part numbers have no gaps; part 1 may hold no line.
     count = parts.agg(F.coalesce(F.max("part"), F.lit(1))).first()[0]
     headers = spark.range(1, count + 1).select(
         F.col("id").alias("part"), F.lit(-1).cast("bigint").alias("start"), F.lit(header).alias("value")
     )
-    body = lines.join(parts, key).select("part", "start", F.col("line").alias("value"))
+    # Files are dealt out evenly, a task at most one more than another.
+    writers = min(count, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    body = lines.join(parts, "_line").select("part", "start", F.col("line").alias("value"))
     (
         body.unionByName(headers)
-        .repartition(min(count, _MAX_WRITERS), "part")
+        .repartitionById(writers, F.pmod(F.col("part") - 1, F.lit(writers)).cast("int"))
         .withColumn("file", file_name(base, F.col("part")))
         .sortWithinPartitions("file", "start")
         .select("file", "value")

@@ -6,10 +6,10 @@ flat part list are derived from it, per row and without a shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.functions.parts import flatten_parts
+from mailsieve.functions.parts import MAX_DEPTH, flatten_parts
 
 # Columns of a landed dump.
 DUMP_SCHEMA = (
@@ -18,13 +18,45 @@ DUMP_SCHEMA = (
 )
 
 
-def with_parts(dump: DataFrame) -> DataFrame:
-    """Add ``headers`` and ``parts``; rows without an id are skipped."""
-    tree = dump.where(F.coalesce(F.col("id"), F.lit("")) != "").withColumn(
-        "tree", F.parse_json("payload")
-    )
+def _has_id() -> Column:
+    return F.coalesce(F.col("id"), F.lit("")) != ""
+
+
+def _unreadable() -> Column:
+    return F.col("payload").isNotNull() & F.try_parse_json("payload").isNull()
+
+
+def with_parts(dump: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Add ``headers`` and ``parts``; rows without an id are skipped.
+
+    A payload that is not JSON (or too long for it) ends no job: headers and parts of such a
+    row are null, its other columns stay, and ``quarantine`` lists it. A tree deeper than
+    ``max_depth`` raises.
+    """
+    tree = dump.where(_has_id()).withColumn("tree", F.try_parse_json("payload"))
     headers = F.try_variant_get("tree", "$.headers", "array<struct<name:string,value:string>>")
-    return tree.withColumns({"headers": headers, "parts": flatten_parts(F.col("tree"))}).drop("tree")
+    return tree.withColumns({"headers": headers, "parts": flatten_parts(F.col("tree"), max_depth)}).drop("tree")
+
+
+def quarantine(dump: DataFrame) -> DataFrame:
+    """``id, reason``: rows that have no id or a payload that cannot be read."""
+    reason = F.when(~_has_id(), "no id").when(_unreadable(), "bad payload")
+    return dump.select("id", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def land_messages(dump: DataFrame, path: str, max_depth: int = MAX_DEPTH) -> None:
+    """Write readable messages under ``messages``, by day, and the others' ids under ``quarantine``.
+
+    Headers, labels and parts are columns of their own there and the payload is left out: what
+    reads headers only no longer reads bodies."""
+    quarantine(dump).write.parquet(f"{path}/quarantine")
+    day = F.coalesce(F.to_date("internal_date").cast("string"), F.lit("none"))
+    good = with_parts(dump.where(~_unreadable()), max_depth).drop("payload").withColumn("day", day)
+    good.write.partitionBy("day").parquet(f"{path}/messages")
+
+
+def read_landed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/messages").drop("day")
 
 
 def read_messages(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:

@@ -23,9 +23,15 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder named by the cluster; a temporary one only in local mode.
+
+    The session's ``spark.checkpoint.dir`` counts first, then a folder already set on the
+    context. Anywhere but in local mode one of them is needed: executors share no local disk.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="mailsieve-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:

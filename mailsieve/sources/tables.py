@@ -12,8 +12,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Spread rows over the cluster if the scan alone cannot occupy it.
 
-    Text functions are bound by CPU. Input in fewer files than cores is shuffled once so
-    that all cores work; larger input already arrives in enough tasks and stays put.
+    Text functions are bound by CPU. Input that is read in fewer tasks than there are cores is
+    shuffled once so that all cores work; larger input, however few its files, stays put.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

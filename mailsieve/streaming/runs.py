@@ -20,9 +20,21 @@ from mailsieve.sources.session import work_path
 
 
 def dedupe_stream(messages: DataFrame, delay: str = "7 days") -> DataFrame:
-    """One message per Message-ID among those less than ``delay`` apart."""
-    keyed = messages.withColumn("message_id", header(F.col("headers"), "Message-ID"))
-    return keyed.withWatermark("internal_date", delay).dropDuplicatesWithinWatermark(["message_id"])
+    """The first message to arrive per Message-ID, among those that arrive less than ``delay`` apart.
+
+    The watermark follows the time of arrival, so old mail is never late. Messages without a
+    Message-ID are all kept, as in batch: the message's own id takes its place.
+    """
+    message_id = header(F.col("headers"), "Message-ID")
+    own_key = F.concat(F.lit("\u0000"), "id")
+    keyed = messages.withColumns(
+        {
+            "message_id": message_id,
+            "key": F.when(message_id != "", message_id).otherwise(own_key),
+            "arrived_at": F.current_timestamp(),
+        }
+    )
+    return keyed.withWatermark("arrived_at", delay).dropDuplicatesWithinWatermark(["key"]).drop("key")
 
 
 def export_stream(messages: DataFrame, options: ExportOptions = ExportOptions()) -> DataFrame:

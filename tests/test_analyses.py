@@ -120,3 +120,19 @@ def test_stream_equals_batch_over_several_files(spark, sf):
     streamed = runs.arrived(lambda m: runs.export_stream(m, options), mailbox)
     batch = runs.export_stream(with_parts(mailbox), options)
     assert sorted(streamed.collect()) == sorted(batch.collect())
+
+
+def test_sent_at_forms(spark):
+    forms = {
+        "Mon, 15 Jan 2024 10:30:00 +0100": "2024-01-15 09:30:00",
+        "15 Jan 2024 10:30:00 GMT": "2024-01-15 10:30:00",
+        "Mon, 15 Jan 2024 10:30 -0500 (EST)": "2024-01-15 15:30:00",
+        "15 Jan 24 10:30:00 EST": "2024-01-15 15:30:00",
+        "Tue, 5 Mar 99 01:02 PDT": "1999-03-05 08:02:00",
+        "Mon,  15 Jan 2024 10:30:00 UT": "2024-01-15 10:30:00",
+        "yesterday": None,
+        "": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in forms], "d string")
+    got = {r.d: r.t and str(r.t) for r in rows.select("d", an.sent_at(F.col("d")).cast("string").alias("t")).collect()}
+    assert got == forms
