@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -39,7 +40,9 @@ from mailsieve.llm.common import slices, written
 MAX_BITS = 18
 STRIDE = 128
 BLOCK_IDS = 1 << 16
-TABLE_ROWS = 250_000
+TABLE_ROWS = 500_000
+_WORDS_AT_ONCE = 2000
+_COUNT_AT_ONCE = 1 << 20
 _LONG_WORD = 80
 _SLICE_BYTES = 2 << 20
 _WORD = re.compile(r"[^ \t\r\n]+")
@@ -61,16 +64,20 @@ class WordTable:
         self.ids = np.zeros(0, np.uint32)
 
     def add(self, words: list[str]) -> None:
-        found = self.tokenizer.encode("\n".join(words), add_special_tokens=False)
-        begins = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        begins = np.cumsum(begins) - begins
-        places = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
-        own = np.searchsorted(begins, places, side="right") - 1
-        sizes = np.bincount(own, minlength=len(words))
-        self.at.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, np.cumsum(sizes) - sizes + len(self.ids)])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, np.array(found.ids, np.uint32)])
+        # Some words at a time: the library's time grows faster than a long text.
+        all_sizes, all_ids = [self.sizes], [self.ids]
+        for at in range(0, len(words), _WORDS_AT_ONCE):
+            part = words[at : at + _WORDS_AT_ONCE]
+            found = self.tokenizer.encode("\n".join(part), add_special_tokens=False)
+            begins = np.fromiter(map(len, part), np.int64, len(part)) + 1
+            begins = np.cumsum(begins) - begins
+            places = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
+            own = np.searchsorted(begins, places, side="right") - 1
+            all_sizes.append(np.bincount(own, minlength=len(part)))
+            all_ids.append(np.array(found.ids, np.uint32))
+        self.at.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
+        self.sizes, self.ids = np.concatenate(all_sizes), np.concatenate(all_ids)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids in order."""
@@ -93,21 +100,35 @@ class WordTable:
         return out
 
 
+class _Cells:
+    """Ids of a document between the passes: 16 or 32 bits each, compressed."""
+
+    def __init__(self):
+        self.compressor, self.decompressor = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+    def pack(self, ids: np.ndarray) -> bytes:
+        narrow = not len(ids) or int(ids.max()) < 1 << 16
+        return (b"2" if narrow else b"4") + self.compressor.compress(ids.astype("<u2" if narrow else "<u4").tobytes())
+
+    def unpack(self, cell: bytes) -> np.ndarray:
+        return np.frombuffer(self.decompressor.decompress(cell[1:]), "<u" + cell[:1].decode()).astype("<u4")
+
+
 def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_column: str, text_column: str) -> DataFrame:
-    """``doc_id, ids``: ids with the end id behind them, as little-endian unsigned 32-bit integers."""
+    """``doc_id, ids``: ids with the end id behind them, narrowed and compressed by ``_Cells``."""
     with open(tokenizer_path) as f:
         model = f.read()
     rows = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task on each core
-        table = WordTable(Tokenizer.from_str(model))
+        table, packed = WordTable(Tokenizer.from_str(model)), _Cells()
         for part in slices(batches, "text", _SLICE_BYTES):
             counts, ids = table.encode([t or "" for t in part.column("text").to_pylist()])
             ends = np.cumsum(counts)
-            ids = np.insert(ids, ends, np.uint32(end_id)).astype("<u4")
+            ids = np.insert(ids, ends, np.uint32(end_id))
             ends = ends + np.arange(1, len(ends) + 1)
-            cells = [ids[a:b].tobytes() for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
+            cells = [packed.pack(ids[a:b]) for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cells, pa.binary())], ["doc_id", "ids"])
 
     return rows.mapInArrow(encode, "doc_id bigint, ids binary")
@@ -116,14 +137,20 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_column: str
 def id_counts(ids: DataFrame) -> DataFrame:
     """``id, n`` over all documents; tasks count before the shuffle."""
 
+    def add(total: np.ndarray, held: list[np.ndarray]) -> np.ndarray:
+        found = np.bincount(np.concatenate([*held, np.zeros(0, np.uint32)]), minlength=len(total))
+        found[: len(total)] += total
+        return found
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+        total, packed, held, size = np.zeros(0, np.int64), _Cells(), [], 0
         for batch in batches:
-            for cell in batch.column("ids"):
-                found = np.bincount(np.frombuffer(cell.as_buffer(), "<u4"))
-                if len(found) > len(total):
-                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-                total[: len(found)] += found
+            for cell in batch.column("ids").to_pylist():
+                held.append(packed.unpack(cell))
+                size += len(held[-1])
+                if size >= _COUNT_AT_ONCE:
+                    total, held, size = add(total, held), [], 0
+        total = add(total, held)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
@@ -232,7 +259,7 @@ def write_token_files(
     ranged = ids.withColumn("_tie", F.xxhash64("ids")).repartitionByRange(*keys).sortWithinPartitions(*keys)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, part, number = Code(used, lengths), TaskContext.get().partitionId(), 0
+        code, packed, part, number = Code(used, lengths), _Cells(), TaskContext.get().partitionId(), 0
         docs_held, cells, held = [], [], 0
 
         def block() -> pa.RecordBatch:
@@ -244,9 +271,9 @@ def write_token_files(
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
-            for doc, cell in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+            for doc, cell in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 docs_held.append(doc)
-                cells.append(np.frombuffer(cell.as_buffer().to_pybytes(), "<u4"))
+                cells.append(packed.unpack(cell))
                 held += len(cells[-1])
                 if held >= block_ids:
                     yield block()
