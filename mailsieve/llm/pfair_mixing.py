@@ -131,13 +131,18 @@ def mix(
     name = F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
     order = F.md5(F.coalesce(key.cast("string"), F.lit("")))
     bucket = F.conv(F.substring(order, 1, 8), 16, 10).cast("bigint") * buckets
-    rows = docs.withColumns(
-        {"_source": name, "_order": order, "_bucket": F.floor(bucket / (1 << 32)).cast("int")}
+    # The row travels as one column, so that none of its names can clash.
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
+        key.alias("_id"),
+        name.alias("_source"),
+        order.alias("_order"),
+        F.floor(bucket / (1 << 32)).cast("int").alias("_bucket"),
     )
     counts = rows.groupBy("_source", "_bucket").agg(F.count("*").alias("n"))
     before = W.partitionBy("_source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select("_source", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    within = W.partitionBy("_source", "_bucket").orderBy("_order", id_column)
+    within = W.partitionBy("_source", "_bucket").orderBy("_order", "_id")
     numbered = (
         rows.withColumn("_rank", F.row_number().over(within))
         .join(bases, ["_source", "_bucket"])
@@ -183,7 +188,7 @@ def mix(
     )
     slot = F.col("start") + F.col("_frame") * frame + F.col("_at")
     return placed.join(slots, ["phase", "_source", "_i"]).select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.col("_doc").getField(c).alias(c) for c in docs.columns],
         "block",
         "phase",
         slot.alias("slot"),
