@@ -20,14 +20,13 @@ files. Other columns are not stored.
 
 from __future__ import annotations
 
-import itertools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -44,8 +43,7 @@ TABLE_ROWS = 500_000
 _WORDS_AT_ONCE = 2000
 _COUNT_AT_ONCE = 1 << 20
 _LONG_WORD = 80
-_SLICE_BYTES = 2 << 20
-_WORD = re.compile(r"[^ \t\r\n]+")
+_SLICE_BYTES = 6 << 20
 
 
 class WordTable:
@@ -79,22 +77,23 @@ class WordTable:
         self.sizes, self.ids = np.concatenate(all_sizes), np.concatenate(all_ids)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids in order."""
-        words = [_WORD.findall(t) for t in texts]
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
         if len(self.at) > TABLE_ROWS:
             self.clear()
-        fresh = set(itertools.chain.from_iterable(words)).difference(self.at)
+        distinct = words.dictionary.to_pylist()
+        fresh = [w for w in distinct if w not in self.at]
         if fresh:
-            self.add(sorted(fresh))
-        per_text = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter(
-            map(self.at.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(per_text.sum())
-        )
+            self.add(fresh)
+        place = np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))
+        at = place[words.indices.to_numpy()]
         sizes = self.sizes[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         take = np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])
-        out = np.diff(ends[np.concatenate([[0], np.cumsum(per_text)])]), self.ids[take]
+        edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        out = np.diff(ends[edges]), self.ids[take]
         if any(len(w) > _LONG_WORD for w in fresh):
             self.clear()
         return out
@@ -124,7 +123,7 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_column: str
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task on each core
         table, packed = WordTable(Tokenizer.from_str(model)), _Cells()
         for part in slices(batches, "text", _SLICE_BYTES):
-            counts, ids = table.encode([t or "" for t in part.column("text").to_pylist()])
+            counts, ids = table.encode(pc.fill_null(part.column("text"), ""))
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, np.uint32(end_id))
             ends = ends + np.arange(1, len(ends) + 1)
