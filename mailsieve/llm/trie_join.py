@@ -5,7 +5,7 @@ sets have in common first is rare. Equal sets are one record.
 
 1. Prefixes. Two similar sets share a shingle within the first n - ceil(0.75 n) + 1 of each; only
    these prefixes are shuffled, and shingles that a single record holds end there.
-2. Leaders. Each record is verified against one or two records that share most of its prefix;
+2. Leaders. Each record is verified against one central record that shares much of its prefix;
    this joins most of a group of near copies with work in proportion to its size.
 3. The rest. Only prefix shingles whose records are still in different components are joined, with
    the records outside a shingle's largest component on one side. Pairs that the shared part of
@@ -27,6 +27,7 @@ of their own with that id; null ids count as larger than all others; other colum
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,10 @@ from mailsieve.llm.words import mix, shingle_sets
 STRIDE = 32
 GROUP = 256
 _SLICE_BYTES = 1 << 20
-_CHUNK = 3_000_000  # shingles counted together in a task
-_FREQUENT_IN_CHUNK = 4
-_FREQUENT = 1 << 19  # at most so many shingles are known as frequent; this bounds what tasks are sent
+LEADER_ROUNDS = 1
+_CHUNK = 4_000_000  # shingles counted together in a task
+_FREQUENT_IN_CHUNK = 2
+_FREQUENT = 1 << 20  # at most so many shingles are known as frequent; this bounds what tasks are sent
 _MAP_BITS = 23
 
 
@@ -262,25 +264,38 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
         .withColumns({"low": F.min("record").over(by_key), "high": F.max("record").over(by_key)})
         .where("low != high")
         .dropDuplicates(["key", "record"])
+        .drop("low", "high")
     )
     shared = written(shared, "shared")
     records = written(shared.select("record").distinct(), "records")
-    sets = written(_sets(docs, records, order, seed), "sets")
 
-    def leader(side: str) -> DataFrame:
-        counted = shared.where(f"record != {side}").groupBy("record", side).count()
-        best = F.max_by(side, F.struct("count", side))
-        return counted.groupBy("record").agg(best.alias("b")).withColumnRenamed("record", "a")
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "candidates")
+        involved = pairs.select(F.explode(F.array("a", "b")).alias("record")).distinct()
+        return _verified(pairs, _sets(docs, written(involved, "involved"), order, seed))
 
-    first = _verified(leader("low").unionByName(leader("high")).distinct(), sets)
+    # Central records share most of their prefix with others; the original of edited copies does.
+    degree = shared.groupBy("record").agg(F.count("*").alias("degree"))
+    open_ = shared.select("key", "record", "n", "pos").join(degree, "record").withColumn("component", F.col("record"))
     nodes = records.withColumnRenamed("record", "node")
-    found = components(nodes, first)
-
-    tagged = shared.drop("low", "high").join(found.withColumnRenamed("node", "record"), "record")
-    tagged = tagged.withColumns(
-        {"low": F.min("component").over(by_key), "high": F.max("component").over(by_key)}
-    ).where("low != high")
-    tagged = written(tagged.select("key", "record", "n", "pos", "component"), "between")
+    open_, links = written(open_, "open"), []
+    for _ in range(LEADER_ROUNDS):
+        central = open_.groupBy("key").agg(F.max(F.struct("degree", "record", "component")).alias("lead"))
+        led = open_.join(central, "key").where("component != lead.component")
+        counted = led.groupBy("record", "n", F.col("lead.record").alias("b")).count().where("28 * count >= 3 * n")
+        leaders = counted.groupBy("record").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+        links.append(verified(leaders.withColumnRenamed("record", "a")))
+        found = components(nodes, reduce(DataFrame.unionByName, links))
+        # Shingles whose records are all in one component are done with.
+        open_ = written(
+            open_.drop("component")
+            .join(found.withColumnRenamed("node", "record"), "record")
+            .withColumns({"low": F.min("component").over(by_key), "high": F.max("component").over(by_key)})
+            .where("low != high")
+            .drop("low", "high"),
+            "open",
+        )
+    tagged = open_
     sizes = tagged.groupBy("key", "component").count()
     largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
     some = tagged.join(largest, "key").where("component != largest")
@@ -292,12 +307,19 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
         "component1 != component2 AND (NOT outside OR record1 < record2)"
         " AND 4 * least(n1, n2) >= 3 * greatest(n1, n2)"
     )
-    pairs = meets.groupBy("record1", "record2", "n1", "n2").agg(
-        F.count("*").alias("k"), F.max("pos1").alias("p1"), F.max("pos2").alias("p2")
+    # A pair may meet either way round, depending on a shingle's largest component.
+    turned = F.col("record1") > F.col("record2")
+    meets = meets.select(
+        *[F.when(turned, F.col(f"{c}2")).otherwise(F.col(f"{c}1")).alias(f"{c}a") for c in ("record", "n", "pos")],
+        *[F.when(turned, F.col(f"{c}1")).otherwise(F.col(f"{c}2")).alias(f"{c}b") for c in ("record", "n", "pos")],
+    )
+    pairs = meets.groupBy("recorda", "recordb", "na", "nb").agg(
+        F.count("*").alias("k"), F.max("posa").alias("pa"), F.max("posb").alias("pb")
     )
-    pairs = pairs.where("7 * (k + least(n1 - p1, n2 - p2) - 1) >= 3 * (n1 + n2)")
-    second = _verified(pairs.select(F.col("record1").alias("a"), F.col("record2").alias("b")), sets)
-    found = components(nodes, first.unionByName(second))
+    # All that both have up to their last common shingle has been counted.
+    pairs = pairs.where("7 * (k + least(na - pa, nb - pb) - 1) >= 3 * (na + nb)")
+    second = verified(pairs.select(F.col("recorda").alias("a"), F.col("recordb").alias("b")))
+    found = components(nodes, reduce(DataFrame.unionByName, [*links, second]))
 
     smallest = rows.where("n > 0").groupBy("record").agg(F.min("doc_id").alias("least"))
     named = smallest.join(found.withColumnRenamed("node", "record"), "record", "left").withColumn(
