@@ -16,7 +16,7 @@ from mailsieve.llm.sentence_pieces import ChunkTable, encode_pieces, load
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "\n", "a\n\n b\t", "▁", "a▁ b", " ▁", "é😀ﬁ", "x\u0000y", "İstanbul ΣΑΣ.", "don't <s> </s>", "ab" * 3000]
+ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "\n", "a\n\n b\t", "▁", "a▁ b", " ▁", "é😀ﬁ", "x\u0000y", "İstanbul ΣΑΣ.", "don't <s> </s>", "ab" * 3000, "A <|endoftext|> B", "A <|ENDOFTEXT|> b", "ÀÉ Straße ǅ"]
 
 
 def test_pieces_of_odd_strings():
