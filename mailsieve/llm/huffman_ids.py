@@ -79,7 +79,10 @@ class WordTable:
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids in order."""
-        lists = pc.ascii_split_whitespace(texts)
+        # The tokenizer lower-cases; doing so first makes words fewer. Its special strings are
+        # recognised before that and only as they are written.
+        special = pc.match_substring(texts, "<|")
+        lists = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
         words = lists.flatten().dictionary_encode()
         if len(self.at) > TABLE_ROWS:
             self.clear()
