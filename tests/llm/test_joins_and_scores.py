@@ -248,3 +248,14 @@ def test_stages_on_odd_documents(spark, odd_documents, no_documents):
             rows = stage(spark, rows, "")
             assert tuple(rows.columns) == corpus_pipeline.COLUMNS
         corpus_pipeline.STAGES[-1][1](spark, rows, "").collect()
+
+
+def test_rare_words_train_the_whole_word_contexts(spark):
+    """A word that a kind holds once counts in every context, as often as its bits."""
+    from mailsieve.llm.context_mixing import CONTEXTS, ORDERS, SLOT_BITS, _bit_counts
+
+    assert max(ORDERS) == 5
+    words = spark.createDataFrame([("0once", 1), ("1once", 1), ("0often", 3)], "word string, c bigint")
+    rows = _bit_counts(words).withColumn("context", F.col("slot").bitwiseAND(F.lit(-(1 << SLOT_BITS))) / (1 << SLOT_BITS))
+    seen = {r.context: r.seen for r in rows.groupBy("context").agg(F.sum(F.col("zeros") + F.col("ones")).alias("seen")).collect()}
+    assert seen == {kind: 8 * (5 + 5 + 3 * 6) for kind in range(CONTEXTS)}
