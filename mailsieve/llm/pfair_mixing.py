@@ -1,17 +1,20 @@
 """Mixing sources to target weights by Pfair scheduling with earliest deadlines first.
 
-Rows of a source are cut into blocks. A frame has ``frame`` slots, and a source with weight
-share w has about w * frame blocks in it (largest remainders, so shares add up exactly). Block
-i of a source with quota q is released at slot floor(i * frame / q) and due at slot
-ceil((i + 1) * frame / q); at every slot the released block with the earliest deadline goes.
-One resource used to the full meets all these deadlines, so at any slot every source is less
-than one block away from its share. Frames repeat unchanged until a source has run out; then
-the weights of the others are scaled up and the next phase begins. No row is left out.
-
-Only DataFrame and SQL functions: the schedule of a frame is a fold over its slots, rows are
-numbered within (source, bucket) so that a source with a third of all rows is spread over many
-tasks, and slots reach rows through tables bounded by phases x frame. The driver sees one count
-per source.
+Rows of a source are cut into blocks. Block i of a source with weight share w is released at slot
+floor(i / w) of its phase and due at slot ceil((i + 1) / w); at every slot the released block with
+the earliest deadline goes. One resource used to the full meets all these deadlines, so at any slot
+of a phase every source is less than one block away from its share, however long the phase is and
+however small the share. A phase ends when a source has run out; then the weights of the others are
+scaled up and the next phase begins. No row is left out.
+
+Shares are integers that add up to ``UNIT``, and all arithmetic on them is exact. The driver goes
+through the slots once, in one number per block and without rows, and notes how many blocks each source
+has had where a frame of ``frame`` slots begins. Frames are then scheduled side by side by the same rule,
+as a fold over the slots of each from what was noted.
+
+Only DataFrame and SQL functions touch rows: they are numbered within (source, bucket) so that a
+source with a third of all rows is spread over many tasks, and reach their slots by (source, block).
+The driver sees one count per source.
 
 Defined cases: a null source is a source of its own; sources without a positive weight follow
 after all others, in equal shares; within a source rows are in the order of a hash of their id
@@ -21,14 +24,16 @@ an added one is replaced.
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 FRAME = 1000
+UNIT = 1 << 30  # shares are rounded to this part, which is a block in so many slots
 BLOCK_ROWS = 16
 TEMPERATURE = 0.5
 _ROWS_PER_BUCKET = 100_000
@@ -37,7 +42,7 @@ ADDED = ("block", "phase", "slot", "position")
 
 
 def quotas(weights: Mapping[str | None, float], frame: int) -> dict[str | None, int]:
-    """Blocks per frame of each source: largest remainders, ties by name."""
+    """Shares of each source in ``frame`` parts: largest remainders, ties by name."""
     total = sum(weights.values())
     exact = {s: w * frame / total for s, w in weights.items()}
     share = {s: math.floor(x) for s, x in exact.items()}
@@ -47,37 +52,62 @@ def quotas(weights: Mapping[str | None, float], frame: int) -> dict[str | None,
     return share
 
 
+def _slots(shares: list[int], done: list[int], limits: list[int], frame: int) -> Iterator[list[int]]:
+    """``done`` at the start of every frame, earliest deadline first until a source reaches its limit.
+
+    The last list is ``done`` at the end. The work is a heap operation or two for each block."""
+    total, slot = sum(shares), 0
+    waiting = [(0, s) for s in range(len(shares))]  # releases of the next block of each source
+    ready: list[tuple[int, int]] = []
+    first = list(done)
+    while True:
+        if slot % frame == 0:
+            yield [d - f for d, f in zip(done, first, strict=True)]
+        while waiting and waiting[0][0] <= slot:
+            s = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(done[s] - first[s] + 1) * total // shares[s]), s))
+        s = heapq.heappop(ready)[1]
+        done[s] += 1
+        slot += 1
+        if done[s] == limits[s]:
+            break
+        heapq.heappush(waiting, ((done[s] - first[s]) * total // shares[s], s))
+    yield [d - f for d, f in zip(done, first, strict=True)]
+
+
 def phases(blocks: Mapping[str | None, int], weights: Mapping[str | None, float], frame: int) -> list[dict]:
-    """Phases in order: first slot, frames, and (source, quota, first block) of each active source."""
+    """Phases in order: first slot, slots, (source, share, first block) of each active source, and the
+    blocks each of them has had in the phase where its frames begin."""
     left, start, out = dict(blocks), 0, []
     while any(left.values()):
         active = {s: weights.get(s) or 0.0 for s, n in left.items() if n and (weights.get(s) or 0) > 0}
         active = active or {s: 1.0 for s, n in left.items() if n}
-        share = {s: q for s, q in quotas(active, frame).items() if q}
-        frames = min(-(-left[s] // q) for s, q in share.items())
-        out.append(
-            {
-                "phase": len(out),
-                "start": start,
-                "frames": frames,
-                "shares": [(s, q, blocks[s] - left[s]) for s, q in share.items()],
-            }
-        )
-        start += frames * frame
-        for s, q in share.items():
-            left[s] = max(0, left[s] - q * frames)
+        share = {s: max(q, 1) for s, q in quotas(active, UNIT).items()}
+        done = [blocks[s] - left[s] for s in share]
+        shares = [(s, q, b) for (s, q), b in zip(share.items(), done, strict=True)]
+        *begun, had = _slots(list(share.values()), done, [blocks[s] for s in share], frame)
+        out.append({"phase": len(out), "start": start, "slots": sum(had), "shares": shares, "begun": begun})
+        start += sum(had)
+        for s, n in zip(share, had, strict=True):
+            left[s] -= n
     return out
 
 
-def _schedule(quota: Column, frame: int) -> Column:
+def _schedule(
+    quota: Column, frame: int | Column, total: Column | None = None, first: Column | None = None, begun: Column | None = None
+) -> Column:
     """Array of ``(slot, source, i)``: earliest deadline first over the slots of one frame.
 
-    ``quota`` is an array of blocks per frame; sources are its positions."""
-    at = F.sequence(F.lit(0), F.lit(frame - 1))
+    ``quota`` is an array of shares, ``total`` their sum (``frame`` unless given); sources are its
+    positions. ``first`` is the frame's first slot and ``begun`` what each source has had by then."""
+    total = F.lit(frame).cast("bigint") if total is None else total
+    first = F.lit(0).cast("bigint") if first is None else first
+    begun = F.transform(quota, lambda q: F.lit(0).cast("bigint")) if begun is None else begun
+    at = F.sequence(F.lit(0), F.lit(frame) - 1)
     none = F.lit(1 << 62).cast("bigint")
 
-    def due(done: Column, q: Column) -> Column:
-        return -F.floor(-((done + 1) * frame) / q)
+    def div(a: Column, b: Column) -> Column:
+        return F.call_function("div", a, b.cast("bigint"))
 
     def pick(acc: Column, slot: Column) -> Column:
         # The key orders by deadline, then by the position of the source.
@@ -85,7 +115,7 @@ def _schedule(quota: Column, frame: int) -> Column:
             acc["done"],
             quota,
             lambda done, q: F.when(
-                (done < q) & (F.floor(done * frame / q) <= slot), due(done, q).cast("bigint")
+                div(done * total, q) <= first + slot, div((done + 1) * total + q - 1, q)
             ).otherwise(none),
         )
         best = F.array_position(keys, F.array_min(keys)).cast("int")
@@ -96,8 +126,8 @@ def _schedule(quota: Column, frame: int) -> Column:
         return F.struct(done.alias("done"), F.concat(acc["out"], F.array(picked)).alias("out"))
 
     start = F.struct(
-        F.transform(quota, lambda q: F.lit(0)).alias("done"),
-        F.expr("CAST(array() AS array<struct<slot:int,source:int,i:int>>)").alias("out"),
+        begun.alias("done"),
+        F.expr("CAST(array() AS array<struct<slot:int,source:int,i:bigint>>)").alias("out"),
     )
     return F.aggregate(at, start, pick, lambda acc: acc["out"])
 
@@ -113,7 +143,7 @@ def mix(
     """``docs`` with ``block, phase, slot`` and ``position``, the place of the row in the mixture.
 
     Without ``weights`` a source weighs its number of rows to the power ``TEMPERATURE``.
-    Positions are unique and ordered; they have gaps where a source ran out within a frame.
+    Positions are unique and ordered; they have gaps where the last block of a source is not full.
     """
     spark = docs.sparkSession
     docs = docs.drop(*ADDED)
@@ -150,47 +180,33 @@ def mix(
         .withColumn("block", F.floor(F.col("_row") / block_rows))
     )
 
-    shares = spark.createDataFrame(
-        [
-            (p["phase"], p["start"], p["frames"], [("" if s is None else f"={s}", q, b) for s, q, b in p["shares"]])
-            for p in plan
-        ],
-        "phase int, start bigint, frames bigint, shares array<struct<source:string,quota:int,first:bigint>>",
+    frames = [
+        (p["phase"], p["start"], at * frame, p["slots"], sum(q for _, q, _ in p["shares"]),
+         ["" if s is None else f"={s}" for s, _, _ in p["shares"]], [q for _, q, _ in p["shares"]],
+         [b for _, _, b in p["shares"]], begun)
+        for p in plan
+        for at, begun in enumerate(p["begun"])
+    ]
+    table = spark.createDataFrame(
+        frames,
+        "phase int, start bigint, at bigint, slots bigint, total bigint, sources array<string>,"
+        " shares array<bigint>, firsts array<bigint>, begun array<bigint>",
     )
-    pattern = shares.select(
-        "phase", "start", "frames", "shares", F.explode(_schedule(F.col("shares.quota"), frame)).alias("e")
-    )
-    entry = F.element_at("shares", F.col("e.source") + 1)
-    pattern = pattern.select(
-        "phase", "start", "frames",
-        F.col("e.slot").alias("_at"), F.col("e.i").alias("_i"),
-        entry["source"].alias("_source"), entry["quota"].alias("_quota"), entry["first"].alias("_first"),
-    )
-    spans = shares.select("phase", "frames", F.explode("shares").alias("e")).select(
-        F.col("e.source").alias("_source"),
-        F.col("phase").alias("_phase"),
-        F.col("e.first").alias("_from"),
-        (F.col("e.first") + F.col("e.quota") * F.col("frames")).alias("_to"),
-        F.col("e.quota").alias("_q"),
-    )
-    slots = pattern.select("phase", "_source", "_i", "_at", "start")
-    if len(plan) * frame <= _BROADCAST_ROWS:  # the size of both tables is known here
-        spans, slots = F.broadcast(spans), F.broadcast(slots)
-    placed = numbered.join(
-        spans.withColumnRenamed("_source", "_s"),
-        (F.col("_source") == F.col("_s")) & (F.col("block") >= F.col("_from")) & (F.col("block") < F.col("_to")),
-    ).withColumns(
-        {
-            "_frame": F.floor((F.col("block") - F.col("_from")) / F.col("_q")),
-            "_i": ((F.col("block") - F.col("_from")) % F.col("_q")).cast("int"),
-            "phase": F.col("_phase"),
-        }
+    table = table.repartition(max(1, min(len(frames) // 4, 1024)))
+    size = F.least(F.lit(frame), F.col("slots") - F.col("at")).cast("int")
+    picked = F.explode(_schedule(F.col("shares"), size, F.col("total"), F.col("at"), F.col("begun")))
+    slots = table.select("*", picked.alias("e")).select(
+        F.element_at("sources", F.col("e.source") + 1).alias("_source"),
+        (F.element_at("firsts", F.col("e.source") + 1) + F.col("e.i")).alias("block"),
+        "phase",
+        (F.col("start") + F.col("at") + F.col("e.slot")).alias("slot"),
     )
-    slot = F.col("start") + F.col("_frame") * frame + F.col("_at")
-    return placed.join(slots, ["phase", "_source", "_i"]).select(
+    if sum(p["slots"] for p in plan) <= _BROADCAST_ROWS:  # the size of the table is known here
+        slots = F.broadcast(slots)
+    return numbered.join(slots, ["_source", "block"]).select(
         *[F.col("_doc").getField(c).alias(c) for c in docs.columns],
         "block",
         "phase",
-        slot.alias("slot"),
-        (slot * block_rows + F.col("_row") % block_rows).alias("position"),
+        "slot",
+        (F.col("slot") * block_rows + F.col("_row") % block_rows).alias("position"),
     )

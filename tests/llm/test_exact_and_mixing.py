@@ -92,3 +92,23 @@ def test_unlisted_sources_come_last(odd_documents):
 def test_quotas_add_up():
     assert pf.quotas({"x": 1, "y": 1, "z": 1}, 10) == {"x": 4, "y": 3, "z": 3}
     assert sum(pf.quotas({str(i): i**0.5 for i in range(1, 40)}, 1000).values()) == 1000
+
+
+@pytest.mark.parametrize(
+    "weights, sizes",
+    [
+        ({"big": 1 / 3} | {f"s{i}": 2 / 57 for i in range(19)}, {"big": 1000} | {f"s{i}": 106 for i in range(19)}),
+        ({"most": 0.9996, "tiny": 0.0004}, {"most": 5997, "tiny": 3}),
+    ],
+)
+def test_deviation_from_true_weights_over_many_frames(spark, weights, sizes):
+    docs = spark.createDataFrame([(i, s) for s, n in sizes.items() for i in range(n)], "doc_id bigint, source string")
+    rows = pf.mix(docs, weights, frame=20, block_rows=1).orderBy("position").collect()
+    assert len(rows) == sum(sizes.values()) and [r.position for r in rows] == list(range(len(rows)))
+    assert rows == sorted(rows, key=lambda r: (r.phase, r.slot))
+    first = [r.source for r in rows if r.phase == 0]
+    assert len(first) > 0.9 * len(rows)
+    seen = dict.fromkeys(weights, 0)
+    for n, source in enumerate(first, 1):
+        seen[source] += 1
+        assert all(abs(seen[s] - w * n) < 1.001 for s, w in weights.items())
