@@ -2,8 +2,9 @@
 
 ``STAGES`` lists ``(name, function)``; a function takes ``(spark, docs, sf_dir)`` and returns a
 DataFrame. All but the last return the columns of ``documents``. Every stage works on all rows
-its predecessor kept. Rows that repeat a document id together with its text are one document
-to the second stage. Null texts have no language and leave in the first stage.
+its predecessor kept. The second and the third stage keep one row of each group, whatever its id:
+ids may be null, repeated, or have several texts. Null texts have no language and leave in the
+first stage.
 """
 
 from __future__ import annotations
@@ -21,13 +22,19 @@ from mailsieve.llm.trie_join import similar_documents
 from mailsieve.sources.tables import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+ROW = "_row"
 MIN_LANGUAGE_SCORE = 0.3
 PIECES = "piece_bpe_32k.model"
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents with these ids."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs``, written with a number for every row: ids may be null or occur several times."""
+    return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW)), "numbered")
+
+
+def _kept(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Documents with these row numbers."""
+    return rows.join(numbers.select(ROW), ROW, "left_semi").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +46,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text, the one with the largest id."""
-    return _kept(docs, exact_dedup(docs, keep="max").where("kept"))
+    """One row of each text, the one with the largest id (of several of these, the last row)."""
+    rows = _numbered(docs)
+    kept = exact_dedup(rows, keep="max", row_column=ROW).where("kept")
+    return _kept(rows, kept.groupBy("text_sha256", "doc_id").agg(F.max(ROW).alias(ROW)))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones, the one with the smallest id."""
-    return _kept(docs, similar_documents(docs).where("doc_id = component_id"))
+    """One row of each group of similar ones, the one with the smallest id (of several of these, the
+    first row); a null id counts as larger than all others."""
+    rows = _numbered(docs)
+    found = similar_documents(rows.select(ROW, "text"), id_column=ROW).join(rows.select(ROW, "doc_id"), ROW)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")
+    return _kept(rows, found.groupBy("component_id").agg(first).select(f"first.{ROW}"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

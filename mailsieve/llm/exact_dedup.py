@@ -27,17 +27,20 @@ def exact_dedup(
     text_column: str = "text",
     keep: str = "min",
     hash_bits: int = HASH_BITS,
+    row_column: str | None = None,
 ) -> DataFrame:
     """``id, keep_id, group_size, kept, text_sha256``, one row per row of ``docs``.
 
     ``keep`` says which id of equal texts stays, the smallest or the largest. ``hash_bits``
     (a multiple of 4) is the length of the content hash, the start of the SHA-256 digest.
+    ``row_column`` is handed on, so that rows that repeat an id and its text can be told apart.
     """
     if keep not in ("min", "max"):
         raise ValueError(f"keep must be min or max, not {keep!r}")
     best = F.min if keep == "min" else F.max
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_column}`").alias("_id"), text.alias("_text"))
+    own = [F.col(f"`{row_column}`").alias("_row")] if row_column else []
+    rows = docs.select(F.col(f"`{id_column}`").alias("_id"), text.alias("_text"), *own)
     keyed = rows.withColumn("_sha", F.sha2("_text", 256)).withColumn(
         "_hash", F.substring("_sha", 1, hash_bits // 4)
     )
@@ -54,6 +57,7 @@ def exact_dedup(
         F.col("_size").alias("group_size"),
         F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"),
         F.col("_sha").alias("text_sha256"),
+        *[F.col("_row").alias(row_column) for _ in own],
     ]
     # A much-repeated hash makes this join uneven; adaptive execution splits its rows.
     clear = keyed.drop("_text").join(groups.where("_texts = 1"), "_hash").select(*out)

@@ -259,3 +259,26 @@ def test_rare_words_train_the_whole_word_contexts(spark):
     rows = _bit_counts(words).withColumn("context", F.col("slot").bitwiseAND(F.lit(-(1 << SLOT_BITS))) / (1 << SLOT_BITS))
     seen = {r.context: r.seen for r in rows.groupBy("context").agg(F.sum(F.col("zeros") + F.col("ones")).alias("seen")).collect()}
     assert seen == {kind: 8 * (5 + 5 + 3 * 6) for kind in range(CONTEXTS)}
+
+
+def test_dedup_stages_keep_one_row_of_each_group(spark, odd_documents):
+    docs = odd_documents.where("text IS NOT NULL")
+    once = corpus_pipeline.exact(spark, docs, "")
+    last = {}
+    for r in docs.collect():
+        last[r.text] = max(last.get(r.text, -1), -1 if r.doc_id is None else r.doc_id)
+    key = lambda r: (-1 if r.doc_id is None else r.doc_id, r.text)
+    assert sorted(map(key, once.collect())) == sorted((i, t) for t, i in last.items())
+    assert (-1, "no id but some words here") in map(key, once.collect())
+    rows = [tuple(r) for r in once.select("doc_id", "text").collect()]
+    alone = [(-1 if i is None else i) for i, _, least in brute_classes(rows) if i == least]
+    assert sorted(key(r)[0] for r in corpus_pipeline.near(spark, once, "").collect()) == sorted(alone)
+
+    same = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, "x"), (5, "y"), (9, "y"), (5, "x"), (7, same), (7, same + " z"), (None, same + " q"), (None, "alone"), (7, "other")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    once = corpus_pipeline.exact(spark, docs, "").select("doc_id", "text").collect()
+    want = [(5, "x"), (9, "y"), (7, same), (7, same + " z"), (None, same + " q"), (None, "alone"), (7, "other")]
+    assert sorted(map(str, map(tuple, once))) == sorted(map(str, want))
+    left = [tuple(r) for r in corpus_pipeline.near(spark, docs, "").select("doc_id", "text").collect()]
+    assert sorted(map(str, left)) == sorted(map(str, [(5, "x"), (5, "y"), (7, same), (None, "alone"), (7, "other")]))
