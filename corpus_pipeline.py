@@ -9,6 +9,8 @@ first stage.
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,16 +64,48 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mixture of their sources."""
+    """All documents in the order of the mixture of their sources, which the next stage reads as ``place``."""
     placed = mix(docs.select(*COLUMNS))
     return placed.repartitionByRange("position").sortWithinPartitions("position").select(*COLUMNS)
 
 
+def _is_table(docs: DataFrame) -> bool:
+    """Whether these are the rows of files as they lie there, so that files and rows in them have an order."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in ("Project", "SubqueryAlias"):
+        node = node.child()
+    return node.getClass().getSimpleName() == "LogicalRelation"
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``place``, the number of rows before it in the order in which rows were written.
+
+    Spark reads files in any order, so the place is told by the names of files (numbered by the task
+    that wrote them) and the index of the row in its file. The driver sees one count per file."""
+    docs = docs if _is_table(docs) else written(docs, "ordered")
+    rows = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    counts = {r["_file"]: r["n"] for r in rows.groupBy("_file").agg(F.count("*").alias("n")).collect()}
+
+    def order(path: str) -> tuple[int, str]:
+        part = re.match(r"part-(\d+)", path.rsplit("/", 1)[-1])
+        return int(part[1]) if part else -1, path
+
+    bases, place = [], 0
+    for path in sorted(counts, key=order):
+        bases.append((path, place))
+        place += counts[path]
+    files = docs.sparkSession.createDataFrame(bases, "_file string, _base bigint")
+    return rows.join(F.broadcast(files), "_file").select(*docs.columns, (F.col("_base") + F.col("_index")).alias("place"))
+
+
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of pieces of each document, and digests of its ids and of what they decode to."""
-    return encode_pieces(docs.select("doc_id", "source", "text"), public_tokenizers.path(PIECES)).select(
+    """Place of each document in the mixture, number of its pieces, and digests of its ids and of what
+    they decode to."""
+    placed = _placed(docs).select("doc_id", "source", "text", "place")
+    return encode_pieces(placed, public_tokenizers.path(PIECES)).select(
         "doc_id",
         "source",
+        "place",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -78,7 +78,8 @@ def _slots(shares: list[int], done: list[int], limits: list[int], frame: int) ->
 def phases(blocks: Mapping[str | None, int], weights: Mapping[str | None, float], frame: int) -> list[dict]:
     """Phases in order: first slot, slots, (source, share, first block) of each active source, and the
     blocks each of them has had in the phase where its frames begin."""
-    left, start, out = dict(blocks), 0, []
+    # Ties go by name, not by the order in which counts arrived.
+    left, start, out = {s: blocks[s] for s in sorted(blocks, key=lambda s: (s is not None, s or ""))}, 0, []
     while any(left.values()):
         active = {s: weights.get(s) or 0.0 for s, n in left.items() if n and (weights.get(s) or 0) > 0}
         active = active or {s: 1.0 for s, n in left.items() if n}

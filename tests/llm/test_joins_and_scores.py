@@ -282,3 +282,46 @@ def test_dedup_stages_keep_one_row_of_each_group(spark, odd_documents):
     assert sorted(map(str, map(tuple, once))) == sorted(map(str, want))
     left = [tuple(r) for r in corpus_pipeline.near(spark, docs, "").select("doc_id", "text").collect()]
     assert sorted(map(str, left)) == sorted(map(str, [(5, "x"), (5, "y"), (7, same), (None, "alone"), (7, "other")]))
+
+
+def brute_mixture(rows, block_rows=16):
+    """Rows ``(doc_id, source)`` in the order of the mixture: one slot after the other, earliest deadline first."""
+    from mailsieve.llm.pfair_mixing import UNIT, quotas
+
+    queues = {}
+    for doc, source in sorted(rows, key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[0])):
+        queues.setdefault(source, []).append(doc)
+    weights = {s: len(queues[s]) ** 0.5 for s in sorted(queues)}
+    blocks = {s: [q[i : i + block_rows] for i in range(0, len(q), block_rows)] for s, q in queues.items()}
+    out = []
+    while blocks:
+        share = quotas({s: w for s, w in weights.items() if s in blocks}, UNIT)
+        names, done, slot = list(share), dict.fromkeys(share, 0), 0
+        while all(blocks.values()):
+            free = [s for s in names if done[s] * UNIT // share[s] <= slot]
+            s = min(free, key=lambda s: (-(-(done[s] + 1) * UNIT // share[s]), names.index(s)))
+            out += blocks[s].pop(0)
+            done[s] += 1
+            slot += 1
+        blocks = {s: b for s, b in blocks.items() if b}
+    return out
+
+
+def test_pipeline_returns_the_place_in_the_mixture(spark):
+    from mailsieve.llm.common import written
+
+    rows = [(i, "word " * (1 + 40 * (i % 17)), "en", "abc"[(i % 7) // 3], 1) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    stages = dict(corpus_pipeline.STAGES)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files
+    try:
+        mixed = written(stages["mixing"](spark, docs, ""), "mixed")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(mixed.inputFiles()) > 1
+    want = brute_mixture([(r[0], r[3]) for r in rows])
+    for read in (mixed, mixed.select("*")):
+        got = sorted(stages["sentence_pieces"](spark, read, "").collect(), key=lambda r: r.place)
+        assert [r.place for r in got] == list(range(700)) and [r.doc_id for r in got] == want
+    unwritten = stages["sentence_pieces"](spark, stages["mixing"](spark, docs, ""), "").collect()
+    assert [r.doc_id for r in sorted(unwritten, key=lambda r: r.place)] == want
