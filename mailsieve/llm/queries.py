@@ -14,9 +14,13 @@ from mailsieve.llm.context_mixing import score_documents
 from mailsieve.llm.edit_counts import apply_edits, count_tokens
 from mailsieve.llm.exact_dedup import exact_dedup
 from mailsieve.llm.huffman_ids import read_token_files, write_token_files
+from mailsieve.llm.importance_resampling import resample
+from mailsieve.llm.permutation_index import nearest
 from mailsieve.llm.pfair_mixing import mix
 from mailsieve.llm.projection_dedup import near_vectors
+from mailsieve.llm.query_blocks import finite
 from mailsieve.llm.sentence_pieces import encode_pieces
+from mailsieve.llm.slot_negatives import hard_negatives
 from mailsieve.llm.trie_join import similar_documents
 from mailsieve.sources.session import work_path
 from mailsieve.sources.tables import table
@@ -165,3 +169,86 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     scored = score_documents(docs, _remainder(10) != 0)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), *scored.columns[2:])
+
+
+@query(
+    "op11_importance_resampling",
+    r"""
+    WITH steps(i, r, k) AS MATERIALIZED (
+      WITH RECURSIVE s(i, r, k) AS (
+        SELECT range, range, 0 FROM range(256)
+        UNION ALL
+        SELECT i, CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, k + 1 FROM s WHERE k < 8)
+      SELECT * FROM s WHERE k = 8),
+    crc AS MATERIALIZED (SELECT list(r ORDER BY i) AS t FROM steps),
+    texts AS MATERIALIZED (
+      SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+      FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 't', NULL, text FROM benchmark)),
+    f AS MATERIALIZED (SELECT kind, id, unnest(ws) AS word FROM texts),
+    hashed AS MATERIALIZED (
+      SELECT word, xor(list_reduce(list_transform(range(0, length(hex(encode(word))), 2),
+               lambda p: ('0x' || substr(hex(encode(word)), p + 1, 2))::BIGINT),
+               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+      FROM (SELECT DISTINCT word FROM f), crc),
+    counts AS (
+      SELECT bucket, count(*) FILTER (kind = 'd') AS s, count(*) FILTER (kind = 't') AS t
+      FROM f JOIN hashed USING (word) GROUP BY bucket),
+    gains AS MATERIALIZED (
+      SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM counts) + 10000)::DOUBLE
+        / ((s + 1) * ((SELECT sum(t) FROM counts) + 10000)::DOUBLE)))::BIGINT AS gain FROM counts),
+    w AS (
+      SELECT id, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight
+      FROM f JOIN hashed USING (word) JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY id),
+    scored AS MATERIALIZED (
+      SELECT d.id AS doc_id, coalesce(w.n_features, 0)::BIGINT AS n_features, coalesce(w.weight, 0)::BIGINT AS weight,
+        coalesce(w.weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.id), 1, 8))::BIGINT + 0.5::DOUBLE)
+          / 4294967296::DOUBLE)))::BIGINT AS score, len(ws) >= 20 AS able
+      FROM texts d LEFT JOIN w ON d.id = w.id WHERE kind = 'd'),
+    places AS (
+      SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place,
+        count(*) FILTER (able) OVER () AS n FROM scored)
+    SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 10 * n // 100 THEN place END AS rank FROM places
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """A tenth of the documents, drawn towards the words of the benchmark."""
+    return resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op12_nearest_neighbours")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector."""
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query(
+    "op13_hard_negatives",
+    """
+    WITH v AS MATERIALIZED (
+      SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vector
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS MATERIALIZED (
+      SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_dot_product(a.vector, b.vector)::BIGINT AS score
+      FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0),
+    p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT anchor_id, positive_id,
+      row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank,
+      id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY rank <= 10
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, after a seventh of the labels moved on by one."""
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    rows = table(spark, folder, "embeddings").select(
+        "vec_id",
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.when(finite(F.col("embedding")), whole).alias("vector"),
+    )
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
