@@ -232,7 +232,7 @@ def nearest(
     different = written(_different(base, k), "different")
     plans, count = plan_index(different, k)
     index = written(build_index(different, plans).withColumn("number", F.monotonically_increasing_id()), "index")
-    found = meet(asked, index, lambda t: _Cell(t, plans, k), _FOUND, (asked.count(), count))
+    found = meet(asked, index, lambda t: _Cell(t, plans, k), _FOUND, (asked.count(), count), k)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias("vec_id"), "score")

@@ -1,7 +1,9 @@
 """A stated set of queries against all rows, in blocks: a grid of (block of queries, stripe of rows).
 
-Queries are dealt into blocks of about ``QUERIES`` rows and rows into stripes of at least ``ROWS``
-rows, both by a hash of a number of the row, so that no key of the data decides where a row goes.
+Queries are dealt into blocks of about ``QUERIES`` rows at most and rows into stripes, both by a hash of
+a number of the row, so that no key of the data decides where a row goes. There are two cells for
+each core; their shape (many stripes or many blocks) keeps what is sent smallest: rows go to
+every block, and queries go to every stripe and bring answers back from each.
 A cell of the grid is one run of sorted rows in a partition: first its block of queries, then its
 stripe, streamed in Arrow batches. A task holds one block of queries and what it found for
 them, never a stripe, and the sort spills. Nothing is broadcast or collected, and a lost task is
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 QUERIES = 32_768
-ROWS = 2_048
+ROWS = 256
 _CELL = ("dim", "block", "stripe", "kind")
 
 
@@ -42,18 +44,31 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, ...], pa.RecordBat
         yield tuple(keys[first].tolist()), batch.slice(first, last - first)
 
 
+def shape(queries: int, rows: int, answers: int, cells: int) -> tuple[int, int]:
+    """Blocks of queries and stripes of rows, about ``cells`` together or more.
+
+    With ``b`` blocks and ``s`` stripes, ``b * rows + s * queries * cost`` rows are sent; an answer is
+    taken as a sixteenth of a row."""
+    cost = 1 + answers / 16
+    blocks = max(1, round((cells * queries * cost / max(rows, 1)) ** 0.5), -(-queries // QUERIES))
+    return blocks, max(1, min(-(-cells // blocks), -(-rows // ROWS)))
+
+
 def meet(
-    queries: DataFrame, rows: DataFrame, start: Callable[[pa.Table], object], schema: str, counts: tuple[int, int]
+    queries: DataFrame,
+    rows: DataFrame,
+    start: Callable[[pa.Table], object],
+    schema: str,
+    counts: tuple[int, int],
+    answers: int,
 ) -> DataFrame:
     """Rows of ``schema`` that ``start(queries).add(rows)`` and ``.end()`` make of every cell.
 
     Both frames have ``dim`` and ``number`` (a bigint) and other columns; one that only the other has
-    is null. ``counts`` are the numbers of queries and of rows. ``start`` gets all queries of a cell; its
+    is null. ``counts`` are the numbers of queries and of rows, ``answers`` is how many
+    rows of ``schema`` a cell gives for a query at most. ``start`` gets all queries of a cell; its
     ``add`` gets record batches of rows, and ``end`` gives a table."""
-    session = queries.sparkSession
-    width = int(session.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, -(-counts[0] // QUERIES))
-    stripes = max(1, min(-(-2 * width // blocks), -(-counts[1] // ROWS)))
+    blocks, stripes = shape(*counts, answers, 2 * queries.sparkSession.sparkContext.defaultParallelism)
 
     def dealt(over: int) -> Column:
         return F.pmod(F.xxhash64("number"), F.lit(over)).cast("int")
@@ -64,7 +79,7 @@ def meet(
     left = queries.select("*", F.lit(0).alias("kind"), dealt(blocks).alias("block"), every(stripes).alias("stripe"))
     right = rows.select("*", F.lit(1).alias("kind"), dealt(stripes).alias("stripe"), every(blocks).alias("block"))
     cells = left.unionByName(right, allowMissingColumns=True)
-    cells = cells.repartition(min(2 * width, blocks * stripes) if blocks == 1 else width, *_CELL[:3])
+    cells = cells.repartitionById(blocks * stripes, F.col("block") * stripes + F.col("stripe"))
     cells = cells.sortWithinPartitions(*_CELL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

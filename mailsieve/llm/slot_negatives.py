@@ -148,7 +148,7 @@ def hard_negatives(
     counts = (count["queries"], count["rows"])
     base, chosen = base.drop("anchor"), base.where("anchor").drop("anchor")
 
-    found = meet(chosen, base, lambda t: _Cell(t, positives, 1, False), _FOUND, counts)
+    found = meet(chosen, base, lambda t: _Cell(t, positives, 1, False), _FOUND, counts, positives)
     best = _first(found, positives).groupBy(F.col("anchor").alias("number"))
     own = best.agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id"))).alias("found"))
     own = own.withColumn("positives", F.transform("found", lambda p: F.struct((-p["minus"]).alias("score"), p["id"].alias("id"))))
@@ -165,7 +165,7 @@ def hard_negatives(
     own = own.select("number", "positives", "uppers", "lowers")
     with_positives = written(chosen.join(own, "number"), "anchors")
 
-    slots = meet(with_positives.drop("positives"), base, lambda t: _Cell(t, negatives, positives, True), _FOUND, counts)
+    slots = meet(with_positives.drop("positives"), base, lambda t: _Cell(t, negatives, positives, True), _FOUND, counts, positives * negatives)
     merged = _first(slots, negatives).groupBy(F.col("anchor").alias("number")).agg(
         F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id"))).alias("all")
     )

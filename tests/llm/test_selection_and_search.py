@@ -172,6 +172,14 @@ def test_calibration_ends_with_everything():
     assert plan.share > 0.9
 
 
+def test_shape_of_the_grid():
+    assert query_blocks.shape(0, 0, 20, 8) == (1, 1)
+    assert query_blocks.shape(500, 10_000, 20, 12) == query_blocks.shape(2_500, 50_000, 20, 12) == (1, 12)
+    assert query_blocks.shape(10**6, 10**6, 20, 8000) == (134, 60)
+    blocks, stripes = query_blocks.shape(10**8, 10**9, 20, 100)
+    assert blocks * query_blocks.QUERIES >= 10**8 and stripes == 1
+
+
 # Hard negatives
 
 
@@ -190,7 +198,7 @@ def whole(spark, rows):
     return spark.createDataFrame([(i, v, l, "x", 7) for i, v, l in rows], "vec_id bigint, vector array<bigint>, label int, slot string, score int")
 
 
-@pytest.mark.parametrize("anchors,rows_a_stripe", [(32_768, 2_048), (3, 10)])
+@pytest.mark.parametrize("anchors,rows_a_stripe", [(32_768, 256), (3, 10)])
 def test_negatives_of_odd_rows(spark, monkeypatch, anchors, rows_a_stripe):
     monkeypatch.setattr(query_blocks, "QUERIES", anchors)
     monkeypatch.setattr(query_blocks, "ROWS", rows_a_stripe)
