@@ -19,7 +19,15 @@ from mailsieve.operators.rollover import assign_parts
 from mailsieve.plans.export import export_rows, select_messages
 from mailsieve.plans.mailbox import dump
 from mailsieve.sources.csv_files import read_csv, write_csv, write_rolled_csv
-from mailsieve.sources.messages import land_messages, quarantine, read_landed, read_messages, with_parts
+from mailsieve.sources import files
+from mailsieve.sources.messages import (
+    ingest,
+    land_messages,
+    quarantine,
+    read_landed,
+    read_messages,
+    with_parts,
+)
 from mailsieve.sources.session import work_path
 from mailsieve.sources.tables import spread, table
 from mailsieve.streaming import runs
@@ -54,10 +62,23 @@ def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return spread(table(spark, folder, "documents").select("doc_id", *columns))
 
 
-def mailbox(spark: SparkSession, folder: str) -> DataFrame:
+def raw_mailbox(spark: SparkSession, folder: str) -> DataFrame:
     return with_parts(dump(spark, folder))
 
 
+_landed_at: dict[tuple[str, str], str] = {}
+
+
+def mailbox(spark: SparkSession, folder: str) -> DataFrame:
+    """The landed mailbox; a session lands a folder once."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _landed_at:
+        path = work_path(spark, "mailbox")
+        land_messages(dump(spark, folder).drop("headers"), path)
+        _landed_at[key] = path
+    return read_landed(spark, _landed_at[key])
+
+
 # --- redaction ----------------------------------------------------------------------
 def _probed(spark, folder, template):
     probe = F.concat(spark_probe(template), F.lit("\n"), F.col("text"))
@@ -248,7 +269,7 @@ register("stream_messages", lambda s, f: runs.arrived(_head, dump(s, f).drop("he
 
 
 def _flatten_parts(spark, folder):
-    rows = mailbox(spark, folder)
+    rows = raw_mailbox(spark, folder)
     return rows.select("id", F.posexplode("parts").alias("position", "p")).select("id", "position", "p.*")
 
 
@@ -310,7 +331,7 @@ register(
 )
 register(
     "decode_bodies",
-    lambda s, f: mailbox(s, f)
+    lambda s, f: raw_mailbox(s, f)
     .select("id", F.explode("parts").alias("p"))
     .where("p.data is not null")
     .select("id", "p.path", parts.decode_body(F.col("p.data")).alias("body")),
@@ -332,12 +353,12 @@ register(
 )
 register(
     "body_text",
-    on_mail(body_text=lambda: parts.body_text(F.col("parts"))),
+    lambda s, f: raw_mailbox(s, f).select("id", parts.body_text(F.col("parts")).alias("body_text")),
     m.text_field("body_text").sql("SELECT id, t AS body_text FROM {last}", m.MAIL),
 )
 register(
     "body_html",
-    on_mail(body_html=lambda: parts.body_html(F.col("parts"))),
+    lambda s, f: raw_mailbox(s, f).select("id", parts.body_html(F.col("parts")).alias("body_html")),
     m.mail_select(f"id, {m.simple('body_html')}"),
 )
 
@@ -395,7 +416,19 @@ def _quarantined(spark, folder):
     return quarantine(dump(spark, folder).withColumn("payload", broken))
 
 
+def _ingested(spark, folder):
+    """The mailbox landed batch by batch; the last batch runs a second time, as after a failure."""
+    source, path, progress = (work_path(spark, n) for n in ("arriving", "ingested", "progress"))
+    dump(spark, folder).drop("headers").repartition(3, "id").write.json(source)
+    ingest(spark, source, path, progress, files_per_batch=1)
+    last = max(int(n) for n in files.names(spark, f"{progress}/commits") if n.isdigit())
+    files.remove(spark, f"{progress}/commits/{last}")
+    ingest(spark, source, path, progress, files_per_batch=1)
+    return project_fields(read_landed(spark, path), ExportOptions(fields=FIELD_SETS["attachment"]), ("id",))
+
+
 register("land_messages", _landed, m.fields_sql(FIELD_SETS["contact"]))
+register("ingest_messages", _ingested, m.fields_sql(FIELD_SETS["attachment"]))
 register("quarantine", _quarantined, m.mail_select("id, 'bad payload' AS reason", "WHERE id LIKE '%7'"))
 
 # --- selection ---------------------------------------------------------------------------
@@ -429,6 +462,11 @@ _FILTERS = {
 }
 for _n, (_predicate, _where) in _FILTERS.items():
     register(f"filter_{_n}", _filter(_predicate), m.mail_select("id", f"WHERE {_where}"))
+register(
+    "filter_days",  # the same range on the landed mailbox, whose other days are not read
+    lambda s, f: pr.in_dates(mailbox(s, f), "2024-01-10", "2024-02-20").select("id"),
+    m.mail_select("id", f"WHERE {_FILTERS['date_range'][1]}"),
+)
 register(
     "filter_expression",
     lambda s, f: project_fields(

@@ -15,7 +15,6 @@ from mailsieve.functions.redaction_rules import rules_for
 from mailsieve.functions.text import body_text_batch
 from mailsieve.functions.whitespace import trim_ws
 
-MAX_DEPTH = 16
 _PAD = 6
 
 
@@ -44,26 +43,29 @@ def _children(node: Column) -> Column:
     return F.transform(rows, child)
 
 
-def flatten_parts(payload: Column, max_depth: int = MAX_DEPTH) -> Column:
-    """The MIME tree (a VARIANT) as an array of parts in depth-first pre-order.
+def flatten_parts(tree: Column, text: Column | None = None) -> Column:
+    """The MIME tree (a VARIANT) as an array of parts in depth-first pre-order, however deep.
 
-    The tree is unrolled level by level; zero-padded paths then give the order. A tree
-    deeper than ``max_depth`` raises instead of losing parts.
+    Level by level, in as many rounds as the JSON text has opening brackets at most: every level
+    of parts opens a list of its own. Rounds below the deepest level change nothing. Zero-padded
+    paths then give the order. ``text`` saves writing the tree as JSON to count.
 
     No lambda below reads a variable of an enclosing one: Spark 4.1 does not recognise such
     expressions when they end up as the input of a Python UDF.
     """
-    top = F.array(F.array(_node(F.lit(""), payload)))
+    text = F.to_json(tree) if text is None else text
+    lists = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("["), F.lit(""))), F.lit(0))
+    top = F.array(F.array(_node(F.lit(""), tree)))
 
     def add_level(levels: Column, _: Column) -> Column:
-        return F.concat(levels, F.array(F.flatten(F.transform(F.element_at(levels, -1), _children))))
+        below = F.flatten(F.transform(F.element_at(levels, -1), _children))
+        return F.when(F.size(F.element_at(levels, -1)) == 0, levels).otherwise(F.concat(levels, F.array(below)))
 
-    levels = F.reduce(F.sequence(F.lit(1), F.lit(max_depth + 1)), top, add_level)
-    too_deep = F.raise_error(F.lit(f"MIME tree deeper than {max_depth}")).cast("string")
+    levels = F.reduce(F.sequence(F.lit(0), lists), top, add_level)
     parts = F.transform(
         F.flatten(levels),
         lambda n: F.struct(
-            F.when(F.length(n["path"]) <= max_depth * (_PAD + 1), n["path"]).otherwise(too_deep).alias("path"),
+            n["path"].alias("path"),
             F.try_variant_get(n["v"], "$.mimeType", "string").alias("mime_type"),
             F.try_variant_get(n["v"], "$.filename", "string").alias("filename"),
             F.try_variant_get(n["v"], "$.body.attachmentId", "string").alias("attachment_id"),
@@ -74,6 +76,16 @@ def flatten_parts(payload: Column, max_depth: int = MAX_DEPTH) -> Column:
     return F.array_sort(parts)
 
 
+def without_data(parts: Column) -> Column:
+    """The parts without their bodies."""
+    return F.transform(parts, lambda p: p.dropFields("data"))
+
+
+def with_data(parts: Column, bodies: Column) -> Column:
+    """Parts with the bodies that stand at the same places."""
+    return F.zip_with(parts, bodies, lambda p, data: p.withField("data", data))
+
+
 def _is_set(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) != ""
 

@@ -18,6 +18,7 @@ from mailsieve.functions.redaction import redact_text
 from mailsieve.functions.text import clean_text
 from mailsieve.functions.whitespace import trim_ws
 from mailsieve.operators.options import ExportOptions
+from mailsieve.sources.messages import whole_parts
 
 
 @dataclass(frozen=True)
@@ -52,20 +53,21 @@ def _flag(c: Column) -> Column:
 
 
 def _body_html(o: ExportOptions) -> Column:
-    return redact_text(body_html(F.col("parts"), o.body_max_chars), o.categories, o.sanitize, pinned=True)
+    return redact_text(body_html(F.col("_parts"), o.body_max_chars), o.categories, o.sanitize, pinned=True)
 
 
 def _body_text(o: ExportOptions) -> Column:
     categories = o.categories if o.sanitize else None
-    return body_text(F.col("parts"), o.body_max_chars, categories, o.text_mode)
+    return body_text(F.col("_parts"), o.body_max_chars, categories, o.text_mode)
 
 
 # Intermediate columns, added only if a requested field reads them.
 _SHARED = {
-    "_from": lambda: parse_email(_header("From")),
-    "_reply_to": lambda: parse_email(_header("Reply-To")),
-    "_delivered_to": lambda: parse_email(_header("Delivered-To")),
-    "_attachments": lambda: attachment_summary(F.col("parts")),
+    "_from": lambda messages: parse_email(_header("From")),
+    "_reply_to": lambda messages: parse_email(_header("Reply-To")),
+    "_delivered_to": lambda messages: parse_email(_header("Delivered-To")),
+    "_attachments": lambda messages: attachment_summary(F.col("parts")),
+    "_parts": whole_parts,
 }
 _READS = {
     "from_email": "_from",
@@ -77,6 +79,8 @@ _READS = {
     "has_attachment": "_attachments",
     "attachment_types": "_attachments",
     "attachment_count": "_attachments",
+    "body_text": "_parts",
+    "body_html": "_parts",
 }
 
 # Names, groups, defaults and order of the fields.
@@ -159,6 +163,6 @@ def project_fields(
     """The requested fields in the requested order, after the ``keep`` columns."""
     names = choose_fields(options.fields or FIELD_SETS["default"])
     needed = dict.fromkeys(_READS[n] for n in names if n in _READS)
-    with_shared = messages.withColumns({c: _SHARED[c]() for c in needed}) if needed else messages
+    with_shared = messages.withColumns({c: _SHARED[c](messages) for c in needed}) if needed else messages
     values = [BY_NAME[n].value(options).alias(n) for n in names]
     return with_shared.select(*keep, *values)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from mailsieve.functions.headers import header
 from mailsieve.functions.parts import attachment_summary, body_text
 from mailsieve.operators.rollover import with_offsets
+from mailsieve.sources.messages import utc_day, whole_parts
 
 
 def _labels() -> Column:
@@ -63,7 +64,7 @@ def subject_contains(phrase: str) -> Column:
 
 def phrase_search(messages: DataFrame, phrase: str) -> DataFrame:
     """Messages with the phrase in the subject or the readable body."""
-    bodies = messages.withColumn("_body", body_text(F.col("parts")))
+    bodies = messages.withColumn("_body", body_text(whole_parts(messages)))
     hit = subject_contains(phrase) | text_contains(F.col("_body"), phrase)
     return bodies.where(hit).drop("_body")
 
@@ -85,6 +86,17 @@ def date_range(after: str | None = None, before: str | None = None) -> Column:
     return keep
 
 
+def in_dates(messages: DataFrame, after: str | None = None, before: str | None = None) -> DataFrame:
+    """Messages of a half-open range of dates; of landed ones, only the folders of its days are read."""
+    chosen = messages.where(date_range(after, before))
+    if "day" in messages.columns:
+        if after:
+            chosen = chosen.where(F.col("day") >= utc_day(F.to_timestamp(F.lit(after))))
+        if before:  # the range may end within this day
+            chosen = chosen.where(F.col("day") <= utc_day(F.to_timestamp(F.lit(before))))
+    return chosen
+
+
 # Presets by name; a free SQL predicate goes to ``DataFrame.where`` directly.
 PRESETS = {
     "received": received,

@@ -1,7 +1,9 @@
-"""Reading landed message dumps, in batch or incrementally.
+"""Reading message dumps, and landing them in columns, in batch or incrementally.
 
 A dump holds one message per row. ``payload`` is the MIME tree as JSON; headers and the
-flat part list are derived from it, per row and without a shuffle.
+flat part list are derived from it, per row and without a shuffle. Landed messages are parsed once:
+headers, part metadata and bodies are columns of their own there, so that a query on headers or
+attachments reads no body, and days are folders, so that a range of dates reads only its days.
 """
 
 from __future__ import annotations
@@ -9,54 +11,123 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.functions.parts import MAX_DEPTH, flatten_parts
+from mailsieve.functions.parts import flatten_parts, with_data, without_data
+from mailsieve.sources import files
 
-# Columns of a landed dump.
+# Columns of a dump.
 DUMP_SCHEMA = (
     "id string, internal_date timestamp, thread_id string, label_ids array<string>, "
     "snippet string, payload string"
 )
+# Columns of landed messages; the last two are folders.
+LANDED_SCHEMA = (
+    "id string, internal_date timestamp, thread_id string, label_ids array<string>, snippet string, "
+    "headers array<struct<name:string,value:string>>, "
+    "parts array<struct<path:string,mime_type:string,filename:string,attachment_id:string,size:bigint>>, "
+    "bodies array<string>, batch bigint, day date"
+)
+QUARANTINE_SCHEMA = "id string, reason string, payload string, batch bigint"
 
 
 def _has_id() -> Column:
     return F.coalesce(F.col("id"), F.lit("")) != ""
 
 
-def _unreadable() -> Column:
-    return F.col("payload").isNotNull() & F.try_parse_json("payload").isNull()
+def _parsed(dump: DataFrame) -> DataFrame:
+    """``headers``, ``parts`` and the ``reason`` why a row cannot be landed, from one parse."""
+    tree = dump.withColumn("tree", F.try_parse_json("payload"))
+    unreadable = F.col("payload").isNotNull() & F.col("tree").isNull()
+    return tree.withColumns(
+        {
+            "headers": F.try_variant_get("tree", "$.headers", "array<struct<name:string,value:string>>"),
+            "parts": flatten_parts(F.col("tree"), F.col("payload")),
+            "reason": F.when(~_has_id(), "no id").when(unreadable, "bad payload"),
+        }
+    ).drop("tree")
 
 
-def with_parts(dump: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def with_parts(dump: DataFrame) -> DataFrame:
     """Add ``headers`` and ``parts``; rows without an id are skipped.
 
-    A payload that is not JSON (or too long for it) ends no job: headers and parts of such a
-    row are null, its other columns stay, and ``quarantine`` lists it. A tree deeper than
-    ``max_depth`` raises.
+    A payload that is not JSON (or too long or too deeply nested for it) ends no job: headers and
+    parts of such a row are null, its other columns stay, and ``quarantine`` lists it.
     """
-    tree = dump.where(_has_id()).withColumn("tree", F.try_parse_json("payload"))
-    headers = F.try_variant_get("tree", "$.headers", "array<struct<name:string,value:string>>")
-    return tree.withColumns({"headers": headers, "parts": flatten_parts(F.col("tree"), max_depth)}).drop("tree")
+    return _parsed(dump).where(_has_id()).drop("reason")
 
 
 def quarantine(dump: DataFrame) -> DataFrame:
     """``id, reason``: rows that have no id or a payload that cannot be read."""
-    reason = F.when(~_has_id(), "no id").when(_unreadable(), "bad payload")
-    return dump.select("id", reason.alias("reason")).where("reason IS NOT NULL")
+    return _parsed(dump).select("id", "reason").where("reason IS NOT NULL")
+
+
+def utc_day(at: Column) -> Column:
+    """The day in UTC, whatever the time zone of the session that writes or reads."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds(at) / 86400).cast("int"))
+
+
+def land_messages(dump: DataFrame, path: str, batch: int = 0) -> None:
+    """Land one batch: readable messages under ``messages``, by day, the others under ``quarantine``.
+
+    Payloads are parsed once, for one write into a staging folder; then both tables get their part of it by
+    a rename. Until then nothing of the batch is seen, and landing the same batch again
+    replaces it. Rows meet by day before they are written (adaptive execution splits large
+    days and joins small ones), so that days hold few files."""
+    spark = dump.sparkSession
+    staging = f"{path}/_staging/batch={batch}"
+    rows = _parsed(dump).select(
+        "id",
+        "internal_date",
+        "thread_id",
+        "label_ids",
+        "snippet",
+        "headers",
+        without_data(F.col("parts")).alias("parts"),
+        F.col("parts.data").alias("bodies"),
+        "reason",
+        F.when(F.col("reason").isNotNull(), F.col("payload")).alias("payload"),
+        F.col("reason").isNotNull().alias("aside"),
+        utc_day(F.col("internal_date")).alias("day"),
+    )
+    written = rows.hint("rebalance", "aside", "day").write.mode("overwrite")
+    written.partitionBy("aside", "day").parquet(staging)
+    for aside, name in (("true", "quarantine"), ("false", "messages")):
+        files.remove(spark, f"{path}/{name}/batch={batch}")
+        if files.exists(spark, f"{staging}/aside={aside}"):
+            files.move(spark, f"{staging}/aside={aside}", f"{path}/{name}/batch={batch}")
+    files.remove(spark, staging)
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    if not files.exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
 
+def read_landed(spark: SparkSession, path: str) -> DataFrame:
+    """Landed messages; ``parts`` holds no bodies, which stand in ``bodies`` at the same places."""
+    return _read(spark, f"{path}/messages", LANDED_SCHEMA)
 
-def land_messages(dump: DataFrame, path: str, max_depth: int = MAX_DEPTH) -> None:
-    """Write readable messages under ``messages``, by day, and the others' ids under ``quarantine``.
 
-    Headers, labels and parts are columns of their own there and the payload is left out: what
-    reads headers only no longer reads bodies."""
-    quarantine(dump).write.parquet(f"{path}/quarantine")
-    day = F.coalesce(F.to_date("internal_date").cast("string"), F.lit("none"))
-    good = with_parts(dump.where(~_unreadable()), max_depth).drop("payload").withColumn("day", day)
-    good.write.partitionBy("day").parquet(f"{path}/messages")
+def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """Rows that could not be landed, with their payload."""
+    return _read(spark, f"{path}/quarantine", QUARANTINE_SCHEMA)
 
 
-def read_landed(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/messages").drop("day")
+def whole_parts(messages: DataFrame) -> Column:
+    """Parts with their bodies, of landed messages or of a dump."""
+    return with_data(F.col("parts"), F.col("bodies")) if "bodies" in messages.columns else F.col("parts")
+
+
+def ingest(
+    spark: SparkSession, source: str, path: str, checkpoint: str, fmt: str = "json", files_per_batch: int = 1000
+) -> None:
+    """Land the files of a dump folder that have arrived since the last run, and stop.
+
+    A batch that Spark runs again after a failure has the same number and the same files, so it
+    replaces what it left and every message is landed once."""
+    reader = spark.readStream.schema(DUMP_SCHEMA).format(fmt).option("maxFilesPerTrigger", files_per_batch)
+    stream = reader.load(source).writeStream.foreachBatch(lambda rows, number: land_messages(rows, path, number))
+    stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def read_messages(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:

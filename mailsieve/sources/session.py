@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
+from mailsieve.sources.files import remove
+
 
 def local_session(cores: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks."""
@@ -28,17 +33,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     The session's ``spark.checkpoint.dir`` counts first, then a folder already set on the
     context. Anywhere but in local mode one of them is needed: executors share no local disk.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not configured:
-        if not spark.sparkContext.master.split("[")[0] == "local":
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if not configured and not context.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="mailsieve-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+        # The setting cannot be changed in a running session; the context remembers the folder.
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="mailsieve-"))
+    return configured or context.getCheckpointDir()
+
+
+_job_root: ContextVar[str | None] = ContextVar("job_root", default=None)
+
+
+@contextmanager
+def job_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder for all work paths taken inside; it is removed at the end, also after a failure."""
+    root = f"{checkpoint_dir(spark)}/job-{uuid.uuid4().hex}"
+    token = _job_root.set(root)
+    try:
+        yield root
+    finally:
+        _job_root.reset(token)
+        remove(spark, root)
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, or under that of the running job."""
+    return f"{_job_root.get() or checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -3,7 +3,6 @@
 import base64
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from mailsieve.functions.headers import contacts, email_domain, header, parse_email
@@ -94,15 +93,21 @@ def test_parts_come_in_pre_order(spark):
     assert [p.mime_type for p in b.parts] == ["r"] + [str(i) for i in range(30)]
 
 
-def test_too_deep_trees_fail_loudly(spark):
+def test_trees_of_any_depth(spark):
     def nested(n):
-        return {"parts": [nested(n - 1)]} if n else {}
+        return {"mimeType": str(n), "parts": [nested(n - 1), {"mimeType": f"leaf {n}"}]} if n else {"mimeType": "0"}
 
-    assert len(tree(spark, nested(16)).first().parts) == 17
-    with pytest.raises(Exception, match="deeper than 16"):
-        tree(spark, nested(17)).collect()
-    with pytest.raises(Exception, match="deeper than 16"):
-        tree(spark, nested(40)).collect()
+    def expected(n):
+        return [str(n), *expected(n - 1), f"leaf {n}"] if n else ["0"]
+
+    depths = (0, 1, 16, 17, 40, 200)
+    for n, row in zip(depths, tree(spark, *map(nested, depths)).collect()):
+        assert [p.mime_type for p in row.parts] == expected(n)
+
+
+def test_brackets_in_texts_are_harmless(spark):
+    texts = {"headers": [{"name": "Subject", "value": "[[[[[[" * 50}], "parts": [{"mimeType": "[", "parts": []}]}
+    assert [p.mime_type for p in tree(spark, texts).first().parts] == [None, "["]
 
 
 def test_decode_body(spark):
