@@ -1,7 +1,8 @@
 """Benchmark: median of three warm runs per query, one JSON line on stdout.
 
 ``BENCH_SF_DIR`` names the data folder, ``BENCH_CPUS`` the local cores. Messages are landed
-once as a Parquet dump, as an ingest would leave them; reading it is part of every timing.
+once (by month: there are few a day), as an ingest would leave them; reading them is part of every
+timing. ``growth`` gives the seconds of some queries on five times the rows over those on one.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from mailsieve.operators.fields import FIELD_SETS
 from mailsieve.operators.options import ExportOptions
 from mailsieve.plans.export import export_rows, run_export
 from mailsieve.plans.mailbox import dump
-from mailsieve.sources.messages import with_parts
+from mailsieve.sources.messages import land_messages, read_landed
 from mailsieve.sources.session import local_session, work_path
 from mailsieve.sources.tables import spread, table
 
 RUNS = 3
+GROWTH = 5
 
 
 def consume(df) -> None:
@@ -37,8 +39,12 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), partitions=int(os.environ.get("BENCH_CPUS", "8")))
     spark.sparkContext.setLogLevel("ERROR")
-    landed = work_path(spark, "dump")
-    dump(spark, folder).drop("headers").write.parquet(landed)
+    arrived, landed = work_path(spark, "dump"), work_path(spark, "landed")
+    dump(spark, folder).drop("headers").write.parquet(arrived)
+    land_messages(spark.read.parquet(arrived), landed, period="month")
+    larger = spark.read.parquet(arrived).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(GROWTH))))
+    larger = larger.withColumn("id", F.concat("id", F.lit("-"), "copy")).drop("copy")
+    land_messages(larger, f"{landed}-larger", period="month")
 
     def documents():
         return spread(table(spark, folder, "documents").select("doc_id", "text"))
@@ -46,8 +52,8 @@ def main() -> None:
     def pages():
         return spread(table(spark, folder, "pages").select("page_id", "html"))
 
-    def messages():
-        return with_parts(spread(spark.read.parquet(landed)))
+    def messages(path=landed):
+        return spread(read_landed(spark, path))
 
     def redacted(categories):
         return lambda: consume(documents().select("doc_id", redact(F.col("text"), categories).alias("r")))
@@ -85,7 +91,7 @@ def main() -> None:
     sizes = {
         "documents": documents().agg(F.count("*"), F.sum(F.octet_length("text"))).first(),
         "pages": pages().agg(F.count("*"), F.sum(F.octet_length("html"))).first(),
-        "messages": spark.read.parquet(landed).agg(F.count("*"), F.sum(F.octet_length("payload"))).first(),
+        "messages": spark.read.parquet(arrived).agg(F.count("*"), F.sum(F.octet_length("payload"))).first(),
     }
     source = dict.fromkeys(queries, "messages") | {
         "redact_default": "documents",
@@ -94,15 +100,26 @@ def main() -> None:
         "clean_documents": "documents",
         "html_clean_redact": "pages",
     }
-    seconds, rates = {}, {}
-    for name, run in queries.items():
+
+    def measured(run):
         run()
         times = []
         for _ in range(RUNS):
             start = time.perf_counter()
             run()
             times.append(time.perf_counter() - start)
-        seconds[name] = round(statistics.median(times), 3)
+        return round(statistics.median(times), 3)
+
+    growing = {
+        "contact_list": lambda path: consume(analyses.contact_list(messages(path))),
+        "thread_summary": lambda path: consume(analyses.thread_summary(messages(path))),
+        "export_all_redacted": lambda path: consume(
+            export_rows(messages(path), ExportOptions(fields=FIELD_SETS["all"], sanitize=True))
+        ),
+    }
+    seconds, rates = {}, {}
+    for name, run in queries.items():
+        seconds[name] = measured(run)
         rows, size = sizes[source[name]]
         rates[name] = {
             "rows_per_s": round(rows / seconds[name]),
@@ -116,6 +133,10 @@ def main() -> None:
                 "unit": "sec",
                 "queries": seconds,
                 "rates": rates,
+                "growth": {
+                    name: round(measured(lambda run=run: run(f"{landed}-larger")) / seconds[name], 2)
+                    for name, run in growing.items()
+                },
                 "sf": os.path.basename(folder.rstrip("/")),
             }
         )

@@ -16,9 +16,9 @@ from mailsieve.operators import predicates as pr
 from mailsieve.operators.fields import FIELD_SETS, project_fields
 from mailsieve.operators.options import ExportOptions
 from mailsieve.operators.rollover import assign_parts
-from mailsieve.plans.export import export_rows, select_messages
+from mailsieve.plans.export import export_rows, export_totals, select_messages
 from mailsieve.plans.mailbox import dump
-from mailsieve.sources.csv_files import read_csv, write_csv, write_rolled_csv
+from mailsieve.sources.csv_files import close_rolled, read_csv, roll_batch, write_csv, write_rolled_csv
 from mailsieve.sources import files
 from mailsieve.sources.messages import (
     ingest,
@@ -585,7 +585,23 @@ def _rolled_files(spark, folder):
     path = work_path(spark, "rolled")
     rows = documents(spark, folder, *_COLUMNS)
     write_rolled_csv(rows, path, "docs", _COLUMNS, "doc_id", ["doc_id"], 200_000)
-    return spark.read.text(path).select("file", F.col("value").alias("line"))
+    return _lines_of(spark, path)
+
+
+def _lines_of(spark, path):
+    return spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
+
+
+def _rolled_batches(spark, folder):
+    """The same files from three batches, one of which runs twice."""
+    path, state = work_path(spark, "rolled"), work_path(spark, "open")
+    rows = documents(spark, folder, *_COLUMNS)
+    third = rows.agg(F.max("doc_id")).first()[0] // 3 + 1
+    for batch in (0, 1, 1, 2):
+        own = rows.where(F.expr(f"doc_id div {third} = {batch}"))
+        roll_batch(own, path, "docs", _COLUMNS, "doc_id", ["doc_id"], 200_000, state, batch)
+    close_rolled(spark, path, "docs", _COLUMNS, state)
+    return _lines_of(spark, path)
 
 
 def _export_stats(spark, folder):
@@ -595,19 +611,23 @@ def _export_stats(spark, folder):
 
 
 _FILE = "'docs' || CASE WHEN part > 1 THEN '_part' || lpad(part::VARCHAR, 3, '0') ELSE '' END || '.csv'"
-register(
-    "write_rolled_csv",
-    _rolled_files,
+_ROLLED_SQL = (
     f"WITH RECURSIVE {_next_fit(200_000)}, files AS (SELECT unnest(range(1, (SELECT max(part) FROM placed) + 1)) AS part) "
     f"SELECT {_FILE} AS file, line FROM placed JOIN lines USING (doc_id) "
-    f"UNION ALL SELECT {_FILE}, 'lang,text' FROM files",
+    f"UNION ALL SELECT {_FILE}, 'lang,text' FROM files"
 )
-register(
-    "export_stats",
-    _export_stats,
+register("write_rolled_csv", _rolled_files, _ROLLED_SQL)
+register("roll_batches", _rolled_batches, _ROLLED_SQL)
+_STATS_SQL = (
     f"WITH RECURSIVE {_next_fit(200_000)}, files AS (SELECT unnest(range(1, (SELECT max(part) FROM placed) + 1)) AS part) "
     f"SELECT part, {_FILE} AS file, count(bytes) AS rows, (coalesce(sum(bytes), 0) + {_HEADER_BYTES})::BIGINT AS bytes "
-    "FROM files LEFT JOIN placed USING (part) GROUP BY part",
+    "FROM files LEFT JOIN placed USING (part) GROUP BY part"
+)
+register("export_stats", _export_stats, _STATS_SQL)
+register(
+    "export_totals",
+    lambda s, f: export_totals(_export_stats(s, f)),
+    f"SELECT sum(rows)::BIGINT AS rows, sum(bytes)::BIGINT AS bytes, count(*) AS files FROM ({_STATS_SQL})",
 )
 
 # --- analyses -----------------------------------------------------------------------------

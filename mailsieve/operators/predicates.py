@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from mailsieve.functions.headers import header
 from mailsieve.functions.parts import attachment_summary, body_text
 from mailsieve.operators.rollover import with_offsets
-from mailsieve.sources.messages import utc_day, whole_parts
+from mailsieve.sources.messages import PERIODS, period_of, whole_parts
 
 
 def _labels() -> Column:
@@ -87,13 +87,14 @@ def date_range(after: str | None = None, before: str | None = None) -> Column:
 
 
 def in_dates(messages: DataFrame, after: str | None = None, before: str | None = None) -> DataFrame:
-    """Messages of a half-open range of dates; of landed ones, only the folders of its days are read."""
+    """Messages of a half-open range of dates; of landed ones, only the folders of its days or months are read."""
     chosen = messages.where(date_range(after, before))
-    if "day" in messages.columns:
-        if after:
-            chosen = chosen.where(F.col("day") >= utc_day(F.to_timestamp(F.lit(after))))
-        if before:  # the range may end within this day
-            chosen = chosen.where(F.col("day") <= utc_day(F.to_timestamp(F.lit(before))))
+    for period in PERIODS:
+        if period in messages.columns:
+            if after:
+                chosen = chosen.where(F.col(period) >= period_of(F.to_timestamp(F.lit(after)), period))
+            if before:  # the range may end within this period
+                chosen = chosen.where(F.col(period) <= period_of(F.to_timestamp(F.lit(before)), period))
     return chosen
 
 

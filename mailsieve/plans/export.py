@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from mailsieve.functions.csv_lines import csv_line, csv_line_bytes, header_line
 from mailsieve.operators.fields import FIELD_SETS, choose_fields, project_fields
 from mailsieve.operators.options import ExportOptions, base_name
 from mailsieve.operators.predicates import PRESETS, row_cap
-from mailsieve.sources.csv_files import write_csv, write_rolled_csv
+from mailsieve.sources.csv_files import STATS_SCHEMA, write_csv, write_rolled_csv
 
 _ORDER = ("id", "internal_date")
 
@@ -46,4 +49,37 @@ def run_export(messages: DataFrame, options: ExportOptions = ExportOptions()) ->
     write_csv(rows.select(*names).observe(seen, F.count("*").alias("rows"), line_bytes.alias("bytes")), path)
     counted = seen.get
     written = (1, f"{base}.csv", counted["rows"], counted["bytes"] + header_bytes)
-    return messages.sparkSession.createDataFrame([written], "part bigint, file string, rows bigint, bytes bigint")
+    return messages.sparkSession.createDataFrame([written], STATS_SCHEMA)
+
+
+@dataclass(frozen=True)
+class ExportSummary:
+    """What an export did as a whole."""
+
+    rows: int
+    bytes: int
+    files: int
+    seconds: float
+
+    @property
+    def rows_per_second(self) -> float:
+        return self.rows / self.seconds if self.seconds > 0 else 0.0
+
+
+def export_totals(stats: DataFrame) -> DataFrame:
+    """One row: ``rows, bytes, files`` over all parts."""
+    return stats.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
+        F.count("*").alias("files"),
+    )
+
+
+def run_export_timed(
+    messages: DataFrame, options: ExportOptions = ExportOptions()
+) -> tuple[DataFrame, ExportSummary]:
+    """``run_export``, and its totals, elapsed seconds and rate."""
+    began = time.monotonic()
+    stats = run_export(messages, options)
+    total = export_totals(stats).first()
+    return stats, ExportSummary(total["rows"], total["bytes"], total["files"], time.monotonic() - began)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
@@ -40,20 +40,10 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise FileExistsError(f"cannot move {source} to {target}")
 
 
-def move_all(spark: SparkSession, moves: Sequence[tuple[str, str]]) -> None:
-    """Rename many; a pair whose source is gone and whose target is there was moved before.
-
-    A rename is a call to the name node or store, so a few threads keep them under way."""
-
-    def one(pair: tuple[str, str]) -> None:
-        source, target = pair
-        if exists(spark, source):
-            move(spark, source, target)
-        elif not exists(spark, target):
-            raise FileNotFoundError(source)
-
+def side_by_side(step: Callable[[str], None], paths: Sequence[str]) -> None:
+    """A step for each of many files. Steps wait for the name node or store, so a few threads keep them under way."""
     with ThreadPoolExecutor(_MOVERS) as pool:
-        list(pool.map(one, moves))
+        list(pool.map(step, paths))
 
 
 def write_note(spark: SparkSession, path: str, text: str) -> None:

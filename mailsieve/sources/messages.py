@@ -19,13 +19,14 @@ DUMP_SCHEMA = (
     "id string, internal_date timestamp, thread_id string, label_ids array<string>, "
     "snippet string, payload string"
 )
-# Columns of landed messages; the last two are folders.
+# Columns of landed messages; the last is a folder, and so is the day or month that follows it.
 LANDED_SCHEMA = (
     "id string, internal_date timestamp, thread_id string, label_ids array<string>, snippet string, "
     "headers array<struct<name:string,value:string>>, "
     "parts array<struct<path:string,mime_type:string,filename:string,attachment_id:string,size:bigint>>, "
-    "bodies array<string>, batch bigint, day date"
+    "bodies array<string>, batch bigint"
 )
+PERIODS = ("day", "month")
 QUARANTINE_SCHEMA = "id string, reason string, payload string, batch bigint"
 
 
@@ -65,9 +66,17 @@ def utc_day(at: Column) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds(at) / 86400).cast("int"))
 
 
-def land_messages(dump: DataFrame, path: str, batch: int = 0) -> None:
+def period_of(at: Column, period: str) -> Column:
+    """The UTC day, or the first day of its month."""
+    return F.trunc(utc_day(at), "month") if period == "month" else utc_day(at)
+
+
+def land_messages(dump: DataFrame, path: str, batch: int = 0, period: str = "day") -> None:
     """Land one batch: readable messages under ``messages``, by day, the others under ``quarantine``.
 
+    Mail too scarce to fill files by day can be landed by ``period="month"``; all batches of a path need
+    the same period.
+
     Payloads are parsed once, for one write into a staging folder; then both tables get their part of it by
     a rename. Until then nothing of the batch is seen, and landing the same batch again
     replaces it. Rows meet by day before they are written (adaptive execution splits large
@@ -86,10 +95,10 @@ def land_messages(dump: DataFrame, path: str, batch: int = 0) -> None:
         "reason",
         F.when(F.col("reason").isNotNull(), F.col("payload")).alias("payload"),
         F.col("reason").isNotNull().alias("aside"),
-        utc_day(F.col("internal_date")).alias("day"),
+        period_of(F.col("internal_date"), period).alias(period),
     )
-    written = rows.hint("rebalance", "aside", "day").write.mode("overwrite")
-    written.partitionBy("aside", "day").parquet(staging)
+    written = rows.hint("rebalance", "aside", period).write.mode("overwrite")
+    written.partitionBy("aside", period).parquet(staging)
     for aside, name in (("true", "quarantine"), ("false", "messages")):
         files.remove(spark, f"{path}/{name}/batch={batch}")
         if files.exists(spark, f"{staging}/aside={aside}"):
@@ -105,7 +114,10 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_landed(spark: SparkSession, path: str) -> DataFrame:
     """Landed messages; ``parts`` holds no bodies, which stand in ``bodies`` at the same places."""
-    return _read(spark, f"{path}/messages", LANDED_SCHEMA)
+    batches = (files.names(spark, f"{path}/messages/{b}") for b in files.names(spark, f"{path}/messages"))
+    folders = (n.split("=")[0] for batch in batches for n in batch)
+    period = next((f for f in folders if f in PERIODS), PERIODS[0])
+    return _read(spark, f"{path}/messages", f"{LANDED_SCHEMA}, {period} date")
 
 
 def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
@@ -119,14 +131,20 @@ def whole_parts(messages: DataFrame) -> Column:
 
 
 def ingest(
-    spark: SparkSession, source: str, path: str, checkpoint: str, fmt: str = "json", files_per_batch: int = 1000
+    spark: SparkSession,
+    source: str,
+    path: str,
+    checkpoint: str,
+    fmt: str = "json",
+    files_per_batch: int = 1000,
+    period: str = "day",
 ) -> None:
     """Land the files of a dump folder that have arrived since the last run, and stop.
 
     A batch that Spark runs again after a failure has the same number and the same files, so it
     replaces what it left and every message is landed once."""
     reader = spark.readStream.schema(DUMP_SCHEMA).format(fmt).option("maxFilesPerTrigger", files_per_batch)
-    stream = reader.load(source).writeStream.foreachBatch(lambda rows, number: land_messages(rows, path, number))
+    stream = reader.load(source).writeStream.foreachBatch(lambda rows, number: land_messages(rows, path, number, period))
     stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 

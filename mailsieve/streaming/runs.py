@@ -7,14 +7,18 @@ watermark bounds it.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve.functions.headers import header
-from mailsieve.operators.fields import project_fields
+from mailsieve.operators.fields import FIELD_SETS, choose_fields, project_fields
 from mailsieve.operators.options import ExportOptions
+from mailsieve.operators.predicates import PRESETS
+from mailsieve.plans.export import ExportSummary
+from mailsieve.sources.csv_files import close_rolled, roll_batch, rolled_state
 from mailsieve.sources.messages import stream_messages
 from mailsieve.sources.session import work_path
 
@@ -41,6 +45,35 @@ def export_stream(messages: DataFrame, options: ExportOptions = ExportOptions())
     return project_fields(messages, options, ("id",))
 
 
+def export_rolled(
+    messages: DataFrame, options: ExportOptions, base: str, checkpoint: str, close: bool = True
+) -> ExportSummary:
+    """Export what has arrived into size-limited files of one series, oldest batch first, and stop.
+
+    Messages of a batch come newest first, as in a single export. The open file stays in the state under
+    ``checkpoint`` and a later run goes on filling it; ``close`` publishes it and ends the series. The
+    summary holds the totals of the whole series and the time and rate of this run."""
+    began = time.monotonic()
+    spark = messages.sparkSession
+    names = choose_fields(options.fields or FIELD_SETS["default"])
+    state = f"{checkpoint}/rolled"
+
+    def roll(batch: DataFrame, number: int) -> None:
+        chosen = batch.where(options.where or PRESETS[options.selection]())
+        rows = project_fields(chosen, options, ("id", "internal_date"))
+        order = [F.col("internal_date").desc()]
+        roll_batch(rows, options.output_dir, base, names, "id", order, options.max_bytes_per_file, state, number)
+
+    query = messages.writeStream.foreachBatch(roll).option("checkpointLocation", f"{checkpoint}/stream")
+    query.trigger(availableNow=True).start().awaitTermination()
+    if close:
+        total = close_rolled(spark, options.output_dir, base, names, state)
+    else:
+        _, note = rolled_state(spark, state)
+        total = {"rows": note["rows"], "bytes": note["bytes"], "files": note["files"]}
+    return ExportSummary(total["rows"], total["bytes"], total["files"], time.monotonic() - began)
+
+
 def run_available(rows: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Process what has arrived, append it to Parquet files and stop."""
     query = (

@@ -78,7 +78,7 @@ def test_run_export_files_hold_the_export(spark, mail):
     )
     stats = run_export(mail, options).collect()
     assert len(stats) > 2 and all(s.bytes <= 10_000 for s in stats)
-    lines = spark.read.text(options.output_dir).collect()
+    lines = spark.read.text(options.output_dir).select("value", F.col("_metadata.file_name").alias("file")).collect()
     count = export_rows(mail, options).count()
     assert sum(s.rows for s in stats) == count == len(lines) - len(stats)
     assert {s.file for s in stats} == {r.file for r in lines}

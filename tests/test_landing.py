@@ -75,11 +75,11 @@ def test_a_range_of_dates_reads_its_days(landed):
     assert {str(r.day) for r in chosen.select("day").distinct().collect()} <= {f"2024-01-0{d}" for d in (2, 3)}
 
 
-@pytest.mark.parametrize("zone", ["Asia/Tokyo", "America/Los_Angeles"])
-def test_days_hold_in_other_time_zones(spark, tmp_path, zone):
+@pytest.mark.parametrize("zone,period", [("Asia/Tokyo", "day"), ("America/Los_Angeles", "day"), ("Asia/Tokyo", "month")])
+def test_days_hold_in_other_time_zones(spark, tmp_path, zone, period):
     start = datetime(2024, 3, 9, tzinfo=timezone.utc)
     rows = [(f"m{i}", start + timedelta(hours=i), None, None, None, "{}") for i in range(96)] + [("x", *[None] * 4, "{}")]
-    land_messages(spark.createDataFrame(rows, DUMP_SCHEMA), str(tmp_path))
+    land_messages(spark.createDataFrame(rows, DUMP_SCHEMA), str(tmp_path), period=period)
     before = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
