@@ -16,6 +16,7 @@ from mailsieve.operators import predicates as pr
 from mailsieve.operators.fields import FIELD_SETS, project_fields
 from mailsieve.operators.options import ExportOptions
 from mailsieve.operators.rollover import assign_parts
+from mailsieve.operators.search_index import build_index, indexed_search
 from mailsieve.plans.export import export_rows, export_totals, select_messages
 from mailsieve.plans.mailbox import dump
 from mailsieve.sources.csv_files import close_rolled, read_csv, roll_batch, write_csv, write_rolled_csv
@@ -31,6 +32,7 @@ from mailsieve.sources.messages import (
 from mailsieve.sources.session import work_path
 from mailsieve.sources.tables import spread, table
 from mailsieve.streaming import runs
+from mailsieve.streaming.dedupe import dedupe_batch, read_deduped
 
 from checks import sql_mail as m
 from checks.probes import ADDRESS_PROBES, PROBES, quote, spark_probe, sql_probe
@@ -724,6 +726,37 @@ register(
     f"WITH {m.MAIL} SELECT message_id, id, epoch(internal_date)::BIGINT AS received_at FROM ({_FIRST}) "
     "WHERE place = 1 OR message_id = ''",
 )
+
+
+def _deduped_rows(spark, folder):
+    """The kept rows of batches that arrive out of order, the middle one twice."""
+    path = work_path(spark, "deduped")
+    rows = mailbox(spark, folder)
+    for batch in (0, 1, 1, 2):
+        own = rows.where(F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(3)) == batch)
+        dedupe_batch(own, path, batch)
+    return read_deduped(spark, path).select(
+        "message_id", "id", F.unix_timestamp("internal_date").alias("received_at")
+    )
+
+
+register("stream_dedupe_rows", _deduped_rows, ORACLE["dedupe_message_id"])
+
+
+def _sender_months(spark, folder):
+    path, mail = work_path(spark, "sketches"), mailbox(spark, folder)
+    an.sender_sketches(mail).write.parquet(path)
+    checked = an.sender_months_check(mail, spark.read.parquet(path))
+    return checked.withColumn("month", F.col("month").cast("string"))
+
+
+register(
+    "senders_by_month",
+    _sender_months,
+    "SELECT strftime(date_trunc('month', internal_date), '%Y-%m-%d') AS month, count(DISTINCT from_email) AS senders, "
+    f"true AS estimate_is_near FROM ({m.fields_sql(['from_email'], keep='mail.id, mail.internal_date')}) "
+    "WHERE from_email <> '' GROUP BY 1",
+)
 register(
     "reply_links",
     _analysis(an.reply_links),
@@ -788,3 +821,12 @@ register(
     _analysis(an.body_search, "Que La"),
     f"SELECT * FROM ({m.fields_sql(['body_text'])}) WHERE {_contains('body_text', 'Que La')}",
 )
+
+
+def _indexed_search(spark, folder):
+    path = work_path(spark, "index")
+    build_index(mailbox(spark, folder), path)
+    return indexed_search(mailbox(spark, folder), path, "Que La")
+
+
+register("indexed_search", _indexed_search, ORACLE["body_search"])

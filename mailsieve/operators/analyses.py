@@ -17,6 +17,7 @@ from mailsieve.functions.parts import attachment_summary
 from mailsieve.operators.fields import project_fields
 from mailsieve.operators.options import ExportOptions
 from mailsieve.operators.predicates import text_contains
+from mailsieve.sources.messages import utc_day
 
 # Local parts that announce an address nobody reads.
 NO_REPLY = r"(?i)^(?:no-?reply|do-?not-?reply|donotreply|notifications?|mailer-daemon|postmaster)(?:\+[^@]*)?@"
@@ -51,6 +52,32 @@ def sender_count_check(messages: DataFrame, error: float = 0.05, within: float =
     return both.select("senders", near.alias("estimate_is_near"))
 
 
+def sender_sketches(messages: DataFrame, lg_k: int = 12) -> DataFrame:
+    """``day, sketch``: the senders of each UTC day as a sketch of bounded size, which merges with others."""
+    senders = _fields(messages, "from_email", keep=("internal_date",)).where("from_email != ''")
+    per_day = senders.groupBy(utc_day(F.col("internal_date")).alias("day"))
+    return per_day.agg(F.hll_sketch_agg("from_email", lg_k).alias("sketch"))
+
+
+def senders_by_month(sketches: DataFrame) -> DataFrame:
+    """``month, senders``: estimated from the sketches of its days, without reading mail again."""
+    month = F.trunc("day", "month").alias("month")
+    merged = sketches.groupBy(month).agg(F.hll_union_agg("sketch").alias("sketch"))
+    return merged.select("month", F.hll_sketch_estimate("sketch").alias("senders"))
+
+
+def sender_months_check(messages: DataFrame, sketches: DataFrame, within: float = 0.1) -> DataFrame:
+    """``month, senders, estimate_is_near``: the exact number of senders, and whether the sketches come that close."""
+    senders = _fields(messages, "from_email", keep=("internal_date",)).where("from_email != ''")
+    month = F.trunc(utc_day(F.col("internal_date")), "month")
+    pairs = senders.select(month.alias("month"), "from_email").distinct()
+    exact = pairs.groupBy("month").agg(F.count("*").alias("senders"))
+    estimate = senders_by_month(sketches).withColumnRenamed("senders", "estimate")
+    both = exact.join(estimate, exact["month"].eqNullSafe(estimate["month"])).select(exact["month"], "senders", "estimate")
+    near = F.abs(F.col("estimate") - F.col("senders")) <= F.greatest(F.col("senders") * within, F.lit(1.0))
+    return both.select("month", "senders", near.alias("estimate_is_near"))
+
+
 def mail_by_sender(messages: DataFrame) -> DataFrame:
     return _fields(messages, "from_email").groupBy("from_email").agg(F.count("*").alias("messages"))
 

@@ -55,7 +55,7 @@ ROWS = [(i, f'v{i}, "q"', f"two\r\nlines {i}  ") for i in range(50)]
 
 
 def lines_of(spark, path, name):
-    return [r.value for r in spark.read.text(f"{path}/file={name}").collect()]
+    return [r.value for r in spark.read.text(f"{path}/{name}").collect()]
 
 
 def test_rolled_files(spark):
