@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from contextvars import ContextVar
+from threading import get_ident
 
 from pyspark.sql import SparkSession
 
@@ -43,21 +43,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured or context.getCheckpointDir()
 
 
-_job_root: ContextVar[str | None] = ContextVar("job_root", default=None)
+# Folders of the jobs that run in each thread, the innermost last; a plain value, as tasks get copies of this module.
+_job_roots: dict[int, list[str]] = {}
 
 
 @contextmanager
 def job_folder(spark: SparkSession) -> Iterator[str]:
     """A folder for all work paths taken inside; it is removed at the end, also after a failure."""
     root = f"{checkpoint_dir(spark)}/job-{uuid.uuid4().hex}"
-    token = _job_root.set(root)
+    own = _job_roots.setdefault(get_ident(), [])
+    own.append(root)
     try:
         yield root
     finally:
-        _job_root.reset(token)
+        own.pop()
         remove(spark, root)
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder, or under that of the running job."""
-    return f"{_job_root.get() or checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    roots = _job_roots.get(get_ident())
+    return f"{roots[-1] if roots else checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
