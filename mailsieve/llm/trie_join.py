@@ -6,14 +6,19 @@ sets have in common first is rare. Equal sets are one record.
 1. Prefixes. Two similar sets share a shingle within the first n - ceil(0.75 n) + 1 of each; only
    these prefixes are shuffled, and shingles that a single record holds end there.
 2. Leaders. Each record is verified against one central record that shares much of its prefix;
-   this joins most of a group of near copies with work in proportion to its size.
-3. The rest. Only prefix shingles whose records are still in different components are joined, with
-   the records outside a shingle's largest component on one side. Pairs that the shared part of
-   their prefixes cannot bring to the threshold fall away; the others are verified.
-4. Verification. The candidates of a record, at most ``GROUP`` of them at a time, are stored as a
-   prefix tree of their ordered sets (edges of ``STRIDE`` shingles). The record's set is taken down
-   the tree: the overlap of a shared path is counted once, and a subtree is left as soon as its
-   overlap plus the shorter remaining length cannot reach what the threshold needs.
+   this joins most of a group of near copies with work in proportion to its size. On shingles with
+   many records further rounds with other members follow while they still join a good part.
+3. Shingles of at most ``CROWD`` records in different components: pairs, with the records outside the
+   shingle's largest component on one side. Pairs that the shared part of their prefixes cannot
+   bring to the threshold fall away; the others are verified.
+4. Shingles of more records: no pairs. Their records live in prefix trees of at most ``GROUP`` sets, each
+   record in one tree, chosen by its first crowded shingle, so that sets that begin alike stand
+   together. A record outside a shingle's largest component asks every tree with a record of that
+   shingle once, and a tree answers with one link for each other component it finds.
+5. Verification. Candidates are stored as a prefix tree of their ordered sets (edges of ``STRIDE``
+   shingles). A record's set is taken down the tree: the overlap of a shared path is counted once,
+   and a subtree is left as soon as its overlap plus the shorter remaining length cannot reach
+   what the threshold needs.
 
 Every pair of different components that could be linked is verified, so no link is lost; pairs
 within a component are not listed. Shingles are compared by 64-bit hashes; records are sets by a
@@ -31,7 +36,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,11 +46,13 @@ from mailsieve.llm.words import mix, shingle_sets
 STRIDE = 32
 GROUP = 256
 _SLICE_BYTES = 1 << 20
-LEADER_ROUNDS = 1
+CROWD = 16
+_WORTH = 0.1  # a round of leaders goes on if the last one linked this share of what it tried
+_SURE = 12  # shingles seen 2^12 times in chunks are shared without asking
 _CHUNK = 4_000_000  # shingles counted together in a task
 _FREQUENT_IN_CHUNK = 2
 _FREQUENT = 1 << 20  # at most so many shingles are known as frequent; this bounds what tasks are sent
-_MAP_BITS = 23
+_MAP_BITS = (16, 27)  # of the bitmap of wanted records, by their number
 
 
 def needed(a, b):
@@ -163,19 +170,24 @@ def _prefixes(docs: DataFrame, order: Order, seed: int) -> DataFrame:
 
 def _sets(docs: DataFrame, records: DataFrame, order: Order, seed: int) -> DataFrame:
     """``record, n, keys`` (ordered set) of the given records."""
-    # A bitmap of the records' hashes, of fixed size, keeps most other sets out of the shuffle.
-    bucket = F.pmod(F.col("record"), F.lit(1 << _MAP_BITS))
-    used = records.select(bucket.alias("bucket")).distinct().toArrow()["bucket"].to_numpy().astype(np.int64)
-    bits = np.zeros(1 << _MAP_BITS, bool)
-    bits[used] = True
-    packed = np.packbits(bits)
+    # A bitmap of the records' hashes, put together by Spark and of bounded size, keeps most other sets out of
+    # the shuffle; the join below is what decides.
+    bits = min(max(_MAP_BITS[0], int(records.count()).bit_length() + 3), _MAP_BITS[1])
+    slot = F.pmod(F.col("record"), F.lit(1 << bits)) + 1  # the bitmap functions count from one
+    pages = records.groupBy((F.bitmap_bucket_number(slot) - 1).alias("page")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")
+    )
+    packed = np.zeros((1 << bits) // 8, np.uint8)
+    for page, held in pages.collect():  # pages of 4096 bytes, 16 MB together at most
+        at = page * 4096
+        packed[at : at + 4096] = np.frombuffer(held, np.uint8)[: len(packed) - at]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, met = np.unpackbits(packed).astype(bool), set()
+        wanted, met = np.unpackbits(packed, bitorder="little").astype(bool), set()
         for part in slices(batches, "text", _SLICE_BYTES):
             sets = shingle_sets(_texts(part), seed)
             record, _, sizes = _records(sets)
-            take = np.flatnonzero(wanted[record & ((1 << _MAP_BITS) - 1)] & (sizes > 0))
+            take = np.flatnonzero(wanted[record & ((1 << bits) - 1)] & (sizes > 0))
             take = [i for i in take.tolist() if not (record[i] in met or (len(met) < 1_000_000 and met.add(record[i])))]
             if take:
                 cells = [order.keys(sets[i]).tobytes() for i in take]
@@ -246,6 +258,50 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(met.applyInArrow(descend, "a bigint, b bigint"), "links")
 
 
+def _answered(asks: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``a, b`` between records ``b`` that ask trees (``record, own, home, part``) and the trees' members
+    (``record, component, home, part``): for each other component that a tree finds, one member."""
+    tree = ["home", "part"]
+    turns = asks.groupBy(*tree).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("turns"))
+    asking = asks.join(turns, tree).withColumn("turn", F.pmod(F.xxhash64("record"), F.col("turns")).cast("int"))
+    asking = asking.select(*tree, "turn", "record", F.col("own").alias("component"), F.lit(True).alias("asks"))
+    told = members.join(turns, tree).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    told = told.select(*tree, "turn", "record", "component", F.lit(False).alias("asks"))
+    met = asking.unionByName(told).join(sets.select("record", "keys"), "record")
+
+    def descend(table: pa.Table) -> pa.Table:
+        record, component = table["record"].to_numpy(), table["component"].to_numpy()
+        asks = table["asks"].to_numpy(zero_copy_only=False)
+        keys = [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()]
+        inside, a, b = np.flatnonzero(~asks), [], []
+        stored = [keys[i] for i in inside]
+        for lead in np.flatnonzero(asks):
+            linked = inside[walk(stored, keys[lead])]
+            others, first = np.unique(component[linked], return_index=True)
+            first = first[others != component[lead]]
+            a.append(record[linked[first]])
+            b.append(np.full(len(first), record[lead]))
+        none = [np.empty(0, np.int64)]
+        return pa.table({"a": np.concatenate([*a, *none]), "b": np.concatenate([*b, *none])})
+
+    return written(met.groupBy(*tree, "turn").applyInArrow(descend, "a bigint, b bigint"), "links")
+
+
+def _asks(crowd: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Who asks which tree (``record, own, home, part``), and the trees' members (``record, component, home, part``)."""
+    homes = crowd.groupBy("record").agg(F.min("key").alias("home"), F.first("component").alias("component"))
+    parts = homes.groupBy("home").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    members = homes.join(parts, "home").withColumn("part", F.pmod(F.xxhash64("record"), F.col("parts")).cast("int"))
+    members = written(members.select("record", "component", "home", "part"), "trees")
+    trees = crowd.select("key", "record").join(members.select("record", "home", "part"), "record")
+    trees = trees.select("key", "home", "part").distinct()
+    sizes = crowd.groupBy("key", "component").count()
+    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
+    outside = crowd.join(largest, "key").where("component != largest").select("key", "record", F.col("component").alias("own"))
+    asks = outside.join(trees, "key").select("record", "own", "home", "part").distinct()
+    return written(asks, "asks"), members
+
+
 def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``id, n_shingles, component_id``, one row per row of ``docs``."""
     docs = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
@@ -258,51 +314,79 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
             break
         seed += 1
     order = Order(summaries)
-    by_key = W.partitionBy("key")
+    # A shingle seen very often is shared; its rows need not meet in one task to find out.
+    sure = F.shiftrightunsigned("key", 58) > _SURE
+    by_key = W.partitionBy("key", "apart")
+    apart = F.when(sure, F.col("record")).otherwise(F.lit(0).cast("bigint"))
     shared = (
         _prefixes(docs, order, seed)
+        .withColumn("apart", apart)
         .withColumns({"low": F.min("record").over(by_key), "high": F.max("record").over(by_key)})
-        .where("low != high")
-        .dropDuplicates(["key", "record"])
-        .drop("low", "high")
+        .where(sure | (F.col("low") != F.col("high")))
+        .dropDuplicates(["key", "apart", "record"])
+        .drop("apart", "low", "high")
     )
     shared = written(shared, "shared")
     records = written(shared.select("record").distinct(), "records")
 
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return _sets(docs, written(wanted.distinct(), "involved"), order, seed)
+
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "candidates")
-        involved = pairs.select(F.explode(F.array("a", "b")).alias("record")).distinct()
-        return _verified(pairs, _sets(docs, written(involved, "involved"), order, seed))
+        return _verified(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("record"))))
+
+    def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """Rows of shingles whose records are in several components, and whether these are crowded."""
+        rows = rows.drop("component", "crowded").join(found.withColumnRenamed("node", "record"), "record")
+        several = rows.withColumn("apart", apart).withColumns(
+            {
+                "low": F.min("component").over(by_key),
+                "high": F.max("component").over(by_key),
+                "crowded": sure | (F.count("*").over(by_key) > CROWD),
+            }
+        )
+        return written(several.where(sure | (F.col("low") != F.col("high"))).drop("apart", "low", "high"), "open")
+
+    def led_by(rows: DataFrame, rank: Column) -> DataFrame:
+        """``a, b``: each record with the leader of its shingles it shares most of them with."""
+        central = rows.groupBy("key").agg(F.max(F.struct(rank.alias("rank"), "record", "component")).alias("lead"))
+        led = rows.join(central, "key").where("component != lead.component")
+        counted = led.groupBy("record", "n", F.col("lead.record").alias("b")).count().where("28 * count >= 3 * n")
+        leaders = counted.groupBy("record").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+        return leaders.withColumnRenamed("record", "a")
 
     # Central records share most of their prefix with others; the original of edited copies does.
     degree = shared.groupBy("record").agg(F.count("*").alias("degree"))
     open_ = shared.select("key", "record", "n", "pos").join(degree, "record").withColumn("component", F.col("record"))
     nodes = records.withColumnRenamed("record", "node")
-    open_, links = written(open_, "open"), []
-    for _ in range(LEADER_ROUNDS):
-        central = open_.groupBy("key").agg(F.max(F.struct("degree", "record", "component")).alias("lead"))
-        led = open_.join(central, "key").where("component != lead.component")
-        counted = led.groupBy("record", "n", F.col("lead.record").alias("b")).count().where("28 * count >= 3 * n")
-        leaders = counted.groupBy("record").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-        links.append(verified(leaders.withColumnRenamed("record", "a")))
+    links = [verified(led_by(written(open_, "open"), F.col("degree")))]
+    found = components(nodes, links[0])
+    open_ = labelled(shared.select("key", "record", "n", "pos"), found)
+    turn = 0
+    while True:  # in crowds, other members lead while that still joins many
+        turn += 1
+        tried = written(led_by(open_.where("crowded"), F.xxhash64("record", F.lit(turn))), "tried")
+        asked = tried.count()
+        if not asked:
+            break
+        links.append(verified(tried))
         found = components(nodes, reduce(DataFrame.unionByName, links))
-        # Shingles whose records are all in one component are done with.
-        open_ = written(
-            open_.drop("component")
-            .join(found.withColumnRenamed("node", "record"), "record")
-            .withColumns({"low": F.min("component").over(by_key), "high": F.max("component").over(by_key)})
-            .where("low != high")
-            .drop("low", "high"),
-            "open",
-        )
-    tagged = open_
+        open_ = labelled(open_, found)
+        if links[-1].count() < _WORTH * asked:
+            break
+    crowd = open_.where("crowded")
+    if not crowd.isEmpty():
+        asks, members = _asks(crowd)
+        involved = asks.select("record").unionByName(members.join(asks, ["home", "part"], "left_semi").select("record"))
+        links.append(_answered(asks, members, sets_of(involved)))
+    tagged = open_.where("NOT crowded")
     sizes = tagged.groupBy("key", "component").count()
     largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
     some = tagged.join(largest, "key").where("component != largest")
     left = some.select("key", *[F.col(c).alias(f"{c}1") for c in ("record", "n", "pos", "component")])
     right = tagged.join(largest, "key").withColumn("outside", F.col("component") != F.col("largest"))
     right = right.select("key", "outside", *[F.col(c).alias(f"{c}2") for c in ("record", "n", "pos", "component")])
-    # A shingle with very many records makes this join uneven; adaptive execution splits it.
     meets = left.join(right, "key").where(
         "component1 != component2 AND (NOT outside OR record1 < record2)"
         " AND 4 * least(n1, n2) >= 3 * greatest(n1, n2)"

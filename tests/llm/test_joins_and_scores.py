@@ -325,3 +325,32 @@ def test_pipeline_returns_the_place_in_the_mixture(spark):
         assert [r.place for r in got] == list(range(700)) and [r.doc_id for r in got] == want
     unwritten = stages["sentence_pieces"](spark, stages["mixing"](spark, docs, ""), "").collect()
     assert [r.doc_id for r in sorted(unwritten, key=lambda r: r.place)] == want
+
+
+def crowds(seed=9):
+    """Near copies at all distances and texts that are mostly one passage: more of each than a shingle may pair."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(3000)]
+    passage, base = rng.choices(words, k=50), rng.choices(words, k=60)
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 14)) + passage) for _ in range(60)]
+    for _ in range(90):
+        copy = list(base)
+        for _ in range(rng.randint(0, 4)):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    return texts
+
+
+def test_crowded_shingles_lose_no_link(spark, monkeypatch):
+    from mailsieve.llm import trie_join
+
+    rows = list(enumerate(crowds()))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted(brute_classes(rows))
+    assert len({w[2] for w in want}) > 5 and max(w[2] for w in want) > 0
+    for group, worth, sure in ((256, 0.1, 12), (7, 2.0, 12), (7, 2.0, 3)):
+        monkeypatch.setattr(trie_join, "GROUP", group)
+        monkeypatch.setattr(trie_join, "_WORTH", worth)
+        monkeypatch.setattr(trie_join, "_SURE", sure)
+        assert sorted(map(tuple, similar_documents(docs).collect())) == want
