@@ -15,7 +15,8 @@ sets have in common first is rare. Equal sets are one record.
    record in one tree, chosen by its first crowded shingle, so that sets that begin alike stand
    together. A record outside a shingle's largest component asks every tree with a record of that
    shingle once, and a tree answers with one link for each other component it finds.
-5. Verification. Candidates are stored as a prefix tree of their ordered sets (edges of ``STRIDE``
+5. Verification. Pairs of step 2 and 3 whose sketches (parities of hashes, a bound on what two sets share)
+   rule a link out end here. Candidates are stored as a prefix tree of their ordered sets (edges of ``STRIDE``
    shingles). A record's set is taken down the tree: the overlap of a shared path is counted once,
    and a subtree is left as soon as its overlap plus the shorter remaining length cannot reach
    what the threshold needs.
@@ -46,7 +47,7 @@ from mailsieve.llm.words import mix, shingle_sets
 STRIDE = 32
 GROUP = 256
 _SLICE_BYTES = 1 << 20
-CROWD = 16
+CROWD = 64
 _WORTH = 0.1  # a round of leaders goes on if the last one linked this share of what it tried
 _SURE = 12  # shingles seen 2^12 times in chunks are shared without asking
 _CHUNK = 4_000_000  # shingles counted together in a task
@@ -73,17 +74,54 @@ def _records(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return mix(sums(mix(flat + np.uint64(7)))).view(np.int64), sums(mix(~flat)).view(np.int64), sizes
 
 
+def sketch(keys: np.ndarray) -> bytes:
+    """Parities of a set: bit ``p`` tells whether an odd number of its hashes end in ``p``; two bits a hash at least.
+
+    Shingles of both sets cancel out, so the bits in which two sketches of one size differ number at most as
+    many as the shingles that only one of the sets has. A sketch is folded to half its size by or-ing its
+    halves exclusively."""
+    bits = max(256, 1 << (2 * len(keys) - 1).bit_length())
+    odd = np.bincount((keys & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def may_link(a: bytes, b: bytes, size_a: int, size_b: int) -> bool:
+    """Whether two sets with these sketches can overlap as much as a link needs."""
+    x, y = sorted((np.frombuffer(s, np.uint8) for s in (a, b)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    apart = int(np.bitwise_count(x ^ y).sum())
+    return size_a + size_b - apart >= 2 * needed(size_a, size_b)
+
+
+def _screened(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose sketches allow a link. Sketches are a thirtieth of the sets."""
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("record")).distinct()
+    held = rows.join(involved, "record", "left_semi").groupBy("record").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    side = {c: held.select(F.col("record").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab"}
+    both = pairs.join(side["a"], "a").join(side["b"], "b").select("a", "b", "na", "nb", "sa", "sb")
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("sa", "sb", "na", "nb"))
+            fits = [may_link(*row) for row in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    return both.mapInArrow(screen, "a bigint, b bigint")
+
+
 def _texts(part: pa.RecordBatch) -> list[bytes]:
     return [(t or "").encode() for t in part.column("text").to_pylist()]
 
 
 def _summaries(docs: DataFrame, seed: int) -> DataFrame:
-    """A row per document (record, second hash, size) and rows of shingles that are frequent in a chunk."""
+    """A row per document (record, second hash, size, sketch) and rows of shingles that are frequent in a chunk."""
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "record", "check", "n", "shingle", "seen"]
+        names = ["doc_id", "record", "check", "n", "shingle", "seen", "sketch"]
 
         def rows(columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+            columns.setdefault("sketch", pa.nulls(n, pa.binary()))
             return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, pa.int64())) for c in names], names)
 
         def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -97,6 +135,7 @@ def _summaries(docs: DataFrame, seed: int) -> DataFrame:
             sets = shingle_sets(_texts(part), seed)
             record, check, n = _records(sets)
             columns = {"record": pa.array(record), "check": pa.array(check), "n": pa.array(n)}
+            columns["sketch"] = pa.array([sketch(keys) if len(keys) else None for keys in sets], pa.binary())
             yield rows(columns | {"doc_id": part.column("doc_id")}, part.num_rows)
             held.extend(sets)
             size += int(n.sum())
@@ -106,7 +145,7 @@ def _summaries(docs: DataFrame, seed: int) -> DataFrame:
         if held:
             yield frequent(held)
 
-    schema = "doc_id bigint, record bigint, check bigint, n bigint, shingle bigint, seen bigint"
+    schema = "doc_id bigint, record bigint, check bigint, n bigint, shingle bigint, seen bigint, sketch binary"
     return docs.mapInArrow(summarise, schema)
 
 
@@ -333,7 +372,7 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
         return _sets(docs, written(wanted.distinct(), "involved"), order, seed)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "candidates")
+        pairs = written(_screened(written(pairs, "candidates"), rows), "screened")
         return _verified(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("record"))))
 
     def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:

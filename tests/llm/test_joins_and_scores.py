@@ -349,8 +349,26 @@ def test_crowded_shingles_lose_no_link(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = sorted(brute_classes(rows))
     assert len({w[2] for w in want}) > 5 and max(w[2] for w in want) > 0
-    for group, worth, sure in ((256, 0.1, 12), (7, 2.0, 12), (7, 2.0, 3)):
+    for crowd, group, worth, sure in ((64, 256, 0.1, 12), (16, 7, 2.0, 12), (16, 7, 2.0, 3)):
+        monkeypatch.setattr(trie_join, "CROWD", crowd)
         monkeypatch.setattr(trie_join, "GROUP", group)
         monkeypatch.setattr(trie_join, "_WORTH", worth)
         monkeypatch.setattr(trie_join, "_SURE", sure)
         assert sorted(map(tuple, similar_documents(docs).collect())) == want
+
+
+def test_sketches_rule_out_no_link():
+    from mailsieve.llm.trie_join import may_link, sketch
+
+    rng = np.random.default_rng(5)
+    ruled_out = 0
+    for _ in range(400):
+        a = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 900)).astype(np.uint64))
+        kept = a[rng.random(len(a)) < rng.choice([0.3, 0.8, 0.9, 1.0])]
+        b = np.unique(np.concatenate([kept, rng.integers(0, 1 << 62, rng.integers(0, 200)).astype(np.uint64)]))
+        if len(b):
+            links = 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+            may = may_link(sketch(a), sketch(b), len(a), len(b))
+            assert may or not links
+            ruled_out += not may
+    assert ruled_out > 150
