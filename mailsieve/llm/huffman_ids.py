@@ -20,7 +20,9 @@ files. Other columns are not stored.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -43,14 +45,38 @@ TABLE_ROWS = 500_000
 _WORDS_AT_ONCE = 2000
 _COUNT_AT_ONCE = 1 << 20
 _LONG_WORD = 80
+_LONG_HELD = 1 << 20  # characters of longer words that a table may hold
 _SLICE_BYTES = 6 << 20
 
 
+# Whether the tokenizer always ends a pre-token between two bytes: a letter and a mark, in either order. The
+# apostrophe is left out, as it may go with the letters behind it.
+_KIND = np.zeros(256, np.int8)
+_KIND[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = 1
+_KIND[[b for b in b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = -1
+_PLAIN = re.compile("[a-z]+")
+
+
+def parted(texts: pa.StringArray) -> pa.StringArray:
+    """Texts with a space put between ASCII letters and marks that stand side by side."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+    if offsets[-1] == offsets[0]:
+        return texts
+    flat = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    kind = _KIND[flat]
+    at = np.flatnonzero(kind[1:] * kind[:-1] < 0) + 1
+    moved = offsets + np.searchsorted(at, offsets, side="left")
+    longer = np.insert(flat, at, ord(" "))
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(moved.astype(np.int32)), pa.py_buffer(longer))
+
+
 class WordTable:
     """Ids of distinct words; words are what stands between ASCII white space.
 
     The tokenizer turns white space into nothing but a boundary, so the ids of a text are
-    those of its words in order."""
+    those of its words in order. It also ends a pre-token between a letter and a mark; parted there, a
+    text has far fewer different words. Plain words are one pre-token each and go to its model directly."""
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer = tokenizer
@@ -60,10 +86,17 @@ class WordTable:
         self.at: dict[str, int] = {}
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.long = 0  # characters of long words in the table
 
     def add(self, words: list[str]) -> None:
+        plain = [w for w in words if len(w) <= _LONG_WORD and _PLAIN.fullmatch(w)]
+        known, tokenize = set(plain), self.tokenizer.model.tokenize
+        found = [[t.id for t in tokenize(w)] for w in plain]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        words = [w for w in words if w not in known]
         # Some words at a time: the library's time grows faster than a long text.
-        all_sizes, all_ids = [self.sizes], [self.ids]
+        all_sizes, all_ids = [self.sizes, sizes], [self.ids, flat]
         for at in range(0, len(words), _WORDS_AT_ONCE):
             part = words[at : at + _WORDS_AT_ONCE]
             found = self.tokenizer.encode("\n".join(part), add_special_tokens=False)
@@ -73,6 +106,7 @@ class WordTable:
             own = np.searchsorted(begins, places, side="right") - 1
             all_sizes.append(np.bincount(own, minlength=len(part)))
             all_ids.append(np.array(found.ids, np.uint32))
+        words = plain + words
         self.at.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
         self.sizes, self.ids = np.concatenate(all_sizes), np.concatenate(all_ids)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -82,7 +116,7 @@ class WordTable:
         # The tokenizer lower-cases; doing so first makes words fewer. Its special strings are
         # recognised before that and only as they are written.
         special = pc.match_substring(texts, "<|")
-        lists = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
+        lists = pc.ascii_split_whitespace(pc.if_else(special, texts, parted(pc.ascii_lower(texts))))
         words = lists.flatten().dictionary_encode()
         if len(self.at) > TABLE_ROWS:
             self.clear()
@@ -97,7 +131,8 @@ class WordTable:
         take = np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])
         edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         out = np.diff(ends[edges]), self.ids[take]
-        if any(len(w) > _LONG_WORD for w in fresh):
+        self.long += sum(len(w) for w in fresh if len(w) > _LONG_WORD)
+        if self.long > _LONG_HELD:
             self.clear()
         return out
 

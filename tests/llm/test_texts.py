@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -222,3 +223,47 @@ def test_digest_query(spark, sf):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_words_parted_at_marks_keep_their_ids():
+    tokenizer = Tokenizer.from_file(WORDS)
+    draw = random.Random(11)
+    marks = list("!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~ ") + ["'s", "'re", "n't", "\u0338", "\u0301", "é", "Ω", "7", "42", "ab", "Word", "the", "\u00a0", "<|"]
+    texts = ["".join(draw.choices(marks, k=draw.randint(0, 30))) for _ in range(1500)] + ["x" * 500 + "," + "y" * 300] * 2
+    table = huffman_ids.WordTable(tokenizer)
+    for sliced in (pa.array(texts), pa.array(["first", *texts]).slice(1)):
+        counts, ids = table.encode(sliced)
+        ends = np.cumsum(counts)
+        for text, a, b in zip(texts, ends - counts, ends):
+            assert ids[a:b].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_the_query_of_token_files_equals_the_library(spark, sf):
+    import zlib
+
+    from mailsieve.llm.queries import QUERIES
+
+    tokenizer = Tokenizer.from_file(WORDS)
+    start = 0
+    got = {r.doc_id: r for r in QUERIES["op9_token_files"](spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").select("doc_id", "text").collect():
+        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2]
+        own = got.pop(r.doc_id)
+        digest = zlib.crc32(np.array(ids, "<u4").tobytes())
+        assert (own.start, own.n_tokens, own.ids_crc32) == (start, len(ids), digest)
+        start += len(ids)
+    assert not got
+
+
+def test_piece_digests(odd_documents, no_documents):
+    from mailsieve.llm.sentence_pieces import piece_digests
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = piece_digests(odd_documents.withColumn("copy", F.col("text")), PIECES).collect()
+    assert len(rows) == odd_documents.count()
+    for r in rows:
+        ids = library.encode(r.copy or "")
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+    assert piece_digests(no_documents, PIECES).count() == 0
