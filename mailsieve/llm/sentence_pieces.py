@@ -13,6 +13,7 @@ has no ids; other columns are passed through, and a column named like an added o
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
 from collections.abc import Iterator
@@ -28,6 +29,7 @@ MARK = "▁"
 TABLE_ROWS = 200_000
 LONG_CHUNK = 80
 _SLICE_BYTES = 2 << 20
+_DIGEST_BYTES = 512 << 10
 _CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
 
 
@@ -119,3 +121,32 @@ def encode_pieces(docs: DataFrame, model_path: str, text_column: str = "text") -
             )
 
     return rows.mapInArrow(encode, schema)
+
+
+def piece_digests(docs: DataFrame, model_path: str, text_column: str = "text") -> DataFrame:
+    """``docs`` without its text, with ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by commas) and
+    ``decoded_sha256``. Ids and decoded texts stay in the task, which holds small slices of texts at a time."""
+    with open(model_path, "rb") as f:
+        model = f.read()
+    load(model)
+    added = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
+    rest = [c for c in docs.columns if c != text_column and c not in added]
+    rows = docs.select(*[f"`{c}`" for c in rest], f"`{text_column}`")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema} | added
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*rest, *added])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = ChunkTable(load(model))
+        for part in slices(batches, text_column, _DIGEST_BYTES):
+            texts = [t or "" for t in part.column(text_column).to_pylist()]
+            counts, ids, decoded = table.encode(texts)
+            ends = np.cumsum(counts)
+            joined = (",".join(map(str, ids[a:b].tolist())) for a, b in zip(ends - counts, ends, strict=True))
+            columns = [
+                pa.array(counts.astype(np.int64)),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in joined], pa.string()),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], *columns], names=[*rest, *added])
+
+    return rows.mapInArrow(digest, schema)
