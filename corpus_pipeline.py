@@ -19,7 +19,7 @@ from mailsieve.llm import byte_convnet
 from mailsieve.llm.common import written
 from mailsieve.llm.exact_dedup import exact_dedup
 from mailsieve.llm.pfair_mixing import mix
-from mailsieve.llm.sentence_pieces import encode_pieces
+from mailsieve.llm.sentence_pieces import piece_digests
 from mailsieve.llm.trie_join import similar_documents
 from mailsieve.sources.tables import table
 
@@ -102,13 +102,8 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place of each document in the mixture, number of its pieces, and digests of its ids and of what
     they decode to."""
     placed = _placed(docs).select("doc_id", "source", "text", "place")
-    return encode_pieces(placed, public_tokenizers.path(PIECES)).select(
-        "doc_id",
-        "source",
-        "place",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+    return piece_digests(placed, public_tokenizers.path(PIECES)).select(
+        "doc_id", "source", "place", "n_tokens", "ids_sha256", "decoded_sha256"
     )
 
 
