@@ -21,6 +21,7 @@ from mailsieve.llm.exact_dedup import exact_dedup
 from mailsieve.llm.pfair_mixing import mix
 from mailsieve.llm.sentence_pieces import piece_digests
 from mailsieve.llm.trie_join import similar_documents
+from mailsieve.sources.session import job_folder, work_path
 from mailsieve.sources.tables import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,14 +30,12 @@ MIN_LANGUAGE_SCORE = 0.3
 PIECES = "piece_bpe_32k.model"
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs``, written with a number for every row: ids may be null or occur several times."""
-    return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW)), "numbered")
-
-
-def _kept(rows: DataFrame, numbers: DataFrame) -> DataFrame:
-    """Documents with these row numbers."""
-    return rows.join(numbers.select(ROW), ROW, "left_semi").select(*COLUMNS)
+    path = work_path(spark, "numbered")
+    rows = docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW))
+    rows.write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,19 +47,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text, the one with the largest id (of several of these, the last row)."""
-    rows = _numbered(docs)
-    kept = exact_dedup(rows, keep="max", row_column=ROW).where("kept")
-    return _kept(rows, kept.groupBy("text_sha256", "doc_id").agg(F.max(ROW).alias(ROW)))
+    """One row of each text, the one with the largest id (one of them if a row is repeated).
+
+    A row is told by its id and the digest of its text, so no copy of the documents is written."""
+    kept = exact_dedup(docs.select("doc_id", "text"), keep="max").where("kept")
+    wanted = kept.select(F.col("text_sha256").alias("_sha"), F.col("doc_id").alias("_id")).distinct()
+    rows = docs.select(*COLUMNS, F.sha2(F.coalesce("text", F.lit("")), 256).alias("_digest"))
+    same = (F.col("_digest") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return rows.join(wanted, same, "left_semi").dropDuplicates(["_digest", "doc_id"]).select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of similar ones, the one with the smallest id (of several of these, the
     first row); a null id counts as larger than all others."""
-    rows = _numbered(docs)
-    found = similar_documents(rows.select(ROW, "text"), id_column=ROW).join(rows.select(ROW, "doc_id"), ROW)
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")
-    return _kept(rows, found.groupBy("component_id").agg(first).select(f"first.{ROW}"))
+    rows = _numbered(spark, docs)
+    path = work_path(spark, "first-rows")
+    with job_folder(spark):  # what the join wrote on its way goes with it
+        found = similar_documents(rows.select(ROW, "text"), id_column=ROW).join(rows.select(ROW, "doc_id"), ROW)
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")
+        found.groupBy("component_id").agg(first).select(f"first.{ROW}").write.parquet(path)
+    return rows.join(spark.read.parquet(path), ROW, "left_semi").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
