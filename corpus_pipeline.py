@@ -3,8 +3,10 @@
 ``STAGES`` lists ``(name, function)``; a function takes ``(spark, docs, sf_dir)`` and returns a
 DataFrame. All but the last return the columns of ``documents``. Every stage works on all rows
 its predecessor kept. The second and the third stage keep one row of each group, whatever its id:
-ids may be null, repeated, or have several texts. Null texts have no language and leave in the
-first stage.
+ids may be null, repeated, or have several texts. Null, empty and letterless texts have no
+language and leave in the first stage; a text of any length is processed whole. Ties: of equal ids with equal texts
+any one row stays, of equal smallest ids in a group of similar texts the first row. Columns beyond those of
+``documents`` are dropped, whatever their names. An empty table passes through all stages.
 """
 
 from __future__ import annotations
