@@ -1,37 +1,39 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
-A text is its lower-cased words, each with a blank behind it, and one end. Bytes are predicted
-bit by bit from contexts within the word: the last one, two, three and five bytes, and all bytes
-since the word began; three bytes and all bytes once more together with the document's kind.
-Each context is hashed to counts of zeros and ones in tables of fixed size. The predictions meet in the logistic domain with weights that are chosen by how much the
-longest contexts have seen (the gates) and learned online, in small steps along the stream of
-training words, where a word never counts for itself. Two rounds over all training words, each
-from the mean of what the tasks of the last one learned, refine them.
-
-A document's kind, one of eight, is told first and costs its own log probability: on which side
-of the mean its letter frequencies lie along the three main axes of all training documents
-(which part languages). What a word costs depends on the kind and the word alone, so pairs of
-both are counted over all training documents, scored once each, and added up for every document:
-
-0. One pass gathers the covariance of letter frequencies, another one counts kinds.
-1. Tasks count their words; the counts meet in one table of words.
-2. Tasks add up bit counts of their words (weighted by count); ``CONTEXTS`` tables of
-   2^``SLOT_BITS`` slots are collected and broadcast, which bounds them whatever the input.
-3. Every word is scored. Scores of at most ``FREQUENT`` words are sent to all tasks, which add
-   them up for each document; the other words of a document join their scores.
+A text is its lower-cased words and one end. Every word is told bit by bit, along its Huffman code
+over the frequent training words; all others are an escape in that code and then their bytes, eight
+bits each, with a blank behind. Predictors of a code's bit: the counts of the code's node, and
+hashed contexts of the node with the previous word, the two previous words, and the coarse
+classes of both. Predictors of a byte's bit: the node with the last one, two, three, four and six bytes
+of the word. Hashed contexts lead to counts of zeros and ones. Predictions meet in the logistic
+domain with weights chosen by how much two of the contexts have seen (the gates) and learned
+online, in small steps along the training texts, where a bit never counts for itself.
+
+1. Tasks count words; the counts meet in one table, as long as there are words.
+2. At most ``FREQUENT`` of the most frequent training words, each seen twice or more, get codes,
+   which are sent to all tasks; texts are written down as numbers of words, strangers apart.
+3. Tasks count bits by slot; blocks of slots are added up in the shuffle. A table has a slot for
+   each distinct training word, rounded up to a power of two, but 2^``SLOT_BITS`` at most, since
+   every task holds it (two bytes a slot). Spelling is counted once for each training word.
+4. Weights are learned from all training texts and words, and are the mean over tasks.
+5. Texts are scored; the spelling of escaped words, priced once for each word, is joined.
 
 Defined cases: a null text is empty and costs its end; without training documents all counts
-are 0 and the model is uniform over bits; null ids are trained on; other columns are ignored.
+are 0 and the model is uniform over bits; null ids are trained on; other columns are ignored;
+repeated rows count each time. ``bits_per_byte`` of an empty text is null.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,82 +41,33 @@ from pyspark.sql import functions as F
 from mailsieve.llm.common import slices, written
 from mailsieve.llm.words import mix
 
-ORDERS = (1, 2, 3, 5)
-CONTEXTS = len(ORDERS) + 3
-KINDS = 8
-SLOT_BITS = 20
+SLOT_BITS = 22
 FREQUENT = 1 << 19
-_DISTINCT = 1_500_000  # words counted together in a task
-BLANK, END = b" ", b"\n"
+WORD_CONTEXTS = 3
+ORDERS = (1, 2, 3, 4, 6)
+BLANK = b" "
 SMOOTHING = 0.1  # of the base score
+RATE = 0.1
 _GATES = 64
-_BYTES = 1 << 16  # bytes of words scored side by side
-_STEP = 512  # bytes per online step
-FIRST_RATE, SECOND_RATE = 0.1, 0.02
+_STEP = 4096  # bits per online step
+_RANGE = 8192  # tokens or bytes whose bits are laid out side by side
+_CLASSES = 8  # leading code bits that make a word's class
+_STRANGERS = 1 << 16  # escaped words as contexts, by checksum
+_DISTINCT = 1_500_000  # words counted together in a task
+_SLICE_BYTES = 1 << 18
+_TOKENS = 1 << 17  # of a slice of numbered texts
+_BLOCK_BITS = 14
+_FINE, _COARSE = 1024, 12  # steps of counts per power of two, between tasks and in the tables
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_SLICE_BYTES = 2 << 20
-
-
-# Symbols whose frequencies tell kinds apart: a-z, some for bytes beyond ASCII, and one for the rest.
-_SYMBOL = np.full(256, 42)
-_SYMBOL[65:91] = _SYMBOL[97:123] = np.arange(26)
-_SYMBOL[128:] = 26 + np.arange(128) % 16
-_SYMBOLS = 43
-
-
-def _frequencies(texts: list[bytes]) -> np.ndarray:
-    out = np.zeros((len(texts), _SYMBOLS))
-    for row, text in enumerate(texts):
-        found = np.bincount(_SYMBOL[np.frombuffer(text, np.uint8)], minlength=_SYMBOLS)
-        out[row] = found / max(found[:-1].sum(), 1)
-    out[:, -1] = 1  # a constant, so that the products below hold sums and counts too
-    return out
-
-
-@dataclass
-class Kinds:
-    """Mean and main axes of letter frequencies."""
-
-    mean: np.ndarray
-    axes: np.ndarray
-
-    def of(self, texts: list[bytes]) -> np.ndarray:
-        sides = (_frequencies(texts)[:, :-1] - self.mean) @ self.axes > 0
-        return sides @ (1 << np.arange(self.axes.shape[1]))
-
-
-def _kinds(docs: DataFrame) -> Kinds:
-    """Kinds from sums of products over all training documents; ``_SYMBOLS`` squared numbers are collected."""
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((_SYMBOLS, _SYMBOLS))
-        for part in slices(batches, "text", _SLICE_BYTES):
-            found = _frequencies([(t or "").encode() for t in part.column("text").to_pylist()])
-            total += found.T @ found
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(total.size)), pa.array(total.reshape(-1))], ["at", "total"]
-        )
+_A, _B = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
-    sums = docs.where("train").select("text").mapInArrow(add_up, "at bigint, total double")
-    found = sums.groupBy("at").agg(F.sum("total").alias("total")).collect()
-    products = np.zeros(_SYMBOLS * _SYMBOLS)
-    for row in found:
-        products[row["at"]] = row.total
-    products = products.reshape(_SYMBOLS, _SYMBOLS) / max(products[-1], 1)
-    mean = products[-1, :-1]
-    _, axes = np.linalg.eigh(products[:-1, :-1] - np.outer(mean, mean))
-    return Kinds(mean, axes[:, -int(np.log2(KINDS)) :])
 
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(_LOWER).split()
 
-def _tagged(text: bytes, kind: int) -> list[bytes]:
-    """The words of a text, each with the digit of the document's kind in front."""
-    tag = b"%d" % kind
-    return [tag + w for w in text.translate(_LOWER).split()]
 
-
-def _counted(docs: DataFrame, told: Kinds) -> DataFrame:
-    """``word, c, seen``: training count and count over all documents of each word of a kind. A kind
-    without a word is the end of its documents."""
+def _counted(docs: DataFrame) -> DataFrame:
+    """``word, n, seen``: count in training and in all documents; the empty word is the end."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train, rest = Counter(), Counter()
@@ -126,327 +79,432 @@ def _counted(docs: DataFrame, told: Kinds) -> DataFrame:
                     part = [w.decode() for w in words[at : at + 100_000]]
                     own = n[at : at + 100_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(part, pa.string()), pa.array(own * learned), pa.array(own)], ["word", "c", "seen"]
+                        [pa.array(part, pa.string()), pa.array(own * learned), pa.array(own)], ["word", "n", "seen"]
                     )
                 held.clear()
 
         for part in slices(batches, "text", _SLICE_BYTES):
-            texts = [(t or "").encode() for t in part.column("text").to_pylist()]
-            for text, kind, learned in zip(texts, told.of(texts).tolist(), part.column("train").to_pylist(), strict=True):
+            for text, learned in zip(part.column("text").to_pylist(), part.column("train").to_pylist(), strict=True):
                 held = train if learned else rest
-                held.update(_tagged(text, kind))
-                held[b"%d" % kind] += 1
+                held.update(_words(text))
+                held[b""] += 1
             if len(train) + len(rest) > _DISTINCT:
                 yield from rows()
         yield from rows()
 
-    counted = docs.select("text", "train").mapInArrow(count, "word string, c bigint, seen bigint")
-    return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
+    counted = docs.select("text", "train").mapInArrow(count, "word string, n bigint, seen bigint")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
 @dataclass
-class Words:
-    """Words laid end to end, with the hashes of the contexts of every byte."""
+class Code:
+    """Huffman codes of the end (0), the escape (1) and frequent words (2 and on), laid end to end."""
 
-    bytes_: np.ndarray
-    word: np.ndarray  # the word that each byte belongs to
-    contexts: list[np.ndarray]
+    start: np.ndarray
+    size: np.ndarray
+    node: np.ndarray
+    bit: np.ndarray
+    prior: np.ndarray  # by node: log odds of a one
+    kind: np.ndarray  # by word: its class, the first bits of its code
 
     @staticmethod
-    def of(words: list[bytes], kinds: np.ndarray) -> Words:
-        """``words`` with their blanks; the end is the word that consists of ``END``."""
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        word = np.repeat(np.arange(len(words)), sizes)
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        contexts = []
-        for kind, order in enumerate(ORDERS):
-            hashed = np.full(len(flat), kind + 1, np.uint64)
-            for back in range(1, order + 1):
-                before = np.full(len(flat), 256, np.uint64)
-                before[back:] = np.where(place[back:] >= back, flat[:-back].astype(np.uint64), np.uint64(256))
-                hashed = hashed * np.uint64(0x100000001B3) + before
-            contexts.append(mix(hashed))
-        # All bytes since the word began: sums of hashes of (byte, place), cut at the word's start.
-        parts = mix(flat.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(1 << 60))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(parts)])
-        begun = mix(sums[:-1] - sums[np.arange(len(flat)) - place] + np.uint64(99))
-        tag = mix(kinds.astype(np.uint64) + np.uint64(1))[word]
-        contexts += [mix(contexts[2] + tag), begun, mix(begun + tag)]
-        return Words(flat, word, contexts)
-
-    def slots(self, kind: int, node: np.ndarray) -> np.ndarray:
-        hashed = self.contexts[kind] + node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (mix(hashed) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
-def _batches(words: list[bytes]) -> Iterator[slice]:
-    first, held = 0, 0
-    for at, word in enumerate(words):
-        if at > first and held + len(word) > _BYTES:
-            yield slice(first, at)
-            first, held = at, 0
-        held += len(word)
-    if words:
-        yield slice(first, len(words))
-
-
-def _spelled(words: list[str]) -> tuple[list[bytes], np.ndarray]:
-    """Spelled words and their kinds; a kind without a word is the end."""
-    kinds = np.fromiter((ord(w[0]) - 48 for w in words), np.int64, len(words))
-    return [w[1:].encode() + BLANK if len(w) > 1 else END for w in words], kinds
-
-
-def _bit_counts(words: DataFrame) -> DataFrame:
-    """``slot, zeros, ones`` over all training words; a slot's context is in its high bits."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((CONTEXTS, 2, 1 << SLOT_BITS))
-        pending: list[list[np.ndarray]] = [[] for _ in range(CONTEXTS)]
-        weights: list[np.ndarray] = []
-
-        def add() -> None:
-            weight = np.concatenate(weights)
-            for kind in range(CONTEXTS):
-                total[kind] += np.bincount(np.concatenate(pending[kind]), weight, 2 << SLOT_BITS).reshape(2, -1)
-                pending[kind].clear()
-            weights.clear()
+    def of(counts: np.ndarray) -> Code:
+        n = len(counts)
+        order = np.argsort(counts, kind="stable")
+        weight, parent, side = np.empty(2 * n - 1), np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.uint8)
+        weight[:n] = counts[order]
+        leaf, inner = 0, n
+        for made in range(n, 2 * n - 1):
+            total = 0.0
+            for bit in (0, 1):
+                if inner >= made or (leaf < n and weight[leaf] <= weight[inner]):
+                    at, leaf = leaf, leaf + 1
+                else:
+                    at, inner = inner, inner + 1
+                parent[at], side[at] = made, bit
+                total += weight[at]
+            weight[made] = total
+        ones = np.zeros(2 * n - 1)
+        ones[parent[:-1][side[:-1] == 1]] = weight[:-1][side[:-1] == 1]
+        prior = np.log((ones + 0.5) / (weight - ones + 0.5)).astype(np.float32)
+        at, rounds = np.arange(n), []
+        size = np.zeros(n, np.int64)
+        while (open_ := at != 2 * n - 2).any():
+            size += open_
+            rounds.append((at, open_))
+            at = np.where(open_, parent[at], at)
+        start = np.cumsum(size) - size
+        node, bits = np.zeros(size.sum(), np.uint32), np.zeros(size.sum(), np.uint8)
+        for back, (at, open_) in enumerate(rounds):
+            place = (start + size - 1 - back)[open_]
+            node[place], bits[place] = parent[at[open_]] - n, side[at[open_]]
+        kind = np.ones(n, np.int64)
+        for depth in range(_CLASSES):
+            has = size > depth
+            kind = np.where(has, kind * 2 + bits[np.where(has, start + depth, 0)], kind)
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)  # the leaf of every word
+        return Code(start[back], size[back], node, bits, prior[n:], kind[back])
 
-        for batch in batches:
-            spelled, kinds = _spelled(batch.column("word").to_pylist())
-            seen = np.array(batch.column("c").to_pylist(), float)
-            for here in _batches(spelled):
-                own = Words.of(spelled[here], kinds[here])
-                node = np.ones(len(own.bytes_), np.int64)
-                weight = seen[here][own.word]
-                for bit in range(7, -1, -1):
-                    value = (own.bytes_ >> bit & 1).astype(np.int64)
-                    for kind in range(CONTEXTS):
-                        pending[kind].append((value << SLOT_BITS) + own.slots(kind, node))
-                    weights.append(weight)
-                    node = node * 2 + value
-                if len(weights) >= 64:
-                    add()
-        if weights:
-            add()
-        for kind in range(CONTEXTS):
-            used = np.flatnonzero(total[kind].sum(axis=0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((kind << SLOT_BITS) + used), *(pa.array(total[kind][i][used]) for i in (0, 1))],
-                ["slot", "zeros", "ones"],
-            )
 
-    counted = words.where("c > 0").mapInArrow(count, "slot bigint, zeros double, ones double")
-    return counted.groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+@dataclass
+class Bits:
+    """Bits to tell: what each belongs to, its value, its slots by context, and a prediction that needs no slot."""
+
+    owner: np.ndarray
+    value: np.ndarray
+    slots: list[np.ndarray]
+    prior: np.ndarray | None
+
+
+def _short(hashed: np.ndarray) -> np.ndarray:
+    return (hashed >> np.uint64(32)).astype(np.uint32)
+
+
+def _slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    hashed = context ^ (node * _A)
+    hashed *= _B
+    hashed ^= hashed >> np.uint32(15)
+    hashed *= _A
+    return (hashed >> np.uint32(32 - bits)).astype(np.intp)
+
+
+def code_bits(code: Code, ids: np.ndarray, first: np.ndarray, bits: int) -> Iterator[Bits]:
+    """Bits of tokens, by ranges. ``ids``: words by code, strangers beyond them; ``first``: begins a text."""
+    known = len(code.size)
+    told = np.where(ids < known, ids, 1)
+    kind = np.where(ids < known, code.kind[told], 0)
+
+    def before(x: np.ndarray) -> np.ndarray:
+        return np.where(first, 0, np.concatenate([x[:1] * 0, x[:-1]]))
+
+    last, last_kind = before(ids), before(kind)
+    second, second_kind = before(last), before(last_kind)
+    hashes = [
+        _short(mix((last.astype(np.uint64) << np.uint64(2)) + np.uint64(1))),
+        _short(mix(((last << 26) + second).astype(np.uint64) * np.uint64(4) + np.uint64(2))),
+        _short(mix(((last_kind << 26) + second_kind).astype(np.uint64) * np.uint64(4) + np.uint64(3))),
+    ]
+    for begin in range(0, len(ids), _RANGE):
+        here = slice(begin, begin + _RANGE)
+        size = code.size[told[here]]
+        owner = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(owner)) + (code.start[told[here]] - (np.cumsum(size) - size)).take(owner)
+        node = code.node.take(at)
+        slots = [_slots(h[here].take(owner), node, bits) for h in hashes]
+        yield Bits(owner + begin, code.bit.take(at), slots, code.prior.take(node))
+
+
+def spelled_bits(words: list[bytes], bits: int) -> Iterator[Bits]:
+    """Bits of the bytes of words, each with its blank, by ranges."""
+    flat = np.frombuffer(b"".join(w + BLANK for w in words), np.uint8)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    wide = flat.astype(np.int64)
+    word = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    hashes = []
+    for kind, order in enumerate(ORDERS):
+        hashed = np.full(len(flat), kind + 1, np.uint64)
+        for back in range(1, order + 1):
+            far = np.full(len(flat), 256, np.uint64)
+            far[back:] = np.where(place[back:] >= back, wide[:-back], 256)
+            hashed = hashed * np.uint64(0x100000001B3) + far
+        hashes.append(_short(mix(hashed)))
+    depth = np.arange(8)
+    for begin in range(0, len(flat), _RANGE):
+        here = slice(begin, begin + _RANGE)
+        own = flat[here][:, None]
+        node = ((1 << depth) | (own.astype(np.int64) >> (8 - depth))).reshape(-1).astype(np.uint32)
+        value = (own >> (7 - depth).astype(np.uint8) & 1).reshape(-1)
+        yield Bits(np.repeat(word[here], 8), value, [_slots(np.repeat(h[here], 8), node, bits) for h in hashes], None)
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """By whether a bit is its own witness (0: no, 1: it was a zero, 2: a one) and by stored counts:
+    predictions in the logistic domain, and grades of how much was seen."""
+    seen = np.exp2(np.arange(256) / _COARSE) - 1
+    seen = np.where(seen < 16, np.rint(seen), seen)
+    odds, grade = np.zeros((3, 256, 256), np.float32), np.zeros((3, 256, 256), np.intp)
+    for own in range(3):
+        zeros = np.maximum(seen - (own == 1), 0)[:, None]
+        ones = np.maximum(seen - (own == 2), 0)[None, :]
+        # A context that has seen much in one direction is trusted the more, the more it has seen.
+        smooth = 0.4 / (1 + np.sqrt(zeros + ones) / 4)
+        odds[own] = np.clip(np.log((ones + smooth) / (zeros + smooth)), -12, 12)
+        grade[own] = np.minimum(np.log2(zeros + ones + 1) * 0.75, 7)
+    return odds.reshape(3, -1), grade.reshape(3, -1)
 
 
 class Model:
-    """Bit counts ``[context, bit, slot]`` and mixing weights ``[gate, context]``."""
+    """Stored counts ``[context, slot]`` (zeros in the high byte, ones in the low), and weights ``[gate, input]``."""
 
-    def __init__(self, counts: np.ndarray, weights: np.ndarray | None = None):
+    def __init__(self, counts: np.ndarray, inputs: int, weights: np.ndarray | None = None):
         self.counts = counts
-        self.weights = np.full((_GATES, CONTEXTS), 0.35) if weights is None else weights
-
-    def _inputs(self, words: Words, node: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Predictions in the logistic domain ``[byte, context]``, and gates. ``own``: the bit at
-        hand, of which one occurrence is taken out of the counts."""
-        stretched = np.empty((len(node), CONTEXTS))
-        gate = np.zeros(len(node), np.int64)
-        for kind in range(CONTEXTS):
-            at = words.slots(kind, node)
-            zeros, ones = self.counts[kind, 0][at].astype(float), self.counts[kind, 1][at].astype(float)
-            if own is not None:
-                ones = np.maximum(ones - own, 0)
-                zeros = np.maximum(zeros - (1 - own), 0)
-            total = zeros + ones
-            # A context that has seen much in one direction is trusted the more, the more it has seen.
-            smooth = 0.4 / (1 + np.sqrt(total) / 4)
-            stretched[:, kind] = np.log((ones + smooth) / (zeros + smooth))
-            if kind >= CONTEXTS - 2:
-                gate = gate * 8 + np.minimum(np.log2(total + 1) * 0.75, 7).astype(np.int64)
-        return np.clip(stretched, -12, 12), gate
-
-    def _predict(self, stretched: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        mixed = (stretched * self.weights[gate]).sum(axis=1)
-        return 1 / (1 + np.exp(-np.clip(mixed, -16, 16)))
-
-    def learn(self, words: list[bytes], kinds: np.ndarray, seen: np.ndarray, rate: float) -> float:
-        """Online steps along the words; returns the sum of weights of what was learned from."""
-        for here in _batches(words):
-            own = Words.of(words[here], kinds[here])
-            weight = seen[here][own.word]
-            node = np.ones(len(own.bytes_), np.int64)
-            for bit in range(7, -1, -1):
-                value = (own.bytes_ >> bit & 1).astype(np.int64)
-                stretched, gate = self._inputs(own, node, value)
-                for at in range(0, len(node), _STEP):
-                    part = slice(at, at + _STEP)
-                    x, g, w = stretched[part], gate[part], np.sqrt(weight[part])
-                    error = (value[part] - self._predict(x, g)) * w
-                    mass = np.bincount(g, w, _GATES)
-                    for kind in range(CONTEXTS):
-                        step = np.bincount(g, error * x[:, kind], _GATES)
-                        self.weights[:, kind] += rate * step / np.maximum(mass, 1)
-                node = node * 2 + value
-        return float(seen.sum())
-
-    def log10(self, words: list[bytes], kinds: np.ndarray) -> np.ndarray:
-        """Log10 probabilities of spelled words."""
-        out = np.zeros(len(words))
-        for here in _batches(words):
-            own = Words.of(words[here], kinds[here])
-            node = np.ones(len(own.bytes_), np.int64)
-            cost = np.zeros(len(own.bytes_))
-            for bit in range(7, -1, -1):
-                value = (own.bytes_ >> bit & 1).astype(np.int64)
-                p = self._predict(*self._inputs(own, node, None))
-                cost += np.log10(np.where(value == 1, p, 1 - p))
-                node = node * 2 + value
-            out[here] = np.bincount(own.word, cost, len(words[here]))
-        return out
-
-
-def _mean_weights(words: DataFrame, shared, weights: np.ndarray | None, rate: float) -> np.ndarray | None:
-    """One round: every task learns from its words, starting from ``weights``; the weighted mean."""
+        self.inputs = inputs
+        self.weights = (np.full((_GATES, inputs), 0.35) if weights is None else weights).astype(np.float32)
+        self.odds, self.grades = _tables()
+        self.mass = 0
+
+    def _inputs(self, told: Bits, own: bool) -> tuple[list[np.ndarray], np.ndarray]:
+        shift = (told.value.astype(np.intp) + 1) << 16 if own else 0
+        odds, grades = self.odds.reshape(-1), self.grades.reshape(-1)
+        seen = [self.counts[kind].take(slots).astype(np.intp) + shift for kind, slots in enumerate(told.slots)]
+        x = [odds.take(at) for at in seen]
+        if told.prior is None:
+            gate = grades.take(seen[-2]) * 8 + grades.take(seen[-1])
+        else:
+            x.append(told.prior)
+            gate = grades.take(seen[0]) * 8 + grades.take(seen[1])
+        return x, gate
+
+    def _mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        out = x[0] * self.weights[:, 0].take(gate)
+        for kind in range(1, self.inputs):
+            out += x[kind] * self.weights[:, kind].take(gate)
+        return np.clip(out, -14, 14, out=out)
+
+    def learn(self, told: Bits) -> None:
+        x, gate = self._inputs(told, True)
+        for at in range(0, len(gate), _STEP):
+            here = slice(at, at + _STEP)
+            part, g = [own[here] for own in x], gate[here]
+            error = told.value[here] - 1 / (1 + np.exp(-self._mixed(part, g)))
+            mass = np.maximum(np.bincount(g, minlength=_GATES), 32)
+            for kind in range(self.inputs):
+                self.weights[:, kind] += RATE * np.bincount(g, error * part[kind], _GATES) / mass
+        self.mass += len(gate)
+
+    def log10(self, told: Bits, owners: int) -> np.ndarray:
+        """Log10 probabilities by owner."""
+        mixed = self._mixed(*self._inputs(told, False))
+        mixed *= 1 - 2 * told.value.astype(np.float32)
+        return np.bincount(told.owner, np.log(1 + np.exp(mixed, dtype=np.float64)), owners) / -np.log(10)
+
+
+Told = Callable[[Iterator[pa.RecordBatch]], Iterator[Bits]]
+
+
+def _bit_counts(rows: DataFrame, told: Told, contexts: int, bits: int) -> np.ndarray:
+    """Counts by slot over all ``rows``, as ``Model`` stores them."""
+    block = min(bits, _BLOCK_BITS)
+    schema = "block int, counts binary"
+
+    def packed(block_at: int, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block_at], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["block", "counts"]
+        )
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value, None if weights is None else weights.copy())
-        mass = 0.0
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(contexts << (bits + 1), np.int32)
+        for part in told(batches):
+            for kind, slots in enumerate(part.slots):
+                np.add.at(total, (((kind << bits) + slots) << 1) + part.value, np.int32(1))
+        for at, own in enumerate(total.reshape(-1, 2 << block)):
+            if own.any():
+                yield packed(at, np.rint(np.log2(1 + own.astype(float)) * _FINE).astype(np.uint16))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            seen = np.array(batch.column("c").to_pylist(), float)
-            mass += model.learn(*_spelled(batch.column("word").to_pylist()), seen, rate)
-        if mass:
-            n = _GATES * CONTEXTS
+            for at, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                own = np.rint(np.exp2(np.frombuffer(counts, np.uint16) / _FINE) - 1)
+                total[at] = total[at] + own if at in total else own
+        for at, own in total.items():
+            own = own.reshape(-1, 2)
+            own = own / np.maximum(own.sum(axis=1, keepdims=True) / (1 << 20), 1)
+            stored = np.rint(np.log2(1 + own) * _COARSE).astype(np.uint16)
+            yield packed(at, (stored[:, 0] << 8) | stored[:, 1])
+
+    out = np.zeros((contexts << bits >> block, 1 << block), np.uint16)
+    added = rows.mapInArrow(count, schema).repartition("block").mapInArrow(add_up, schema)
+    for row in added.collect():  # contexts * 2^bits numbers of two bytes
+        out[row.block] = np.frombuffer(row.counts, np.uint16)
+    return out.reshape(contexts, -1)
+
+
+def _mean_weights(rows: DataFrame, told: Told, shared, inputs: int) -> np.ndarray | None:
+    """Every task learns from its rows; the mean, weighted by bits."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(shared.value, inputs)
+        for part in told(batches):
+            model.learn(part)
+        if model.mass:
+            n = model.weights.size
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(n)), pa.array(model.weights.reshape(-1) * mass), pa.array(np.full(n, mass))],
+                [pa.array(np.arange(n)), pa.array(model.weights.reshape(-1).astype(float) * model.mass), pa.array([float(model.mass)] * n)],
                 ["at", "total", "mass"],
             )
 
-    learned = words.where("c > 0").mapInArrow(learn, "at bigint, total double, mass double")
+    learned = rows.mapInArrow(learn, "at bigint, total double, mass double")
     means = learned.groupBy("at").agg((F.sum("total") / F.sum("mass")).alias("weight")).collect()
     if not means:
-        return weights
-    return np.array([r.weight for r in sorted(means, key=lambda r: r["at"])]).reshape(_GATES, CONTEXTS)
+        return None
+    return np.array([r.weight for r in sorted(means, key=lambda r: r["at"])]).reshape(_GATES, inputs)
+
+
+def _frequent(words: DataFrame) -> Column:
+    """Which words get codes: as many of the most frequent ones seen twice or more as fit, by powers of two of their count."""
+    level = F.floor(F.log2("n")).cast("int")
+    least, held = 62, 0
+    levels = words.where("n > 0").groupBy(level.alias("level")).count().collect()  # at most 63 rows
+    for found, n in sorted(levels, reverse=True):
+        held += n
+        if held > FREQUENT or not found:  # words seen once are spelled, as new words will be
+            break
+        least = found
+    return (F.col("n") >= (1 << least)) | (F.col("word") == "")
+
+
+def numbered(places: dict[bytes, int], words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """Numbers of words in the code and of strangers beyond it, with the end; and the strangers."""
+    ids = np.fromiter(map(places.get, words, repeat(-1)), np.int32, len(words))
+    strange = np.flatnonzero(ids < 0).tolist()
+    found = [words[i] for i in strange]
+    ids[strange] = [len(places) + 2 + zlib.crc32(w) % _STRANGERS for w in found]
+    return np.append(ids, np.int32(0)), found
+
+
+def _told_texts(batches: Iterator[pa.RecordBatch], code: Code, bits: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, Iterator[Bits]]]:
+    """Slices of numbered texts, with the numbers of their words and the bits of these."""
+    for batch in batches:
+        sizes = pa.compute.list_value_length(batch.column("ids")).to_numpy()
+        slice_of = (np.cumsum(sizes) - sizes) // _TOKENS
+        edges = [0, *(np.flatnonzero(np.diff(slice_of)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+        for begin, end in pairwise(edges):
+            part = batch.slice(begin, end - begin)
+            ids = part.column("ids").flatten().to_numpy().astype(np.int64)
+            first = np.zeros(len(ids), bool)
+            first[(np.cumsum(sizes[begin:end]) - sizes[begin:end])] = True
+            yield part, ids, code_bits(code, ids, first, bits)
 
 
 def score_documents(
     docs: DataFrame, train: Column, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """One row per document: ``doc_id, train, n_tokens, n_known, train_tokens, base_score, score``.
+    """One row per document: ``doc_id, train, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``.
 
     ``train`` says which documents are learned from. ``base_score`` is the smoothed unigram log10
-    probability of the tokens, ``score`` the model's."""
+    probability of the tokens, ``score`` the model's, and ``bits_per_byte`` its total bits over the text's bytes."""
     spark = docs.sparkSession
     rows = docs.select(
         F.col(f"`{id_column}`").cast("bigint").alias("doc_id"),
         F.col(f"`{text_column}`").alias("text"),
         F.coalesce(train, F.lit(True)).alias("train"),
     )
-    told = _kinds(rows)
-    words = written(_counted(rows, told), "words")
-    bare = F.expr("substr(word, 2)").alias("bare")
-    plain = written(words.groupBy(bare).agg(F.sum("c").alias("n")), "plain-words")
-    tokens, distinct = plain.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    by_kind = {int(r.word): r.c for r in words.where("length(word) = 1").collect()}  # one row per kind
-    ends = sum(by_kind.values())
-
-    # Words in order meet their prefixes in one task, so that tasks have few slots in common.
-    found = _bit_counts(words.repartitionByRange(F.expr("substr(word, 2)"))).toArrow()  # at most CONTEXTS * 2^SLOT_BITS rows
-    counts = np.zeros((CONTEXTS, 2, 1 << SLOT_BITS), np.float32)
-    slot = found["slot"].to_numpy()
-    for bit, name in enumerate(("zeros", "ones")):
-        counts[slot >> SLOT_BITS, bit, slot & ((1 << SLOT_BITS) - 1)] = found[name].to_numpy()
-    shared = spark.sparkContext.broadcast(counts)
-    weights = _mean_weights(words, shared, None, FIRST_RATE)
-    weights = _mean_weights(words, shared, weights, SECOND_RATE)
-
-    def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value, weights)
-        for batch in batches:
-            costs = model.log10(*_spelled(batch.column("word").to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(costs)], [*batch.schema.names, "cost"])
-
-    costs = words.mapInArrow(cost, "word string, c bigint, seen bigint, cost double")
+    words = written(_counted(rows), "words")
+    tokens, distinct = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    bits = min(max(int(distinct).bit_length(), 12), SLOT_BITS)
+    often = _frequent(words)
+    listed = words.where(often & (F.col("word") != "")).select("word", "n").toArrow()  # at most FREQUENT rows
+    listed = listed.sort_by([("n", "descending"), ("word", "ascending")])
+    counts = listed["n"].to_numpy()
+    ends = words.where("word = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    code = Code.of(np.concatenate([[ends + 0.5, tokens - ends - counts.sum() + 0.5], counts]))
     whole = np.log10(tokens + SMOOTHING * (distinct + 1))
-    kind_cost = F.lit(0.0)
-    for kind in range(KINDS):  # told once for each document, along with its end
-        share = (by_kind.get(kind, 0) + SMOOTHING) / (ends + SMOOTHING * KINDS)
-        kind_cost = F.when(F.col("word") == str(kind), float(np.log10(share))).otherwise(kind_cost)
-    scored = written(
-        costs.withColumn("bare", bare)
-        .join(plain, "bare")
-        .select(
-            "word", "seen", (F.col("n") > 0).alias("known"), (F.log10(F.col("n") + SMOOTHING) - float(whole)).alias("base"),
-            (F.col("cost") + kind_cost).alias("cost"),
-        ),
-        "scored",
-    )
-    # As many of the most frequent words as fit, by powers of two of their count.
-    level = F.floor(F.log2("seen")).cast("int")
-    least, held = 63, 0
-    for found, n in sorted(scored.groupBy(level.alias("level")).count().collect(), reverse=True):
-        held += n
-        if held > FREQUENT:
-            break
-        least = found
-    frequent = scored.where(level >= least).drop("seen").toArrow()  # at most FREQUENT rows
-    sent = spark.sparkContext.broadcast(
-        (frequent["word"].to_pylist(), *(frequent[c].to_numpy() for c in ("known", "base", "cost")))
-    )
+    base = np.log10(np.concatenate([[ends, 0], counts]) + SMOOTHING) - whole
+    sent = spark.sparkContext.broadcast((listed["word"].to_pylist(), code, base))
 
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, known, base, price = sent.value
-        at = {w.encode(): i for i, w in enumerate(listed)}
-        known, base, price = (np.append(x, 0) for x in (known.astype(np.int64), base, price))
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = {w.encode(): i for i, w in enumerate(sent.value[0], 2)}
         row = TaskContext.get().partitionId() << 40
         for part in slices(batches, "text", _SLICE_BYTES):
-            texts = [(t or "").encode() for t in part.column("text").to_pylist()]
-            columns, rare = [], ([], [], [])
-            for text, kind in zip(texts, told.of(texts).tolist(), strict=True):
-                own = [*_tagged(text, kind), b"%d" % kind]
-                places = np.fromiter((at.get(w, -1) for w in own), np.int64, len(own))
-                columns.append((row, len(own), int(known[places].sum()), base[places].sum(), price[places].sum()))
-                for word, times in Counter(own[i] for i in np.flatnonzero(places < 0).tolist()).items():
-                    for cells, value in zip(rare, (row, word.decode(), times), strict=True):
-                        cells.append(value)
-                row += 1
-            ids, n, sure, plain_sum, score = zip(*columns, strict=True)
-            none = [None] * len(rare[0])
+            texts = part.column("text").to_pylist()
+            ids, strange = zip(*(numbered(places, _words(t)) for t in texts), strict=True)
+            n = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([*ids, *rare[0]], pa.int64()),
-                    pa.array([*part.column("doc_id").to_pylist(), *none], pa.int64()),
-                    pa.array([*part.column("train").to_pylist(), *none], pa.bool_()),
-                    pa.array([*n, *none], pa.int64()), pa.array([*sure, *none], pa.int64()),
-                    pa.array([*plain_sum, *none], pa.float64()), pa.array([*score, *none], pa.float64()),
-                    pa.array([*([None] * len(ids)), *rare[1]], pa.string()),
-                    pa.array([*([None] * len(ids)), *rare[2]], pa.int64()),
+                    pa.array(range(row, row + len(ids)), pa.int64()), part.column("doc_id"), part.column("train"),
+                    pa.array([len((t or "").encode()) for t in texts], pa.int64()),
+                    pa.ListArray.from_arrays(n, np.concatenate(ids)),
+                    pa.array([[w.decode() for w in found] for found in strange], pa.list_(pa.string())),
                 ],
-                names,
+                ["row", "doc_id", "train", "n_bytes", "ids", "strange"],
             )
+            row += len(ids)
+
+    texts = written(
+        rows.mapInArrow(
+            number, "row bigint, doc_id bigint, train boolean, n_bytes bigint, ids array<int>, strange array<string>"
+        ),
+        "numbered",
+    )
 
-    names = ["row", "doc_id", "train", "n_tokens", "n_known", "base_score", "score", "word", "times"]
-    kinds = ["bigint", "bigint", "boolean", "bigint", "bigint", "double", "double", "string", "bigint"]
-    parts = written(rows.mapInArrow(add_up, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))), "parts")
-    rest = (
-        parts.where("word IS NOT NULL")
-        .select("row", "word", "times")
-        .join(scored, "word")
+    def texts_told(batches: Iterator[pa.RecordBatch]) -> Iterator[Bits]:
+        for _, _, told in _told_texts(batches, sent.value[1], bits):
+            yield from told
+
+    def words_told(batches: Iterator[pa.RecordBatch]) -> Iterator[Bits]:
+        for part in slices(batches, "word", _SLICE_BYTES):
+            yield from spelled_bits([w.encode() for w in part.column("word").to_pylist()], bits)
+
+    learned = texts.where("train").select("ids")
+    rest = words.where(~often)
+    types = words.where("n > 0 AND word != ''").select("word")
+    text_counts = spark.sparkContext.broadcast(_bit_counts(learned, texts_told, WORD_CONTEXTS, bits))
+    word_counts = spark.sparkContext.broadcast(_bit_counts(types, words_told, len(ORDERS), bits))
+    text_weights = _mean_weights(learned, texts_told, text_counts, WORD_CONTEXTS + 1)
+    word_weights = _mean_weights(types, words_told, word_counts, len(ORDERS))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(word_counts.value, len(ORDERS), word_weights)
+        for part in slices(batches, "word", _SLICE_BYTES):
+            costs = np.zeros(part.num_rows)
+            for told in spelled_bits([w.encode() for w in part.column("word").to_pylist()], bits):
+                costs += model.log10(told, part.num_rows)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(costs)], [*part.schema.names, "cost"])
+
+    priced = written(
+        rest.select("word", "n").mapInArrow(spell, "word string, n bigint, cost double").select(
+            "word", (F.col("n") > 0).alias("known"), (F.log10(F.col("n") + SMOOTHING) - float(whole)).alias("base"), "cost"
+        ),
+        "priced",
+    )
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, own, plain = sent.value
+        known = len(own.size)
+        model = Model(text_counts.value, WORD_CONTEXTS + 1, text_weights)
+        for part, ids, told in _told_texts(batches, own, bits):
+            doc = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(part.column("ids")).to_numpy())
+            cost = np.zeros(part.num_rows)
+            for some in told:
+                some.owner = doc[some.owner]
+                cost += model.log10(some, part.num_rows)
+            inside = ids < known
+            base = np.bincount(doc, np.where(inside, plain[np.where(inside, ids, 0)], 0), part.num_rows)
+            sure = np.bincount(doc, inside & ((ids > 0) | (ends > 0)), part.num_rows).astype(np.int64)
+            numbers = np.bincount(doc, minlength=part.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c) for c in kept), *map(pa.array, (numbers, sure, base, cost))],
+                [*kept, "n_tokens", "n_known", "base_score", "score"],
+            )
+
+    kept = ["row", "doc_id", "train", "n_bytes"]
+    parts = texts.select(*kept, "ids").mapInArrow(
+        add_up,
+        "row bigint, doc_id bigint, train boolean, n_bytes bigint, n_tokens bigint, n_known bigint, "
+        "base_score double, score double",
+    )
+    more = (
+        texts.select("row", F.explode("strange").alias("word"))
+        .join(priced, "word")
         .groupBy("row")
         .agg(
-            F.sum(F.when(F.col("known"), F.col("times")).otherwise(0)).alias("more_known"),
-            F.sum(F.col("base") * F.col("times")).alias("more_base"),
-            F.sum(F.col("cost") * F.col("times")).alias("more_score"),
+            F.sum(F.col("known").cast("bigint")).alias("more_known"),
+            F.sum("base").alias("more_base"),
+            F.sum("cost").alias("more_score"),
         )
     )
+    score = F.col("score") + F.coalesce("more_score", F.lit(0.0))
     return (
-        parts.where("word IS NULL")
-        .join(rest, "row", "left")
+        parts.join(more, "row", "left")
         .select(
             "doc_id", "train", "n_tokens",
             (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
             F.lit(tokens).cast("bigint").alias("train_tokens"),
             (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-            (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
+            score.alias("score"),
+            F.when(F.col("n_bytes") > 0, score * float(-np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
         )
     )

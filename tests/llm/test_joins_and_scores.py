@@ -213,12 +213,69 @@ def test_scores(spark, sf, odd_documents, no_documents):
 
 
 def test_a_model_is_a_distribution():
-    from mailsieve.llm.context_mixing import CONTEXTS, SLOT_BITS, Model
+    from mailsieve.llm.context_mixing import ORDERS, WORD_CONTEXTS, Code, Model, code_bits, spelled_bits
 
     rng = np.random.default_rng(0)
-    model = Model(rng.integers(0, 3, (CONTEXTS, 2, 1 << SLOT_BITS)).astype(np.float32))
-    one_byte = [bytes([b]) for b in range(256)]
-    assert np.isclose((10 ** model.log10(one_byte, np.zeros(256, int))).sum(), 1)
+    counts = rng.integers(0, 1 << 16, (len(ORDERS), 1 << 12)).astype(np.uint16)
+    model = Model(counts, len(ORDERS))
+    one_byte = [bytes([b]) for b in range(256)]  # each followed by the same blank
+    (told,) = spelled_bits(one_byte, 12)
+    told.owner[np.arange(len(told.owner)) % 16 >= 8] = 256
+    assert np.isclose((10 ** model.log10(told, 257)[:256]).sum(), 1, rtol=1e-5)
+
+    code = Code.of(np.array([3, 0.5, 9, 4, 2, 2, 2, 0.5]))
+    words = Model(counts[:WORD_CONTEXTS], WORD_CONTEXTS + 1)
+    before = np.array([5, 3])  # the next word, after the same two
+    total = 0
+    for word in range(len(code.size)):
+        ids = np.append(before, word)
+        (told,) = code_bits(code, ids, np.arange(3) == 0, 12)
+        total += 10 ** words.log10(told, 3)[2]
+    assert np.isclose(total, 1, rtol=1e-5)
+
+
+def test_a_code_is_the_shortest():
+    from mailsieve.llm.context_mixing import Code
+
+    code = Code.of(np.array([8, 1, 1, 2, 4, 16], float))
+    assert code.size.tolist() == [2, 5, 5, 4, 3, 1]
+    paths = {tuple(code.bit[a : a + n]) for a, n in zip(code.start, code.size, strict=True)}
+    assert len(paths) == 6 and not any(p != q and q[: len(p)] == p for p in paths for q in paths)
+
+
+def test_slots_count_every_bit_once(spark):
+    """Rare words train the spelling as often as their bits, in any number of tasks."""
+    from mailsieve.llm.context_mixing import _COARSE, ORDERS, _bit_counts, spelled_bits
+
+    words = ["once", "other", "x"]
+
+    def told(batches):
+        for batch in batches:
+            yield from spelled_bits([w.encode() for w in batch.column("word").to_pylist()], 12)
+
+    rows = spark.createDataFrame([(w,) for w in words], "word string").repartition(3)
+    found = _bit_counts(rows, told, len(ORDERS), 12)
+    want = np.zeros((len(ORDERS), 1 << 12, 2))
+    for word in words:
+        for part in spelled_bits([word.encode()], 12):
+            for kind, slots in enumerate(part.slots):
+                np.add.at(want[kind], (slots, part.value), 1)
+    assert want.sum() == len(ORDERS) * 8 * (sum(map(len, words)) + len(words))
+    stored = np.rint(np.log2(1 + want) * _COARSE).astype(np.int64)
+    assert (found == (stored[..., 0] << 8) + stored[..., 1]).all()
+
+
+def test_scores_know_the_order_of_words(spark):
+    """Words in a known order score higher than the same words in another; bits per byte follow the score."""
+    from mailsieve.llm import context_mixing as m
+
+    text = "the cat sat on the mat and the dog sat on the log"
+    docs = [(i, text) for i in range(30)] + [(100, "the dog sat on the cat"), (101, "cat the on sat dog the"), (102, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r.doc_id: r for r in m.score_documents(frame, F.col("doc_id") < 100).collect()}
+    assert rows[100].score > rows[101].score + 1 and math.isclose(rows[100].base_score, rows[101].base_score)
+    assert rows[102].bits_per_byte is None and rows[102].n_tokens == 1
+    assert math.isclose(rows[100].bits_per_byte, -rows[100].score * math.log2(10) / len(docs[30][1]))
 
 
 def test_pipeline(spark, sf):
@@ -250,17 +307,6 @@ def test_stages_on_odd_documents(spark, odd_documents, no_documents):
         corpus_pipeline.STAGES[-1][1](spark, rows, "").collect()
 
 
-def test_rare_words_train_the_whole_word_contexts(spark):
-    """A word that a kind holds once counts in every context, as often as its bits."""
-    from mailsieve.llm.context_mixing import CONTEXTS, ORDERS, SLOT_BITS, _bit_counts
-
-    assert max(ORDERS) == 5
-    words = spark.createDataFrame([("0once", 1), ("1once", 1), ("0often", 3)], "word string, c bigint")
-    rows = _bit_counts(words).withColumn("context", F.col("slot").bitwiseAND(F.lit(-(1 << SLOT_BITS))) / (1 << SLOT_BITS))
-    seen = {r.context: r.seen for r in rows.groupBy("context").agg(F.sum(F.col("zeros") + F.col("ones")).alias("seen")).collect()}
-    assert seen == {kind: 8 * (5 + 5 + 3 * 6) for kind in range(CONTEXTS)}
-
-
 def test_dedup_stages_keep_one_row_of_each_group(spark, odd_documents):
     docs = odd_documents.where("text IS NOT NULL")
     once = corpus_pipeline.exact(spark, docs, "")
