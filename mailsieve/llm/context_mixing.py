@@ -50,12 +50,13 @@ SMOOTHING = 0.1  # of the base score
 RATE = 0.1
 _GATES = 64
 _STEP = 4096  # bits per online step
-_RANGE = 8192  # tokens or bytes whose bits are laid out side by side
+_RANGE = 2048  # tokens or bytes whose bits are laid out side by side
 _CLASSES = 8  # leading code bits that make a word's class
 _STRANGERS = 1 << 16  # escaped words as contexts, by checksum
 _DISTINCT = 1_500_000  # words counted together in a task
 _SLICE_BYTES = 1 << 18
 _TOKENS = 1 << 17  # of a slice of numbered texts
+_TASK_TOKENS = 1 << 26  # counted by one task, which sends a whole table
 _BLOCK_BITS = 14
 _FINE, _COARSE = 1024, 12  # steps of counts per power of two, between tasks and in the tables
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -403,10 +404,11 @@ def score_documents(
     code = Code.of(np.concatenate([[ends + 0.5, tokens - ends - counts.sum() + 0.5], counts]))
     whole = np.log10(tokens + SMOOTHING * (distinct + 1))
     base = np.log10(np.concatenate([[ends, 0], counts]) + SMOOTHING) - whole
-    sent = spark.sparkContext.broadcast((listed["word"].to_pylist(), code, base))
+    names = spark.sparkContext.broadcast(listed["word"].to_pylist())
+    sent = spark.sparkContext.broadcast((code, base))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = {w.encode(): i for i, w in enumerate(sent.value[0], 2)}
+        places = {w.encode(): i for i, w in enumerate(names.value, 2)}
         row = TaskContext.get().partitionId() << 40
         for part in slices(batches, "text", _SLICE_BYTES):
             texts = part.column("text").to_pylist()
@@ -431,7 +433,7 @@ def score_documents(
     )
 
     def texts_told(batches: Iterator[pa.RecordBatch]) -> Iterator[Bits]:
-        for _, _, told in _told_texts(batches, sent.value[1], bits):
+        for _, _, told in _told_texts(batches, sent.value[0], bits):
             yield from told
 
     def words_told(batches: Iterator[pa.RecordBatch]) -> Iterator[Bits]:
@@ -441,8 +443,10 @@ def score_documents(
     learned = texts.where("train").select("ids")
     rest = words.where(~often)
     types = words.where("n > 0 AND word != ''").select("word")
-    text_counts = spark.sparkContext.broadcast(_bit_counts(learned, texts_told, WORD_CONTEXTS, bits))
-    word_counts = spark.sparkContext.broadcast(_bit_counts(types, words_told, len(ORDERS), bits))
+    # Few tasks count, each of many rows, since every one sends a table.
+    tasks = max(spark.sparkContext.defaultParallelism, tokens // _TASK_TOKENS)
+    text_counts = spark.sparkContext.broadcast(_bit_counts(learned.coalesce(tasks), texts_told, WORD_CONTEXTS, bits))
+    word_counts = spark.sparkContext.broadcast(_bit_counts(types.coalesce(tasks), words_told, len(ORDERS), bits))
     text_weights = _mean_weights(learned, texts_told, text_counts, WORD_CONTEXTS + 1)
     word_weights = _mean_weights(types, words_told, word_counts, len(ORDERS))
 
@@ -462,7 +466,7 @@ def score_documents(
     )
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, own, plain = sent.value
+        own, plain = sent.value
         known = len(own.size)
         model = Model(text_counts.value, WORD_CONTEXTS + 1, text_weights)
         for part, ids, told in _told_texts(batches, own, bits):
