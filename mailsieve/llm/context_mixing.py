@@ -12,11 +12,14 @@ online, in small steps along the training texts, where a bit never counts for it
 1. Tasks count words; the counts meet in one table, as long as there are words.
 2. At most ``FREQUENT`` of the most frequent training words, each seen twice or more, get codes,
    which are sent to all tasks; texts are written down as numbers of words, strangers apart.
-3. Tasks count bits by slot; blocks of slots are added up in the shuffle. A table has a slot for
-   each distinct training word, rounded up to a power of two, but 2^``SLOT_BITS`` at most, since
-   every task holds it (two bytes a slot). Spelling is counted once for each training word.
+3. Tasks count bits by slot; blocks of slots are added up in the shuffle. A table has two slots for
+   each training token (texts) or eight for each distinct training word (spelling), rounded up to a
+   power of two, but 2^``SLOT_BITS`` at most, since every task holds it (two bytes a slot).
+   Spelling is counted once for each training word.
 4. Weights are learned from all training texts and words, and are the mean over tasks.
-5. Texts are scored; the spelling of escaped words, priced once for each word, is joined.
+5. Texts are scored; the price of escaped words, found once for each word, is joined. An escaped
+   word is one of the training words without a code, by its count, or spelled; how often which,
+   follows from how many words were seen once and how many a little more often (Good-Turing).
 
 Defined cases: a null text is empty and costs its end; without training documents all counts
 are 0 and the model is uniform over bits; null ids are trained on; other columns are ignored;
@@ -57,6 +60,7 @@ _DISTINCT = 1_500_000  # words counted together in a task
 _SLICE_BYTES = 1 << 18
 _TOKENS = 1 << 17  # of a slice of numbered texts
 _TASK_TOKENS = 1 << 26  # counted by one task, which sends a whole table
+_TASK_WORDS = 1 << 20
 _BLOCK_BITS = 14
 _FINE, _COARSE = 1024, 12  # steps of counts per power of two, between tasks and in the tables
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -344,8 +348,8 @@ def _mean_weights(rows: DataFrame, told: Told, shared, inputs: int) -> np.ndarra
     return np.array([r.weight for r in sorted(means, key=lambda r: r["at"])]).reshape(_GATES, inputs)
 
 
-def _frequent(words: DataFrame) -> Column:
-    """Which words get codes: as many of the most frequent ones seen twice or more as fit, by powers of two of their count."""
+def _frequent(words: DataFrame) -> int:
+    """The least count of words with codes: as many of the most frequent ones seen twice or more as fit, by powers of two."""
     level = F.floor(F.log2("n")).cast("int")
     least, held = 62, 0
     levels = words.where("n > 0").groupBy(level.alias("level")).count().collect()  # at most 63 rows
@@ -354,7 +358,17 @@ def _frequent(words: DataFrame) -> Column:
         if held > FREQUENT or not found:  # words seen once are spelled, as new words will be
             break
         least = found
-    return (F.col("n") >= (1 << least)) | (F.col("word") == "")
+    return 1 << least
+
+
+def _listed_share(words: DataFrame, least: int) -> float:
+    """How many of the escaped words of a new text were seen in training: a word seen ``n`` times
+    would, without one of its occurrences, be a word seen ``n - 1`` times, or a new one."""
+    plain = words.where((F.col("word") != "") & F.col("n").between(1, least))
+    new, again = plain.agg(
+        F.count(F.when(F.col("n") == 1, 1)), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))
+    ).first()
+    return (again + 0.5) / (new + again + 1)
 
 
 def numbered(places: dict[bytes, int], words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
@@ -395,13 +409,17 @@ def score_documents(
     )
     words = written(_counted(rows), "words")
     tokens, distinct = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    bits = min(max(int(distinct).bit_length(), 12), SLOT_BITS)
-    often = _frequent(words)
+    bits = min(max(int(tokens).bit_length() + 1, 12), SLOT_BITS)
+    word_bits = min(max(int(distinct).bit_length() + 3, 12), SLOT_BITS)
+    least = _frequent(words)
+    often = (F.col("n") >= least) | (F.col("word") == "")
     listed = words.where(often & (F.col("word") != "")).select("word", "n").toArrow()  # at most FREQUENT rows
     listed = listed.sort_by([("n", "descending"), ("word", "ascending")])
     counts = listed["n"].to_numpy()
     ends = words.where("word = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    code = Code.of(np.concatenate([[ends + 0.5, tokens - ends - counts.sum() + 0.5], counts]))
+    unlisted = int(tokens - ends - counts.sum())
+    share = _listed_share(words, least) if unlisted else 0.0
+    code = Code.of(np.concatenate([[ends + 0.5, unlisted + 0.5], counts]))
     whole = np.log10(tokens + SMOOTHING * (distinct + 1))
     base = np.log10(np.concatenate([[ends, 0], counts]) + SMOOTHING) - whole
     names = spark.sparkContext.broadcast(listed["word"].to_pylist())
@@ -438,7 +456,7 @@ def score_documents(
 
     def words_told(batches: Iterator[pa.RecordBatch]) -> Iterator[Bits]:
         for part in slices(batches, "word", _SLICE_BYTES):
-            yield from spelled_bits([w.encode() for w in part.column("word").to_pylist()], bits)
+            yield from spelled_bits([w.encode() for w in part.column("word").to_pylist()], word_bits)
 
     learned = texts.where("train").select("ids")
     rest = words.where(~often)
@@ -446,16 +464,20 @@ def score_documents(
     # Few tasks count, each of many rows, since every one sends a table.
     tasks = max(spark.sparkContext.defaultParallelism, tokens // _TASK_TOKENS)
     text_counts = spark.sparkContext.broadcast(_bit_counts(learned.coalesce(tasks), texts_told, WORD_CONTEXTS, bits))
-    word_counts = spark.sparkContext.broadcast(_bit_counts(types.coalesce(tasks), words_told, len(ORDERS), bits))
+    tasks = 1 + distinct // _TASK_WORDS
+    word_counts = spark.sparkContext.broadcast(_bit_counts(types.coalesce(tasks), words_told, len(ORDERS), word_bits))
     text_weights = _mean_weights(learned, texts_told, text_counts, WORD_CONTEXTS + 1)
     word_weights = _mean_weights(types, words_told, word_counts, len(ORDERS))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(word_counts.value, len(ORDERS), word_weights)
         for part in slices(batches, "word", _SLICE_BYTES):
-            costs = np.zeros(part.num_rows)
-            for told in spelled_bits([w.encode() for w in part.column("word").to_pylist()], bits):
+            costs = np.full(part.num_rows, np.log10(1 - share))
+            for told in spelled_bits([w.encode() for w in part.column("word").to_pylist()], word_bits):
                 costs += model.log10(told, part.num_rows)
+            seen = share * part.column("n").to_numpy() / max(unlisted, 1)
+            found = seen > 0
+            costs[found] = np.logaddexp(np.log(seen[found]), costs[found] * np.log(10)) / np.log(10)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(costs)], [*part.schema.names, "cost"])
 
     priced = written(

@@ -278,6 +278,27 @@ def test_scores_know_the_order_of_words(spark):
     assert math.isclose(rows[100].bits_per_byte, -rows[100].score * math.log2(10) / len(docs[30][1]))
 
 
+def test_held_out_texts_score_above_the_base(spark):
+    """On 1,000 documents, though new words are spelled and cost the base a single small count (on 100 they are too many)."""
+    from mailsieve.llm.queries import op3
+
+    held = op3(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert held[0] > held[1] and held[2] > 0
+
+
+def test_escaped_words_seen_before_are_priced_by_their_count(spark):
+    """A word seen once costs less than its spelling, and the share of such words follows from the counts."""
+    from mailsieve.llm import context_mixing as m
+
+    words = spark.createDataFrame([("", 9), ("a", 1), ("b", 1), ("c", 2), ("d", 7), ("e", 0)], "word string, n bigint")
+    assert math.isclose(m._listed_share(words, 2), (2 + 0.5) / (2 + 2 + 1))
+    assert m._listed_share(words.where("n = 0"), 2) == 0.5  # no evidence
+    docs = [(i, "some words that come often") for i in range(20)] + [(50, "unheardof"), (51, "qzxjkvwyp"), (60, "unheardof"), (61, "qzxjkvwyq")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r.doc_id: r for r in m.score_documents(frame, F.col("doc_id") < 60).collect()}
+    assert rows[60].score > rows[61].score and rows[60].n_known == 2 and rows[61].n_known == 1
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     network = byte_convnet.train(byte_convnet.training_windows(docs, "doc_id", "text", "lang"))
