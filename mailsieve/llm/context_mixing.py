@@ -62,7 +62,8 @@ _TOKENS = 1 << 17  # of a slice of numbered texts
 _TASK_TOKENS = 1 << 26  # counted by one task, which sends a whole table
 _TASK_WORDS = 1 << 20
 _BLOCK_BITS = 14
-_FINE, _COARSE = 1024, 12  # steps of counts per power of two, between tasks and in the tables
+_EXACT, _FINE = 64, 7.6  # between tasks: counts told exactly, and steps per power of two beyond them
+_COARSE = 12  # steps of counts per power of two in the tables
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _A, _B = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
@@ -111,6 +112,7 @@ class Code:
     bit: np.ndarray
     prior: np.ndarray  # by node: log odds of a one
     kind: np.ndarray  # by word: its class, the first bits of its code
+    tree: tuple[np.ndarray, ...]
 
     @staticmethod
     def of(counts: np.ndarray) -> Code:
@@ -132,6 +134,12 @@ class Code:
         ones = np.zeros(2 * n - 1)
         ones[parent[:-1][side[:-1] == 1]] = weight[:-1][side[:-1] == 1]
         prior = np.log((ones + 0.5) / (weight - ones + 0.5)).astype(np.float32)
+        return Code.laid(order.astype(np.int32), parent.astype(np.int32), side, prior[n:])
+
+    @staticmethod
+    def laid(order: np.ndarray, parent: np.ndarray, side: np.ndarray, prior: np.ndarray) -> Code:
+        """From the tree: words by leaf, and every node's parent and side."""
+        n = len(order)
         at, rounds = np.arange(n), []
         size = np.zeros(n, np.int64)
         while (open_ := at != 2 * n - 2).any():
@@ -149,13 +157,18 @@ class Code:
             kind = np.where(has, kind * 2 + bits[np.where(has, start + depth, 0)], kind)
         back = np.empty(n, np.int64)
         back[order] = np.arange(n)  # the leaf of every word
-        return Code(start[back], size[back], node, bits, prior[n:], kind[back])
+        return Code(start[back], size[back], node, bits, prior, kind[back], (order, parent, side, prior))
+
+    def __reduce__(self):
+        return Code.laid, self.tree  # a tenth of the size; tasks lay the codes out again
 
 
 @dataclass
 class Bits:
-    """Bits to tell: what each belongs to, its value, its slots by context, and a prediction that needs no slot."""
+    """Bits to tell, in runs of one token or byte each: where runs begin, what they belong to; by bit
+    its value, its slots by context, and a prediction that needs no slot."""
 
+    runs: np.ndarray
     owner: np.ndarray
     value: np.ndarray
     slots: list[np.ndarray]
@@ -167,11 +180,11 @@ def _short(hashed: np.ndarray) -> np.ndarray:
 
 
 def _slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    hashed = context ^ (node * _A)
+    """Slots of contexts, which are hashes already, with nodes, which are multiples of ``_A``."""
+    hashed = context ^ node
     hashed *= _B
-    hashed ^= hashed >> np.uint32(15)
-    hashed *= _A
-    return (hashed >> np.uint32(32 - bits)).astype(np.intp)
+    hashed >>= np.uint32(32 - bits)
+    return hashed.astype(np.intp)
 
 
 def code_bits(code: Code, ids: np.ndarray, first: np.ndarray, bits: int) -> Iterator[Bits]:
@@ -193,11 +206,14 @@ def code_bits(code: Code, ids: np.ndarray, first: np.ndarray, bits: int) -> Iter
     for begin in range(0, len(ids), _RANGE):
         here = slice(begin, begin + _RANGE)
         size = code.size[told[here]]
-        owner = np.repeat(np.arange(len(size)), size)
-        at = np.arange(len(owner)) + (code.start[told[here]] - (np.cumsum(size) - size)).take(owner)
+        runs = np.cumsum(size) - size
+        at = np.repeat(code.start[told[here]] - runs, size)
+        at += np.arange(len(at))
         node = code.node.take(at)
-        slots = [_slots(h[here].take(owner), node, bits) for h in hashes]
-        yield Bits(owner + begin, code.bit.take(at), slots, code.prior.take(node))
+        prior = code.prior.take(node)
+        node *= _A
+        slots = [_slots(np.repeat(h[here], size), node, bits) for h in hashes]
+        yield Bits(runs, np.arange(begin, begin + len(size)), code.bit.take(at), slots, prior)
 
 
 def spelled_bits(words: list[bytes], bits: int) -> Iterator[Bits]:
@@ -220,8 +236,10 @@ def spelled_bits(words: list[bytes], bits: int) -> Iterator[Bits]:
         here = slice(begin, begin + _RANGE)
         own = flat[here][:, None]
         node = ((1 << depth) | (own.astype(np.int64) >> (8 - depth))).reshape(-1).astype(np.uint32)
+        node *= _A
         value = (own >> (7 - depth).astype(np.uint8) & 1).reshape(-1)
-        yield Bits(np.repeat(word[here], 8), value, [_slots(np.repeat(h[here], 8), node, bits) for h in hashes], None)
+        runs = np.arange(0, len(value), 8)
+        yield Bits(runs, word[here], value, [_slots(np.repeat(h[here], 8), node, bits) for h in hashes], None)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +247,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     predictions in the logistic domain, and grades of how much was seen."""
     seen = np.exp2(np.arange(256) / _COARSE) - 1
     seen = np.where(seen < 16, np.rint(seen), seen)
-    odds, grade = np.zeros((3, 256, 256), np.float32), np.zeros((3, 256, 256), np.intp)
+    odds, grade = np.zeros((3, 256, 256), np.float32), np.zeros((3, 256, 256), np.uint8)
     for own in range(3):
         zeros = np.maximum(seen - (own == 1), 0)[:, None]
         ones = np.maximum(seen - (own == 2), 0)[None, :]
@@ -260,7 +278,7 @@ class Model:
         else:
             x.append(told.prior)
             gate = grades.take(seen[0]) * 8 + grades.take(seen[1])
-        return x, gate
+        return x, gate.astype(np.intp)
 
     def _mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         out = x[0] * self.weights[:, 0].take(gate)
@@ -283,7 +301,26 @@ class Model:
         """Log10 probabilities by owner."""
         mixed = self._mixed(*self._inputs(told, False))
         mixed *= 1 - 2 * told.value.astype(np.float32)
-        return np.bincount(told.owner, np.log(1 + np.exp(mixed, dtype=np.float64)), owners) / -np.log(10)
+        # One logarithm for a run: fewer than 50 bits of at most 14 stay in a double.
+        inverse = np.multiply.reduceat(1 + np.exp(mixed).astype(np.float64), told.runs)
+        return np.bincount(told.owner, np.log10(inverse), owners) * -1
+
+
+def _told_counts(counts: np.ndarray) -> bytes:
+    """Counts in a byte each, exact where small, and deflated: most are 0 or 1."""
+    beyond = _EXACT + np.rint(np.log2(np.maximum(counts, _EXACT) / _EXACT) * _FINE)
+    return zlib.compress(np.where(counts < _EXACT, counts, np.minimum(beyond, 255)).astype(np.uint8).tobytes(), 1)
+
+
+_TOLD = np.concatenate([np.arange(_EXACT), np.rint(_EXACT * np.exp2(np.arange(256 - _EXACT) / _FINE))])
+
+
+def _sent_table(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.tobytes(), 1)
+
+
+def _received(table: bytes, contexts: int) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(table), np.uint16).reshape(contexts, -1)
 
 
 Told = Callable[[Iterator[pa.RecordBatch]], Iterator[Bits]]
@@ -294,44 +331,44 @@ def _bit_counts(rows: DataFrame, told: Told, contexts: int, bits: int) -> np.nda
     block = min(bits, _BLOCK_BITS)
     schema = "block int, counts binary"
 
-    def packed(block_at: int, counts: np.ndarray) -> pa.RecordBatch:
+    def packed(block_at: int, counts: bytes) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array([block_at], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["block", "counts"]
+            [pa.array([block_at], pa.int32()), pa.array([counts], pa.binary())], ["block", "counts"]
         )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(contexts << (bits + 1), np.int32)
+        total = np.zeros((contexts, 2 << bits), np.int32)
         for part in told(batches):
-            for kind, slots in enumerate(part.slots):
-                np.add.at(total, (((kind << bits) + slots) << 1) + part.value, np.int32(1))
+            for own, slots in zip(total, part.slots, strict=True):
+                np.add.at(own, slots * 2 + part.value, np.int32(1))
         for at, own in enumerate(total.reshape(-1, 2 << block)):
             if own.any():
-                yield packed(at, np.rint(np.log2(1 + own.astype(float)) * _FINE).astype(np.uint16))
+                yield packed(at, _told_counts(own))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                own = np.rint(np.exp2(np.frombuffer(counts, np.uint16) / _FINE) - 1)
+                own = _TOLD[np.frombuffer(zlib.decompress(counts), np.uint8)]
                 total[at] = total[at] + own if at in total else own
         for at, own in total.items():
             own = own.reshape(-1, 2)
             own = own / np.maximum(own.sum(axis=1, keepdims=True) / (1 << 20), 1)
             stored = np.rint(np.log2(1 + own) * _COARSE).astype(np.uint16)
-            yield packed(at, (stored[:, 0] << 8) | stored[:, 1])
+            yield packed(at, _sent_table((stored[:, 0] << 8) | stored[:, 1]))
 
     out = np.zeros((contexts << bits >> block, 1 << block), np.uint16)
     added = rows.mapInArrow(count, schema).repartition("block").mapInArrow(add_up, schema)
-    for row in added.collect():  # contexts * 2^bits numbers of two bytes
-        out[row.block] = np.frombuffer(row.counts, np.uint16)
+    for row in added.collect():  # contexts * 2^bits numbers of two bytes at most, deflated
+        out[row.block] = _received(row.counts, 1)[0]
     return out.reshape(contexts, -1)
 
 
-def _mean_weights(rows: DataFrame, told: Told, shared, inputs: int) -> np.ndarray | None:
+def _mean_weights(rows: DataFrame, told: Told, shared, contexts: int, inputs: int) -> np.ndarray | None:
     """Every task learns from its rows; the mean, weighted by bits."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value, inputs)
+        model = Model(_received(shared.value, contexts), inputs)
         for part in told(batches):
             model.learn(part)
         if model.mass:
@@ -463,14 +500,16 @@ def score_documents(
     types = words.where("n > 0 AND word != ''").select("word")
     # Few tasks count, each of many rows, since every one sends a table.
     tasks = max(spark.sparkContext.defaultParallelism, tokens // _TASK_TOKENS)
-    text_counts = spark.sparkContext.broadcast(_bit_counts(learned.coalesce(tasks), texts_told, WORD_CONTEXTS, bits))
+    counts = _bit_counts(learned.coalesce(tasks), texts_told, WORD_CONTEXTS, bits)
+    text_counts = spark.sparkContext.broadcast(_sent_table(counts))
     tasks = 1 + distinct // _TASK_WORDS
-    word_counts = spark.sparkContext.broadcast(_bit_counts(types.coalesce(tasks), words_told, len(ORDERS), word_bits))
-    text_weights = _mean_weights(learned, texts_told, text_counts, WORD_CONTEXTS + 1)
-    word_weights = _mean_weights(types, words_told, word_counts, len(ORDERS))
+    counts = _bit_counts(types.coalesce(tasks), words_told, len(ORDERS), word_bits)
+    word_counts = spark.sparkContext.broadcast(_sent_table(counts))
+    text_weights = _mean_weights(learned, texts_told, text_counts, WORD_CONTEXTS, WORD_CONTEXTS + 1)
+    word_weights = _mean_weights(types, words_told, word_counts, len(ORDERS), len(ORDERS))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(word_counts.value, len(ORDERS), word_weights)
+        model = Model(_received(word_counts.value, len(ORDERS)), len(ORDERS), word_weights)
         for part in slices(batches, "word", _SLICE_BYTES):
             costs = np.full(part.num_rows, np.log10(1 - share))
             for told in spelled_bits([w.encode() for w in part.column("word").to_pylist()], word_bits):
@@ -490,7 +529,7 @@ def score_documents(
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, plain = sent.value
         known = len(own.size)
-        model = Model(text_counts.value, WORD_CONTEXTS + 1, text_weights)
+        model = Model(_received(text_counts.value, WORD_CONTEXTS), WORD_CONTEXTS + 1, text_weights)
         for part, ids, told in _told_texts(batches, own, bits):
             doc = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(part.column("ids")).to_numpy())
             cost = np.zeros(part.num_rows)
