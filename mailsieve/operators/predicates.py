@@ -87,12 +87,13 @@ def date_range(after: str | None = None, before: str | None = None) -> Column:
 
 
 def in_dates(messages: DataFrame, after: str | None = None, before: str | None = None) -> DataFrame:
-    """Messages of a half-open range of dates; of landed ones, only the folders of its days or months are read."""
+    """Messages of a half-open range of dates; of landed ones, only the folders that hold its days or months are read."""
     chosen = messages.where(date_range(after, before))
     for period in PERIODS:
         if period in messages.columns:
             if after:
-                chosen = chosen.where(F.col(period) >= period_of(F.to_timestamp(F.lit(after)), period))
+                last = F.date_add(F.col(period), F.col("span") - 1)  # a folder begins with its first day
+                chosen = chosen.where(last >= period_of(F.to_timestamp(F.lit(after)), period))
             if before:  # the range may end within this period
                 chosen = chosen.where(F.col(period) <= period_of(F.to_timestamp(F.lit(before)), period))
     return chosen

@@ -3,7 +3,8 @@
 A dump holds one message per row. ``payload`` is the MIME tree as JSON; headers and the
 flat part list are derived from it, per row and without a shuffle. Landed messages are parsed once:
 headers, part metadata and bodies are columns of their own there, so that a query on headers or
-attachments reads no body, and days are folders, so that a range of dates reads only its days.
+attachments reads no body, and days are folders, so that a range of dates reads only its days. Where mail
+is too scarce to fill a file a day, a folder holds a span of days: folders grow with messages, not with days.
 """
 
 from __future__ import annotations
@@ -19,14 +20,18 @@ DUMP_SCHEMA = (
     "id string, internal_date timestamp, thread_id string, label_ids array<string>, "
     "snippet string, payload string"
 )
-# Columns of landed messages; the last is a folder, and so is the day or month that follows it.
+# Columns of landed messages; the last two are folders, and so is the day or month that follows them.
+# A folder's day is the first of ``span`` days.
 LANDED_SCHEMA = (
     "id string, internal_date timestamp, thread_id string, label_ids array<string>, snippet string, "
     "headers array<struct<name:string,value:string>>, "
     "parts array<struct<path:string,mime_type:string,filename:string,attachment_id:string,size:bigint>>, "
-    "bodies array<string>, batch bigint"
+    "bodies array<string>, batch bigint, span int"
 )
 PERIODS = ("day", "month")
+# Folders of a batch that are few whatever they hold, and messages that make a folder of their own worth it.
+_FEW_FOLDERS = 64
+_FOLDER_MESSAGES = 10_000
 QUARANTINE_SCHEMA = "id string, reason string, payload string, batch bigint"
 
 
@@ -71,11 +76,26 @@ def period_of(at: Column, period: str) -> Column:
     return F.trunc(utc_day(at), "month") if period == "month" else utc_day(at)
 
 
+def day_span(dump: DataFrame) -> int:
+    """Days of a folder, a power of two: few folders, or folders of many messages on average."""
+    day = F.unix_date(utc_day(F.col("internal_date")))
+    seen = dump.agg(F.min(day).alias("first"), F.max(day).alias("last"), F.count("internal_date").alias("rows")).first()
+    days = seen["last"] - seen["first"] + 1 if seen["rows"] else 1
+    most = max(_FEW_FOLDERS, seen["rows"] // _FOLDER_MESSAGES)
+    return 1 << max(0, -(-days // most) - 1).bit_length()
+
+
+def span_start(day: Column, span: int) -> Column:
+    """The first day of the span that holds a day."""
+    return F.date_sub(day, F.pmod(F.unix_date(day), F.lit(span))) if span > 1 else day
+
+
 def land_messages(dump: DataFrame, path: str, batch: int = 0, period: str = "day") -> None:
     """Land one batch: readable messages under ``messages``, by day, the others under ``quarantine``.
 
-    Mail too scarce to fill files by day can be landed by ``period="month"``; all batches of a path need
-    the same period.
+    Dates are read ahead for the span of a folder: a file for each day of scarce mail would make the files, not the
+    messages, the work. Batches may differ in it. Mail can also be landed by ``period="month"``; all batches of a
+    path need the same period.
 
     Payloads are parsed once, for one write into a staging folder; then both tables get their part of it by
     a rename. Until then nothing of the batch is seen, and landing the same batch again
@@ -83,6 +103,7 @@ def land_messages(dump: DataFrame, path: str, batch: int = 0, period: str = "day
     days and joins small ones), so that days hold few files."""
     spark = dump.sparkSession
     staging = f"{path}/_staging/batch={batch}"
+    span = day_span(dump) if period == "day" else 1
     rows = _parsed(dump).select(
         "id",
         "internal_date",
@@ -95,10 +116,11 @@ def land_messages(dump: DataFrame, path: str, batch: int = 0, period: str = "day
         "reason",
         F.when(F.col("reason").isNotNull(), F.col("payload")).alias("payload"),
         F.col("reason").isNotNull().alias("aside"),
-        period_of(F.col("internal_date"), period).alias(period),
+        F.lit(span).alias("span"),
+        span_start(period_of(F.col("internal_date"), period), span).alias(period),
     )
     written = rows.hint("rebalance", "aside", period).write.mode("overwrite")
-    written.partitionBy("aside", period).parquet(staging)
+    written.partitionBy("aside", "span", period).parquet(staging)
     for aside, name in (("true", "quarantine"), ("false", "messages")):
         files.remove(spark, f"{path}/{name}/batch={batch}")
         if files.exists(spark, f"{staging}/aside={aside}"):
@@ -114,8 +136,9 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_landed(spark: SparkSession, path: str) -> DataFrame:
     """Landed messages; ``parts`` holds no bodies, which stand in ``bodies`` at the same places."""
-    batches = (files.names(spark, f"{path}/messages/{b}") for b in files.names(spark, f"{path}/messages"))
-    folders = (n.split("=")[0] for batch in batches for n in batch)
+    at = f"{path}/messages"
+    spans = (f"{at}/{batch}/{span}" for batch in files.names(spark, at) for span in files.names(spark, f"{at}/{batch}"))
+    folders = (n.split("=")[0] for span in spans for n in files.names(spark, span))
     period = next((f for f in folders if f in PERIODS), PERIODS[0])
     return _read(spark, f"{path}/messages", f"{LANDED_SCHEMA}, {period} date")
 

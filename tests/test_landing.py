@@ -172,3 +172,20 @@ def test_a_plain_session_has_a_folder(tmp_path):
     env["SPARK_CONF_DIR"] = str(tmp_path)
     out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=180, cwd=os.path.dirname(os.path.dirname(__file__)))
     assert out.stdout.strip().endswith("fine"), out.stderr[-2000:]
+
+
+def test_scarce_mail_shares_folders(spark, tmp_path):
+    start = datetime(2024, 1, 1, 12)
+    rows = [_mail(i, at=start + timedelta(days=i)) for i in range(1000)]
+    land_messages(spark.createDataFrame(rows[:20], DUMP_SCHEMA), str(tmp_path), 0)
+    land_messages(spark.createDataFrame(rows[20:], DUMP_SCHEMA), str(tmp_path), 1)
+    folders = [len(list((tmp_path / "messages").glob(f"batch={b}/span=*/day=*"))) for b in (0, 1)]
+    assert folders[0] == 20 and 30 < folders[1] <= 65  # by day while days are few; 980 messages make no 980 folders
+    mail = read_landed(spark, str(tmp_path))
+    assert mail.count() == 1000
+    for first, last in ((0, 3), (15, 25), (500, 501), (513, 600), (998, 1000)):
+        bounds = [str((start + timedelta(days=d)).date()) for d in (first, last)]
+        assert sorted(r.id for r in pr.in_dates(mail, *bounds).collect()) == sorted(f"m{i}" for i in range(first, last))
+    scan = [x for x in plan_of(pr.in_dates(mail, "2025-01-01", "2025-01-02")).splitlines() if x.startswith("PartitionFilters")]
+    assert any("day" in x and "span" in x and "2025-01-01" in x for x in scan)
+    assert len(pr.in_dates(mail, "2025-01-01", "2025-01-02").inputFiles()) > 0
