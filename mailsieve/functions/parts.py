@@ -81,9 +81,18 @@ def without_data(parts: Column) -> Column:
     return F.transform(parts, lambda p: p.dropFields("data"))
 
 
+def raw_bodies(parts: Column) -> Column:
+    """The decoded bytes of the parts' bodies, null where a part has none; they pack better than base64."""
+    return F.transform(parts["data"], lambda data: F.when(_is_set(data), _raw_body(data)))
+
+
 def with_data(parts: Column, bodies: Column) -> Column:
-    """Parts with the bodies that stand at the same places."""
-    return F.zip_with(parts, bodies, lambda p, data: p.withField("data", data))
+    """Parts with the decoded bodies that stand at the same places as base64; an empty body is the bare padding."""
+
+    def encoded(body: Column) -> Column:
+        return F.when(F.length(body) == 0, "=").otherwise(F.base64(body))
+
+    return F.zip_with(parts, bodies, lambda p, body: p.withField("data", encoded(body)))
 
 
 def _is_set(c: Column) -> Column:
@@ -116,9 +125,7 @@ def attachment_summary(parts: Column) -> Column:
     return once(F.transform(F.filter(parts, is_attachment), kind), summary)
 
 
-def decode_body(data: Column) -> Column:
-    """Base64url text to a string; stray characters are skipped, bad bytes become U+FFFD."""
-
+def _raw_body(data: Column) -> Column:
     def tolerant(body: Column) -> Column:
         clean = F.regexp_replace(F.substring_index(body, "=", 1), "[^A-Za-z0-9+/]", "")
         # A single left-over character holds no whole byte.
@@ -127,13 +134,17 @@ def decode_body(data: Column) -> Column:
 
     def decode(body: Column) -> Column:
         # Well-formed data decodes directly; only the rest pays for the clean-up.
-        raw = F.coalesce(F.try_to_binary(body, F.lit("base64")), tolerant(body))
-        return F.make_valid_utf8(raw.cast("string"))
+        return F.coalesce(F.try_to_binary(body, F.lit("base64")), tolerant(body))
 
     body = F.replace(F.replace(data, F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/"))
     return once(body, decode)
 
 
+def decode_body(data: Column) -> Column:
+    """Base64url text to a string; stray characters are skipped, bad bytes become U+FFFD."""
+    return F.make_valid_utf8(_raw_body(data).cast("string"))
+
+
 def joined_bodies(parts: Column, mime_type: str) -> Column:
     """Decoded bodies of the non-attachment parts of one type, one per line."""
 

@@ -2,7 +2,7 @@
 
 A dump holds one message per row. ``payload`` is the MIME tree as JSON; headers and the
 flat part list are derived from it, per row and without a shuffle. Landed messages are parsed once:
-headers, part metadata and bodies are columns of their own there, so that a query on headers or
+headers, part metadata and (decoded) bodies are columns of their own there, so that a query on headers or
 attachments reads no body, and days are folders, so that a range of dates reads only its days. Where mail
 is too scarce to fill a file a day, a folder holds a span of days: folders grow with messages, not with days.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.functions.parts import flatten_parts, with_data, without_data
+from mailsieve.functions.parts import flatten_parts, raw_bodies, with_data, without_data
 from mailsieve.sources import files
 
 # Columns of a dump.
@@ -26,7 +26,7 @@ LANDED_SCHEMA = (
     "id string, internal_date timestamp, thread_id string, label_ids array<string>, snippet string, "
     "headers array<struct<name:string,value:string>>, "
     "parts array<struct<path:string,mime_type:string,filename:string,attachment_id:string,size:bigint>>, "
-    "bodies array<string>, batch bigint, span int"
+    "bodies array<binary>, batch bigint, span int"
 )
 PERIODS = ("day", "month")
 # Folders of a batch that are few whatever they hold, and messages that make a folder of their own worth it.
@@ -112,14 +112,14 @@ def land_messages(dump: DataFrame, path: str, batch: int = 0, period: str = "day
         "snippet",
         "headers",
         without_data(F.col("parts")).alias("parts"),
-        F.col("parts.data").alias("bodies"),
+        raw_bodies(F.col("parts")).alias("bodies"),
         "reason",
         F.when(F.col("reason").isNotNull(), F.col("payload")).alias("payload"),
         F.col("reason").isNotNull().alias("aside"),
         F.lit(span).alias("span"),
         span_start(period_of(F.col("internal_date"), period), span).alias(period),
     )
-    written = rows.hint("rebalance", "aside", period).write.mode("overwrite")
+    written = rows.hint("rebalance", "aside", period).write.mode("overwrite").option("compression", "zstd")
     written.partitionBy("aside", "span", period).parquet(staging)
     for aside, name in (("true", "quarantine"), ("false", "messages")):
         files.remove(spark, f"{path}/{name}/batch={batch}")

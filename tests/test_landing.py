@@ -189,3 +189,17 @@ def test_scarce_mail_shares_folders(spark, tmp_path):
     scan = [x for x in plan_of(pr.in_dates(mail, "2025-01-01", "2025-01-02")).splitlines() if x.startswith("PartitionFilters")]
     assert any("day" in x and "span" in x and "2025-01-01" in x for x in scan)
     assert len(pr.in_dates(mail, "2025-01-01", "2025-01-02").inputFiles()) > 0
+
+
+def test_bodies_land_decoded_and_read_the_same(spark, tmp_path):
+    data = ["SGVsbG8", "=", "", "A", "SGk", None, "_-_-", "w7w=", "S G V s\nbG8=", "/+8"]
+    parts = [{"mimeType": "text/plain", "body": {"data": d}, "parts": []} for d in data]
+    payloads = [json.dumps({"headers": [], "parts": chosen}) for chosen in (parts, parts[:2], parts[1:5], parts[2:3], parts[6:])]
+    dumped = spark.createDataFrame([_mail(i, p) for i, p in enumerate(payloads)], DUMP_SCHEMA)
+    land_messages(dumped, str(tmp_path))
+    mail = read_landed(spark, str(tmp_path))
+    assert dict(mail.dtypes)["bodies"] == "array<binary>"
+    options = ExportOptions(fields=("body_text", "body_html"), body_max_chars=0)
+    raw = project_fields(with_parts(dumped), options, ("id",)).collect()
+    assert sorted(project_fields(mail, options, ("id",)).collect()) == sorted(raw)
+    assert any("\n\n" in r.body_text for r in raw)
