@@ -6,6 +6,8 @@ group of steps can touch, and only those rows are counted and rewritten.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,14 +17,29 @@ Step = tuple[str, str]  # (RE2 pattern, replacement)
 
 # An alternation of more patterns than this can outgrow the DFA cache of RE2 and fall
 # back to its slow matcher.
-_GATE_WIDTH = 8
+GATE_WIDTH = 8
+
+
+# Bytes of text that steps hold at a time; a batch is some tens of megabytes, and every step copies what it rewrites.
+SLICE_BYTES = 8 << 20
+
+
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """The texts in order, in runs of about ``most`` bytes, one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(texts):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield texts.slice(first, last - first)
+        first = last
 
 
 def any_of(patterns) -> list[str]:
     """Alternations that together match where at least one of ``patterns`` does."""
     return [
-        "|".join(f"(?:{p})" for p in patterns[i : i + _GATE_WIDTH])
-        for i in range(0, len(patterns), _GATE_WIDTH)
+        "|".join(f"(?:{p})" for p in patterns[i : i + GATE_WIDTH])
+        for i in range(0, len(patterns), GATE_WIDTH)
     ]
 
 

@@ -1,9 +1,9 @@
 """Redaction as Arrow UDFs: ordered rules, counts per category.
 
-A category none of whose patterns matches a text leaves that text unchanged, so a
-few alternations per category decide which rows enter its pattern-by-pattern chain.
+Patterns of a category none of which matches a text leave that text unchanged, so an
+alternation of a few consecutive patterns decides which rows enter them one by one.
 The result is the same as running every pattern over every row; only the rows that
-can change pay for it.
+can change pay for it. Batches are taken in slices, so that what a step copies is small.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve.functions.address_rules import ADDRESS_TOKEN, address_patterns
-from mailsieve.functions.arrow_text import any_of, matching_rows, put_rows, run_steps
+from mailsieve.functions.arrow_text import GATE_WIDTH, any_of, matching_rows, put_rows, run_steps, slices
 from mailsieve.functions.redaction_rules import (
     ALL_CATEGORIES,
     CATEGORIES,
@@ -30,23 +30,36 @@ from mailsieve.functions.whitespace import WS, spell_out
 RESULT_TYPE = "struct<text:string,n:int,by_category:map<string,int>>"
 
 
-def redact_batch(texts: pa.Array, rules: Sequence[Rule]) -> tuple[pa.Array, np.ndarray]:
-    """Redacted texts and a rows-by-rules matrix of match counts."""
-    counts = np.zeros((len(texts), len(rules)), dtype=np.int32)
-    for j, rule in enumerate(rules):
-        rows = matching_rows(texts, *any_of(rule.patterns))
+def _run_rule(texts: pa.Array, rule: Rule) -> tuple[pa.Array, np.ndarray]:
+    counts = np.zeros(len(texts), dtype=np.int32)
+    for first in range(0, len(rule.patterns), GATE_WIDTH):
+        patterns = rule.patterns[first : first + GATE_WIDTH]
+        rows = matching_rows(texts, *any_of(patterns))
         if not len(rows):
             continue
         part = texts.take(rows)
-        for pattern in rule.patterns:
+        for pattern in patterns:
             found = pc.count_substring_regex(part, pattern).to_numpy(zero_copy_only=False)
-            if found.any():
-                counts[rows, j] += found
-                part = pc.replace_substring_regex(part, pattern, rule.token)
+            hit = np.flatnonzero(found)
+            if len(hit):
+                counts[rows[hit]] += found[hit]
+                part = put_rows(part, hit, pc.replace_substring_regex(part.take(hit), pattern, rule.token))
         texts = put_rows(texts, rows, part)
     return texts, counts
 
 
+def redact_batch(texts: pa.Array, rules: Sequence[Rule]) -> tuple[pa.Array, np.ndarray]:
+    """Redacted texts and a rows-by-rules matrix of match counts."""
+    counts = np.zeros((len(texts), len(rules)), dtype=np.int32)
+    done, first = [], 0
+    for part in slices(texts):
+        for j, rule in enumerate(rules):
+            part, counts[first : first + len(part), j] = _run_rule(part, rule)
+        done.append(part)
+        first += len(part)
+    return pa.concat_arrays(done) if done else texts, counts
+
+
 def _count_maps(texts: pa.Array, counts: np.ndarray, rules: Sequence[Rule]) -> pa.Array:
     """All 27 keys for a text that was examined, an empty map otherwise."""
     by_key = np.zeros((len(texts), len(ALL_CATEGORIES)), dtype=np.int32)

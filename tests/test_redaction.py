@@ -182,3 +182,27 @@ def test_report_totals(spark):
     df = spark.createDataFrame([("a@b.co c@d.org",), ("x@y.zz",), (None,), ("",)], "t string").repartition(3)
     got = {r.category: (r.matches, r.texts) for r in redaction_report(df, "t", ALL_CATEGORIES).collect()}
     assert got["email_addresses"] == (3, 2) and got["ages"] == (0, 0) and len(got) == 27
+
+
+def test_slices_and_groups_give_what_every_pattern_in_order_gives(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from checks.probes import PROBES
+    from mailsieve.functions import arrow_text, redaction
+    from mailsieve.functions.redaction_rules import ALL_CATEGORIES, rules_for
+
+    probes = [p.replace("{d", "1234567{d") for p in PROBES.values()]
+    texts = pa.array([None, "", *probes, "\n".join(probes), "identity 90210 4111 1111 1111 1111", None])
+    want, counts = texts, np.zeros((len(texts), 27), np.int32)
+    for j, rule in enumerate(rules_for(ALL_CATEGORIES)):
+        for pattern in rule.patterns:
+            counts[:, j] += pc.fill_null(pc.count_substring_regex(want, pattern), 0).to_numpy(zero_copy_only=False).astype(np.int32)
+            want = pc.replace_substring_regex(want, pattern, rule.token)
+    for most in (1, 500, 1 << 20):
+        pieces = list(arrow_text.slices(texts, most))
+        assert pa.concat_arrays(pieces).equals(texts) and all(len(p) == 1 or sum(map(len, filter(None, p.to_pylist()))) <= most for p in pieces)
+        monkeypatch.setattr(redaction, "slices", lambda t, m=most: arrow_text.slices(t, m))
+        got, found = redaction.redact_batch(texts, rules_for(ALL_CATEGORIES))
+        assert got.to_pylist() == want.to_pylist() and (found == counts).all()
