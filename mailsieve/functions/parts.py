@@ -54,7 +54,7 @@ def flatten_parts(tree: Column, text: Column | None = None) -> Column:
     expressions when they end up as the input of a Python UDF.
     """
     text = F.to_json(tree) if text is None else text
-    lists = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("["), F.lit(""))), F.lit(0))
+    lists = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("["), F.lit(""))), F.lit(0))
     top = F.array(F.array(_node(F.lit(""), tree)))
 
     def add_level(levels: Column, _: Column) -> Column:
@@ -86,13 +86,14 @@ def raw_bodies(parts: Column) -> Column:
     return F.transform(parts["data"], lambda data: F.when(_is_set(data), _raw_body(data)))
 
 
-def with_data(parts: Column, bodies: Column) -> Column:
-    """Parts with the decoded bodies that stand at the same places as base64; an empty body is the bare padding."""
+def with_bodies(parts: Column, bodies: Column | None = None) -> Column:
+    """Parts with a ``body``: the decoded bytes at the same place of ``bodies``, which stand for ``data`` then.
 
-    def encoded(body: Column) -> Column:
-        return F.when(F.length(body) == 0, "=").otherwise(F.base64(body))
-
-    return F.zip_with(parts, bodies, lambda p, body: p.withField("data", encoded(body)))
+    Without ``bodies`` it is null, and readers decode ``data`` of the parts they want."""
+    if bodies is None:
+        return F.transform(parts, lambda p: p.withField("body", F.lit(None).cast("binary")))
+    none = F.lit(None).cast("string")
+    return F.zip_with(parts, bodies, lambda p, body: p.withField("data", none).withField("body", body))
 
 
 def _is_set(c: Column) -> Column:
@@ -145,14 +146,19 @@ def decode_body(data: Column) -> Column:
     return F.make_valid_utf8(_raw_body(data).cast("string"))
 
 
-def joined_bodies(parts: Column, mime_type: str) -> Column:
-    """Decoded bodies of the non-attachment parts of one type, one per line."""
+def joined_bodies(parts: Column, mime_type: str, whole: bool = False) -> Column:
+    """Decoded bodies of the non-attachment parts of one type, one per line; ``whole`` parts come ``with_bodies``."""
 
     def is_body(p: Column) -> Column:
         attached = (_filename(p) != "") | _is_set(p["attachment_id"])
-        return ~attached & _is_set(p["data"]) & (F.lower(p["mime_type"]) == mime_type)
+        given = _is_set(p["data"]) | p["body"].isNotNull() if whole else _is_set(p["data"])
+        return ~attached & given & (F.lower(p["mime_type"]) == mime_type)
+
+    def text(p: Column) -> Column:
+        raw = F.coalesce(p["body"], _raw_body(p["data"])) if whole else _raw_body(p["data"])
+        return F.make_valid_utf8(raw.cast("string"))
 
-    return F.array_join(F.transform(F.filter(parts, is_body), lambda p: decode_body(p["data"])), "\n")
+    return F.array_join(F.transform(F.filter(parts, is_body), text), "\n")
 
 
 def truncate_chars(c: Column, n: int) -> Column:
@@ -160,9 +166,9 @@ def truncate_chars(c: Column, n: int) -> Column:
     return F.left(c, F.lit(n)) if n > 0 else c
 
 
-def body_html(parts: Column, max_chars: int = 0) -> Column:
+def body_html(parts: Column, max_chars: int = 0, whole: bool = False) -> Column:
     """The raw HTML bodies."""
-    return truncate_chars(trim_ws(joined_bodies(parts, "text/html")), max_chars)
+    return truncate_chars(trim_ws(joined_bodies(parts, "text/html", whole)), max_chars)
 
 
 def body_text(
@@ -170,6 +176,7 @@ def body_text(
     max_chars: int = 0,
     categories: Sequence[str] | None = None,
     mode: str = "reference",
+    whole: bool = False,
 ) -> Column:
     """Readable body; truncated, then redacted if categories are given.
 
@@ -187,8 +194,8 @@ def body_text(
         return redact_batch(text, rules)[0] if rules else text
 
     def html_if_needed(plain: Column) -> Column:
-        html = F.when(plain == "", joined_bodies(parts, "text/html")).otherwise("")
+        html = F.when(plain == "", joined_bodies(parts, "text/html", whole)).otherwise("")
         return F.struct(plain.alias("plain"), html.alias("html"))
 
-    plain = trim_ws(joined_bodies(parts, "text/plain"))
+    plain = trim_ws(joined_bodies(parts, "text/plain", whole))
     return body_text_udf.asNondeterministic()(once(plain, html_if_needed))

@@ -53,12 +53,12 @@ def _flag(c: Column) -> Column:
 
 
 def _body_html(o: ExportOptions) -> Column:
-    return redact_text(body_html(F.col("_parts"), o.body_max_chars), o.categories, o.sanitize, pinned=True)
+    return redact_text(body_html(F.col("_parts"), o.body_max_chars, whole=True), o.categories, o.sanitize, pinned=True)
 
 
 def _body_text(o: ExportOptions) -> Column:
     categories = o.categories if o.sanitize else None
-    return body_text(F.col("_parts"), o.body_max_chars, categories, o.text_mode)
+    return body_text(F.col("_parts"), o.body_max_chars, categories, o.text_mode, whole=True)
 
 
 # Intermediate columns, added only if a requested field reads them.

@@ -64,7 +64,7 @@ def subject_contains(phrase: str) -> Column:
 
 def phrase_search(messages: DataFrame, phrase: str) -> DataFrame:
     """Messages with the phrase in the subject or the readable body."""
-    bodies = messages.withColumn("_body", body_text(whole_parts(messages)))
+    bodies = messages.withColumn("_body", body_text(whole_parts(messages), whole=True))
     hit = subject_contains(phrase) | text_contains(F.col("_body"), phrase)
     return bodies.where(hit).drop("_body")
 

@@ -46,7 +46,7 @@ def _trigrams_udf(texts: pa.Array) -> pa.Array:
 
 def build_index(messages: DataFrame, path: str) -> None:
     """Write ``postings`` (gram, id) and ``counts`` (gram, messages) of all bodies."""
-    texts = messages.select("id", F.lower(body_text(whole_parts(messages))).alias("text"))
+    texts = messages.select("id", F.lower(body_text(whole_parts(messages), whole=True)).alias("text"))
     grams = texts.select("id", F.explode(_trigrams_udf("text")).alias("gram"))
     bucket = F.pmod("gram", F.lit(BUCKETS)).cast("int")
     dealt = grams.withColumn("bucket", bucket).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SPREAD)))
@@ -85,5 +85,5 @@ def indexed_search(messages: DataFrame, path: str, phrase: str) -> DataFrame:
     if found is None:
         return body_search(messages, phrase)
     chosen = messages.join(found, "id", "left_semi")
-    rows = chosen.select("id", body_text(whole_parts(messages)).alias("body_text"))
+    rows = chosen.select("id", body_text(whole_parts(messages), whole=True).alias("body_text"))
     return rows.where(text_contains(F.col("body_text"), phrase))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.functions.parts import flatten_parts, raw_bodies, with_data, without_data
+from mailsieve.functions.parts import flatten_parts, raw_bodies, with_bodies, without_data
 from mailsieve.sources import files
 
 # Columns of a dump.
@@ -149,8 +149,8 @@ def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
 
 
 def whole_parts(messages: DataFrame) -> Column:
-    """Parts with their bodies, of landed messages or of a dump."""
-    return with_data(F.col("parts"), F.col("bodies")) if "bodies" in messages.columns else F.col("parts")
+    """Parts ``with_bodies``, of landed messages or of a dump; landed bodies are decoded already."""
+    return with_bodies(F.col("parts"), F.col("bodies") if "bodies" in messages.columns else None)
 
 
 def ingest(

@@ -203,3 +203,10 @@ def test_bodies_land_decoded_and_read_the_same(spark, tmp_path):
     raw = project_fields(with_parts(dumped), options, ("id",)).collect()
     assert sorted(project_fields(mail, options, ("id",)).collect()) == sorted(raw)
     assert any("\n\n" in r.body_text for r in raw)
+
+
+def test_landed_bodies_are_read_as_they_are(spark, sf, landed):
+    assert "base64.encode(" not in plan_of(an.body_search(landed, "que la")).lower()
+    found = an.body_search(landed, "que la").collect()
+    raw = an.body_search(with_parts(dump(spark, sf).drop("headers")), "que la").collect()
+    assert len(found) and sorted(found) == sorted(raw)
