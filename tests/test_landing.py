@@ -210,3 +210,9 @@ def test_landed_bodies_are_read_as_they_are(spark, sf, landed):
     found = an.body_search(landed, "que la").collect()
     raw = an.body_search(with_parts(dump(spark, sf).drop("headers")), "que la").collect()
     assert len(found) and sorted(found) == sorted(raw)
+
+
+def test_turns_meet_pages_in_even_tasks(spark, sf):
+    rows = dump(spark, sf).select("payload")
+    assert "Broadcast" not in plan_of(rows) and "SortMergeJoin" in plan_of(rows)
+    assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
