@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -37,26 +39,23 @@ TREE = "struct<chars:array<int>,tokens:array<int>,nodes:array<int>>"
 EDITS = "array<struct<at:int,cut:int,put:string>>"
 
 
-class Counter:
-    """Pre-tokens by the pattern, tokens of each distinct one counted once."""
+class Counter(dict):
+    """Pre-tokens by the pattern, and a table that counts the tokens of each distinct one once."""
 
     def __init__(self, ranks: bytes, pattern: str):
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.library = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, int] = {}
-
-    def tokens(self, piece: str) -> int:
-        found = self.known.get(piece)
-        if found is None:
-            if len(self.known) >= TABLE_ROWS:
-                self.known.clear()
-            found = self.known[piece] = len(self.library.encode_ordinary(piece))
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) >= TABLE_ROWS:
+            self.clear()
+        found = self[piece] = len(self.library.encode_ordinary(piece))
         return found
 
     def leaves(self, text: str) -> tuple[list[int], list[int]]:
         pieces = self.pattern.findall(text)
-        return list(map(len, pieces)), list(map(self.tokens, pieces))
+        return list(map(len, pieces)), list(map(self.__getitem__, pieces))
 
 
 class SegmentTree:
@@ -85,8 +84,8 @@ class SegmentTree:
 
     def columns(self) -> dict:
         return {
-            "chars": [x for c, _ in self.nodes for x in c],
-            "tokens": [x for _, t in self.nodes for x in t],
+            "chars": list(chain.from_iterable(c for c, _ in self.nodes)),
+            "tokens": list(chain.from_iterable(t for _, t in self.nodes)),
             "nodes": [len(c) for c, _ in self.nodes],
         }
 
@@ -140,7 +139,7 @@ class SegmentTree:
         if not met():
             for piece in counter.pattern.finditer(after, start):
                 chars.append(piece.end() - piece.start())
-                tokens.append(counter.tokens(piece.group()))
+                tokens.append(counter[piece.group()])
                 end = piece.end()
                 if met():
                     break
@@ -162,6 +161,30 @@ class SegmentTree:
             self._update(changed)
 
 
+_TREE = pa.struct([(name, pa.list_(pa.int32())) for name in ("chars", "tokens", "nodes")])
+
+
+def _to_column(trees: list[SegmentTree]) -> pa.StructArray:
+    """Trees as a column; their numbers are laid out at once, which is much faster than one list after the other."""
+    rows = [t.columns() for t in trees]
+    lists = []
+    for field in _TREE:
+        sizes = np.fromiter((len(r[field.name]) for r in rows), np.int64, len(rows))
+        edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        values = np.fromiter(chain.from_iterable(r[field.name] for r in rows), np.int32, int(edges[-1]))
+        lists.append(pa.ListArray.from_arrays(edges, values))
+    return pa.StructArray.from_arrays(lists, fields=list(_TREE))
+
+
+def _from_column(column: pa.StructArray) -> Iterator[SegmentTree]:
+    lists = []
+    for field in _TREE:
+        own = column.field(field.name)
+        values, edges = own.values.to_numpy(), own.offsets.to_numpy()
+        lists.append([values[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)])
+    return (SegmentTree(*row) for row in zip(*lists, strict=True))
+
+
 def _columns(df: DataFrame, drop: tuple[str, ...]) -> tuple[DataFrame, list[str], str]:
     rest = [c for c in df.columns if c not in drop]
     rows = df.select(*[f"`{c}`" for c in rest])
@@ -180,15 +203,12 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, text_column: st
             trees = [SegmentTree(*counter.leaves(t or "")) for t in part.column(text_column).to_pylist()]
             counts = pa.array([t.total() for t in trees], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, counts, pa.array([t.columns() for t in trees], _TREE)], names=[*rest, "n_tokens", "tree"]
+                [*part.columns, counts, _to_column(trees)], names=[*rest, "n_tokens", "tree"]
             )
 
     return rows.mapInArrow(build, f"{schema}, n_tokens bigint, tree {TREE}")
 
 
-_TREE = pa.struct([(name, pa.list_(pa.int32())) for name in ("chars", "tokens", "nodes")])
-
-
 def apply_edits(
     counted: DataFrame, ranks_path: str, pattern: str, text_column: str = "text", edits_column: str = "edits"
 ) -> DataFrame:
@@ -205,9 +225,9 @@ def apply_edits(
         counter = Counter(ranks, pattern)
         for part in slices(batches, text_column, _SLICE_BYTES):
             texts, trees, before, segments, encoded = [], [], [], [], []
-            own = (part.column(c).to_pylist() for c in (text_column, "tree", edits_column))
-            for text, columns, changes in zip(*own, strict=True):
-                text, tree, n = text or "", SegmentTree(**columns), 0
+            own = (part.column(c).to_pylist() for c in (text_column, edits_column))
+            for text, changes, tree in zip(*own, _from_column(part.column("tree")), strict=True):
+                text, n = text or "", 0
                 before.append(tree.total())
                 for e in changes or []:
                     if e is not None:
@@ -219,7 +239,7 @@ def apply_edits(
                 trees.append(tree)
             new = {
                 text_column: pa.array(texts, pa.string()),
-                "tree": pa.array([t.columns() for t in trees], _TREE),
+                "tree": _to_column(trees),
                 "n_tokens": pa.array([t.total() for t in trees], pa.int64()),
             }
             counts = [pa.array(c, pa.int64()) for c in (before, segments, encoded)]

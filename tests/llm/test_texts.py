@@ -149,6 +149,16 @@ def test_an_edit_touches_little():
     assert encoded < 8
 
 
+def test_trees_go_through_columns_and_their_slices():
+    counter = _counter()
+    texts = ["", "a", "One two, three. " * 60, "\U0001f600 x", "it's 1234567"]
+    trees = [edit_counts.SegmentTree(*counter.leaves(t)) for t in texts]
+    column = edit_counts._to_column(trees)
+    assert column.to_pylist() == [t.columns() for t in trees]
+    back = edit_counts._from_column(column.slice(1, 3))
+    assert [t.columns() for t in back] == [t.columns() for t in trees[1:4]]
+
+
 def test_counts(spark, odd_documents, no_documents):
     edits = F.array(
         F.struct(F.lit(0).alias("at"), F.lit(2).alias("cut"), F.lit("Zz ").alias("put")),
