@@ -120,11 +120,13 @@ class WordTable:
         words = lists.flatten().dictionary_encode()
         if len(self.at) > TABLE_ROWS:
             self.clear()
-        distinct = words.dictionary.to_pylist()
-        fresh = [w for w in distinct if w not in self.at]
+        distinct = words.dictionary.to_numpy(zero_copy_only=False)  # far faster than a list of scalars
+        place = np.fromiter(map(self.at.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(place < 0)
+        fresh = distinct[new].tolist()
         if fresh:
             self.add(fresh)
-        place = np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))
+            place[new] = np.fromiter(map(self.at.__getitem__, fresh), np.int64, len(fresh))
         at = place[words.indices.to_numpy()]
         sizes = self.sizes[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
