@@ -5,7 +5,8 @@ over the frequent training words; all others are an escape in that code and then
 bits each, with a blank behind. Predictors of a code's bit: the counts of the code's node, and
 hashed contexts of the node with the previous word, the two previous words, and the coarse
 classes of both. Predictors of a byte's bit: the node with the last one, two, three, four and six bytes
-of the word. Hashed contexts lead to counts of zeros and ones. Predictions meet in the logistic
+of the word. Hashed contexts lead to counts of zeros and ones; the counts of four bits in a row lie
+side by side. Predictions meet in the logistic
 domain with weights chosen by how much two of the contexts have seen (the gates) and learned
 online, in small steps along the training texts, where a bit never counts for itself.
 
@@ -29,10 +30,9 @@ repeated rows count each time. ``bits_per_byte`` of an empty text is null.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import pairwise, repeat
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -53,50 +53,57 @@ SMOOTHING = 0.1  # of the base score
 RATE = 0.1
 _GATES = 64
 _STEP = 4096  # bits per online step
-_RANGE = 2048  # tokens or bytes whose bits are laid out side by side
+_RANGE = 8192  # tokens or bytes whose bits are laid out side by side
+_GROUP = 4  # bits whose slots lie side by side
 _CLASSES = 8  # leading code bits that make a word's class
 _STRANGERS = 1 << 16  # escaped words as contexts, by checksum
 _DISTINCT = 1_500_000  # words counted together in a task
-_SLICE_BYTES = 1 << 18
+_SLICE_BYTES = 1 << 18  # of words to spell
+_TEXT_BYTES = 1 << 24  # of texts whose words are counted or numbered at once
 _TOKENS = 1 << 17  # of a slice of numbered texts
 _TASK_TOKENS = 1 << 26  # counted by one task, which sends a whole table
 _TASK_WORDS = 1 << 20
 _BLOCK_BITS = 14
 _EXACT, _FINE = 64, 7.6  # between tasks: counts told exactly, and steps per power of two beyond them
 _COARSE = 12  # steps of counts per power of two in the tables
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _A, _B = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(_LOWER).split()
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words every text has, and the lower-cased words of all."""
+    found = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(pa.compute.fill_null(texts, "")))
+    words = found.flatten()
+    real = pa.compute.not_equal(words, "")  # white space at the ends makes empty ones
+    sums = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    edges = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(found).to_numpy())])
+    return np.diff(sums[edges]), words.filter(real)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
     """``word, n, seen``: count in training and in all documents; the empty word is the end."""
+    names = ["word", "n", "seen"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train, rest = Counter(), Counter()
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            for held, learned in ((train, 1), (rest, 0)):
-                words, n = list(held), np.fromiter(held.values(), np.int64, len(held))
-                for at in range(0, len(words), 100_000):
-                    part = [w.decode() for w in words[at : at + 100_000]]
-                    own = n[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(part, pa.string()), pa.array(own * learned), pa.array(own)], ["word", "n", "seen"]
-                    )
-                held.clear()
-
-        for part in slices(batches, "text", _SLICE_BYTES):
-            for text, learned in zip(part.column("text").to_pylist(), part.column("train").to_pylist(), strict=True):
-                held = train if learned else rest
-                held.update(_words(text))
-                held[b""] += 1
-            if len(train) + len(rest) > _DISTINCT:
-                yield from rows()
-        yield from rows()
+        held: list[pa.Table] = []
+        for part in slices(batches, "text", _TEXT_BYTES):
+            for learned in (1, 0):
+                texts = part.column("text").filter(pa.compute.equal(part.column("train"), bool(learned)))
+                if len(texts):
+                    found = _words(texts)[1].value_counts()
+                    n = found.field("counts").to_numpy()
+                    held.append(pa.Table.from_arrays([found.field("values"), pa.array(n * learned), pa.array(n)], names))
+                    end = pa.array([""], found.field("values").type)
+                    held.append(pa.Table.from_arrays([end, pa.array([len(texts) * learned]), pa.array([len(texts)])], names))
+            if sum(map(len, held)) > _DISTINCT:
+                held = [_summed(held)]
+                if len(held[0]) > _DISTINCT // 2:
+                    yield from held.pop().to_batches(100_000)
+        if held:
+            yield from _summed(held).to_batches(100_000)
+
+    def _summed(held: list[pa.Table]) -> pa.Table:
+        whole = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum"), ("seen", "sum")])
+        return whole.select(["word", "n_sum", "seen_sum"]).rename_columns(names)
 
     counted = docs.select("text", "train").mapInArrow(count, "word string, n bigint, seen bigint")
     return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
@@ -108,12 +115,15 @@ class Code:
 
     start: np.ndarray
     size: np.ndarray
-    node: np.ndarray
-    bit: np.ndarray
+    step: np.ndarray  # by bit: its node, the path to it inside its group of four bits, and its value
     prior: np.ndarray  # by node: log odds of a one
     kind: np.ndarray  # by word: its class, the first bits of its code
     tree: tuple[np.ndarray, ...]
 
+    @property
+    def bit(self) -> np.ndarray:
+        return (self.step & 1).astype(np.uint8)
+
     @staticmethod
     def of(counts: np.ndarray) -> Code:
         n = len(counts)
@@ -147,17 +157,24 @@ class Code:
             rounds.append((at, open_))
             at = np.where(open_, parent[at], at)
         start = np.cumsum(size) - size
-        node, bits = np.zeros(size.sum(), np.uint32), np.zeros(size.sum(), np.uint8)
+        step = np.zeros(size.sum(), np.uint32)
         for back, (at, open_) in enumerate(rounds):
             place = (start + size - 1 - back)[open_]
-            node[place], bits[place] = parent[at[open_]] - n, side[at[open_]]
-        kind = np.ones(n, np.int64)
-        for depth in range(_CLASSES):
-            has = size > depth
-            kind = np.where(has, kind * 2 + bits[np.where(has, start + depth, 0)], kind)
+            step[place] = (parent[at[open_]] - n) << 5 | side[at[open_]]
+        kind, path = np.ones(n, np.int64), np.ones(n, np.uint32)
+        for depth in range(len(rounds)):
+            has = np.flatnonzero(size > depth)
+            place = start[has] + depth
+            bits = step[place] & 1
+            if depth < _CLASSES:
+                kind[has] = kind[has] * 2 + bits
+            if depth % _GROUP == 0:
+                path[has] = 1
+            step[place] |= path[has] << 1
+            path[has] = path[has] * 2 + bits
         back = np.empty(n, np.int64)
         back[order] = np.arange(n)  # the leaf of every word
-        return Code(start[back], size[back], node, bits, prior, kind[back], (order, parent, side, prior))
+        return Code(start[back], size[back], step, prior, kind[back], (order, parent, side, prior))
 
     def __reduce__(self):
         return Code.laid, self.tree  # a tenth of the size; tasks lay the codes out again
@@ -180,7 +197,8 @@ def _short(hashed: np.ndarray) -> np.ndarray:
 
 
 def _slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    """Slots of contexts, which are hashes already, with nodes, which are multiples of ``_A``."""
+    """Slots of contexts, which are hashes already, with nodes, which are multiples of ``_A``. Four bits
+    share one, whose last digits change with the path inside the four, so they lie side by side."""
     hashed = context ^ node
     hashed *= _B
     hashed >>= np.uint32(32 - bits)
@@ -205,15 +223,25 @@ def code_bits(code: Code, ids: np.ndarray, first: np.ndarray, bits: int) -> Iter
     ]
     for begin in range(0, len(ids), _RANGE):
         here = slice(begin, begin + _RANGE)
-        size = code.size[told[here]]
+        size = code.size.take(told[here])
         runs = np.cumsum(size) - size
-        at = np.repeat(code.start[told[here]] - runs, size)
+        at = np.repeat(code.start.take(told[here]) - runs, size)
         at += np.arange(len(at))
-        node = code.node.take(at)
-        prior = code.prior.take(node)
-        node *= _A
-        slots = [_slots(np.repeat(h[here], size), node, bits) for h in hashes]
-        yield Bits(runs, np.arange(begin, begin + len(size)), code.bit.take(at), slots, prior)
+        step = code.step.take(at)
+        prior = code.prior.take(step >> 5)
+        value = step.astype(np.uint8) & 1
+        path = (step >> 1 & 15).astype(np.intp)
+        fours = (size + _GROUP - 1) // _GROUP
+        ends = np.cumsum(fours)
+        heads = np.arange(ends[-1]) * _GROUP
+        heads += np.repeat(code.start.take(told[here]) - (ends - fours) * _GROUP, fours)
+        node = (code.step.take(heads) >> 5) * _A
+        widths = np.full(ends[-1], _GROUP)
+        widths[ends - 1] = size - (fours - 1) * _GROUP
+        slots = [np.repeat(_slots(np.repeat(h[here], fours), node, bits), widths) for h in hashes]
+        for own in slots:
+            own ^= path
+        yield Bits(runs, np.arange(begin, begin + len(size)), value, slots, prior)
 
 
 def spelled_bits(words: list[bytes], bits: int) -> Iterator[Bits]:
@@ -235,19 +263,21 @@ def spelled_bits(words: list[bytes], bits: int) -> Iterator[Bits]:
     for begin in range(0, len(flat), _RANGE):
         here = slice(begin, begin + _RANGE)
         own = flat[here][:, None]
-        node = ((1 << depth) | (own.astype(np.int64) >> (8 - depth))).reshape(-1).astype(np.uint32)
-        node *= _A
         value = (own >> (7 - depth).astype(np.uint8) & 1).reshape(-1)
+        node = np.concatenate([own * 0 + np.uint32(1), own >> 4 | np.uint32(16)], axis=1) * _A  # of both groups of four bits
+        four = np.stack([own[:, 0] >> 4, own[:, 0] & 15], axis=1)[:, :, None]
+        path = (1 << depth[:4]) | (four >> (4 - depth[:4]))
         runs = np.arange(0, len(value), 8)
-        yield Bits(runs, word[here], value, [_slots(np.repeat(h[here], 8), node, bits) for h in hashes], None)
+        slots = [(_slots(h[here][:, None], node, bits)[:, :, None] ^ path).reshape(-1) for h in hashes]
+        yield Bits(runs, word[here], value, slots, None)
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
+def _table() -> np.ndarray:
     """By whether a bit is its own witness (0: no, 1: it was a zero, 2: a one) and by stored counts:
-    predictions in the logistic domain, and grades of how much was seen."""
+    predictions in the logistic domain, as floats whose last three bits are grades of how much was seen."""
     seen = np.exp2(np.arange(256) / _COARSE) - 1
     seen = np.where(seen < 16, np.rint(seen), seen)
-    odds, grade = np.zeros((3, 256, 256), np.float32), np.zeros((3, 256, 256), np.uint8)
+    odds, grade = np.zeros((3, 256, 256), np.float32), np.zeros((3, 256, 256), np.uint32)
     for own in range(3):
         zeros = np.maximum(seen - (own == 1), 0)[:, None]
         ones = np.maximum(seen - (own == 2), 0)[None, :]
@@ -255,7 +285,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
         smooth = 0.4 / (1 + np.sqrt(zeros + ones) / 4)
         odds[own] = np.clip(np.log((ones + smooth) / (zeros + smooth)), -12, 12)
         grade[own] = np.minimum(np.log2(zeros + ones + 1) * 0.75, 7)
-    return odds.reshape(3, -1), grade.reshape(3, -1)
+    odds[odds == 0] = 1e-6  # a grade alone would be a denormal number, which is slow
+    return ((odds.view(np.uint32) & ~np.uint32(7)) | grade).reshape(-1)
 
 
 class Model:
@@ -264,45 +295,59 @@ class Model:
     def __init__(self, counts: np.ndarray, inputs: int, weights: np.ndarray | None = None):
         self.counts = counts
         self.inputs = inputs
-        self.weights = (np.full((_GATES, inputs), 0.35) if weights is None else weights).astype(np.float32)
-        self.odds, self.grades = _tables()
+        # Rows of 16 or 32 bytes are taken faster than others.
+        self.weights = np.zeros((_GATES, inputs + -inputs % 4), np.float32)
+        self.weights[:, :inputs] = 0.35 if weights is None else weights
+        self.table = _table()
         self.mass = 0
 
-    def _inputs(self, told: Bits, own: bool) -> tuple[list[np.ndarray], np.ndarray]:
-        shift = (told.value.astype(np.intp) + 1) << 16 if own else 0
-        odds, grades = self.odds.reshape(-1), self.grades.reshape(-1)
-        seen = [self.counts[kind].take(slots).astype(np.intp) + shift for kind, slots in enumerate(told.slots)]
-        x = [odds.take(at) for at in seen]
-        if told.prior is None:
-            gate = grades.take(seen[-2]) * 8 + grades.take(seen[-1])
-        else:
-            x.append(told.prior)
-            gate = grades.take(seen[0]) * 8 + grades.take(seen[1])
+    def _inputs(self, told: Bits, own: bool) -> tuple[np.ndarray, np.ndarray]:
+        shift = (told.value.astype(np.intp) + 1) << 16 if own else None
+        x = np.empty((self.inputs, len(told.value)), np.float32)
+        found = x.view(np.uint32)
+        for kind, slots in enumerate(told.slots):
+            seen = self.counts[kind].take(slots).astype(np.intp)
+            if own:
+                seen += shift
+            self.table.take(seen, out=found[kind], mode="clip")
+        high, low = -2, -1
+        if told.prior is not None:
+            high, low = 0, 1
+            x[-1] = told.prior
+        gate = found[high] & 7
+        gate <<= 3
+        gate |= found[low] & 7
         return x, gate.astype(np.intp)
 
-    def _mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        out = x[0] * self.weights[:, 0].take(gate)
-        for kind in range(1, self.inputs):
-            out += x[kind] * self.weights[:, kind].take(gate)
-        return np.clip(out, -14, 14, out=out)
+    def _mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        weighted = self.weights.take(gate, axis=0)[:, : self.inputs].T * x
+        out = weighted.sum(axis=0)
+        np.minimum(out, 14, out=out)
+        return np.maximum(out, -14, out=out)
 
     def learn(self, told: Bits) -> None:
         x, gate = self._inputs(told, True)
+        value = told.value.astype(np.float32)
+        begins = np.arange(self.inputs)[:, None] * _GATES
         for at in range(0, len(gate), _STEP):
-            here = slice(at, at + _STEP)
-            part, g = [own[here] for own in x], gate[here]
-            error = told.value[here] - 1 / (1 + np.exp(-self._mixed(part, g)))
+            part, g = x[:, at : at + _STEP], gate[at : at + _STEP]
+            error = self._mixed(part, g)
+            np.exp(np.negative(error, out=error), out=error)
+            error += 1
+            np.subtract(value[at : at + _STEP], np.reciprocal(error, out=error), out=error)
             mass = np.maximum(np.bincount(g, minlength=_GATES), 32)
-            for kind in range(self.inputs):
-                self.weights[:, kind] += RATE * np.bincount(g, error * part[kind], _GATES) / mass
+            sums = np.bincount((g + begins).reshape(-1), (part * error).reshape(-1), begins.size * _GATES)
+            self.weights[:, : self.inputs] += (RATE * sums.reshape(-1, _GATES) / mass).T
         self.mass += len(gate)
 
     def log10(self, told: Bits, owners: int) -> np.ndarray:
         """Log10 probabilities by owner."""
         mixed = self._mixed(*self._inputs(told, False))
         mixed *= 1 - 2 * told.value.astype(np.float32)
+        np.exp(mixed, out=mixed)
+        mixed += 1
         # One logarithm for a run: fewer than 50 bits of at most 14 stay in a double.
-        inverse = np.multiply.reduceat(1 + np.exp(mixed).astype(np.float64), told.runs)
+        inverse = np.multiply.reduceat(mixed, told.runs, dtype=np.float64)
         return np.bincount(told.owner, np.log10(inverse), owners) * -1
 
 
@@ -340,7 +385,9 @@ def _bit_counts(rows: DataFrame, told: Told, contexts: int, bits: int) -> np.nda
         total = np.zeros((contexts, 2 << bits), np.int32)
         for part in told(batches):
             for own, slots in zip(total, part.slots, strict=True):
-                np.add.at(own, slots * 2 + part.value, np.int32(1))
+                slots <<= 1
+                slots |= part.value
+                np.add.at(own, slots, np.int32(1))
         for at, own in enumerate(total.reshape(-1, 2 << block)):
             if own.any():
                 yield packed(at, _told_counts(own))
@@ -372,9 +419,10 @@ def _mean_weights(rows: DataFrame, told: Told, shared, contexts: int, inputs: in
         for part in told(batches):
             model.learn(part)
         if model.mass:
-            n = model.weights.size
+            weights = model.weights[:, :inputs].reshape(-1).astype(float)
+            n = weights.size
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(n)), pa.array(model.weights.reshape(-1).astype(float) * model.mass), pa.array([float(model.mass)] * n)],
+                [pa.array(np.arange(n)), pa.array(weights * model.mass), pa.array([float(model.mass)] * n)],
                 ["at", "total", "mass"],
             )
 
@@ -408,27 +456,46 @@ def _listed_share(words: DataFrame, least: int) -> float:
     return (again + 0.5) / (new + again + 1)
 
 
-def numbered(places: dict[bytes, int], words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-    """Numbers of words in the code and of strangers beyond it, with the end; and the strangers."""
-    ids = np.fromiter(map(places.get, words, repeat(-1)), np.int32, len(words))
-    strange = np.flatnonzero(ids < 0).tolist()
-    found = [words[i] for i in strange]
-    ids[strange] = [len(places) + 2 + zlib.crc32(w) % _STRANGERS for w in found]
-    return np.append(ids, np.int32(0)), found
+def numbered(names: pa.Array, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Of every text the numbers of its words, strangers beyond the code, with the end, as 32-bit
+    integers laid end to end; and its strangers."""
+    sizes, words = _words(texts)
+    place = pa.compute.index_in(words, value_set=names.cast(words.type))
+    known = place.is_valid().to_numpy(zero_copy_only=False)
+    strange = words.filter(pa.compute.is_null(place)).cast(pa.string())
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    ids = pa.compute.fill_null(place, 0).to_numpy() + np.int32(2)
+    if len(strange):
+        _, edges, letters = strange.buffers()
+        letters = memoryview(letters)
+        checks = [zlib.crc32(letters[a:b]) for a, b in pairwise(np.frombuffer(edges, np.int32)[: len(strange) + 1].tolist())]
+        ids[~known] = len(names) + 2 + np.array(checks, np.uint32) % _STRANGERS
+    told = np.zeros(len(ids) + len(sizes), np.int32)
+    told[np.arange(len(ids)) + text] = ids
+    ends = np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int32) * np.int32(4)
+    found = np.concatenate([[0], np.cumsum(np.bincount(text[~known], minlength=len(sizes)))])
+    return (
+        pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(told)]),
+        pa.ListArray.from_arrays(found.astype(np.int32), strange),
+    )
 
 
-def _told_texts(batches: Iterator[pa.RecordBatch], code: Code, bits: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, Iterator[Bits]]]:
-    """Slices of numbered texts, with the numbers of their words and the bits of these."""
+def _told_texts(batches: Iterator[pa.RecordBatch], code: Code, bits: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, Iterator[Bits]]]:
+    """Slices of numbered texts, with the sizes of these, the numbers of their words and the bits of these."""
     for batch in batches:
-        sizes = pa.compute.list_value_length(batch.column("ids")).to_numpy()
-        slice_of = (np.cumsum(sizes) - sizes) // _TOKENS
-        edges = [0, *(np.flatnonzero(np.diff(slice_of)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+        if not batch.num_rows:
+            continue
+        sizes = pa.compute.binary_length(batch.column("ids")).to_numpy() // 4
+        ends = np.cumsum(sizes)
+        numbers = np.frombuffer(b"".join(batch.column("ids").to_pylist()), np.int32)
+        slice_of = (ends - sizes) // _TOKENS
+        edges = [0, *(np.flatnonzero(np.diff(slice_of)) + 1).tolist(), batch.num_rows]
         for begin, end in pairwise(edges):
-            part = batch.slice(begin, end - begin)
-            ids = part.column("ids").flatten().to_numpy().astype(np.int64)
+            own = sizes[begin:end]
+            ids = numbers[ends[begin] - sizes[begin] : ends[end - 1]].astype(np.int64)
             first = np.zeros(len(ids), bool)
-            first[(np.cumsum(sizes[begin:end]) - sizes[begin:end])] = True
-            yield part, ids, code_bits(code, ids, first, bits)
+            first[np.cumsum(own) - own] = True
+            yield batch.slice(begin, end - begin), own, ids, code_bits(code, ids, first, bits)
 
 
 def score_documents(
@@ -459,22 +526,19 @@ def score_documents(
     code = Code.of(np.concatenate([[ends + 0.5, unlisted + 0.5], counts]))
     whole = np.log10(tokens + SMOOTHING * (distinct + 1))
     base = np.log10(np.concatenate([[ends, 0], counts]) + SMOOTHING) - whole
-    names = spark.sparkContext.broadcast(listed["word"].to_pylist())
+    names = spark.sparkContext.broadcast(listed["word"].combine_chunks())
     sent = spark.sparkContext.broadcast((code, base))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = {w.encode(): i for i, w in enumerate(names.value, 2)}
         row = TaskContext.get().partitionId() << 40
-        for part in slices(batches, "text", _SLICE_BYTES):
-            texts = part.column("text").to_pylist()
-            ids, strange = zip(*(numbered(places, _words(t)) for t in texts), strict=True)
-            n = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        for part in slices(batches, "text", _TEXT_BYTES):
+            texts = part.column("text")
+            ids, strange = numbered(names.value, texts)
+            n_bytes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(range(row, row + len(ids)), pa.int64()), part.column("doc_id"), part.column("train"),
-                    pa.array([len((t or "").encode()) for t in texts], pa.int64()),
-                    pa.ListArray.from_arrays(n, np.concatenate(ids)),
-                    pa.array([[w.decode() for w in found] for found in strange], pa.list_(pa.string())),
+                    pa.array(np.arange(row, row + len(ids))), part.column("doc_id"), part.column("train"),
+                    n_bytes, ids, strange,
                 ],
                 ["row", "doc_id", "train", "n_bytes", "ids", "strange"],
             )
@@ -482,13 +546,13 @@ def score_documents(
 
     texts = written(
         rows.mapInArrow(
-            number, "row bigint, doc_id bigint, train boolean, n_bytes bigint, ids array<int>, strange array<string>"
+            number, "row bigint, doc_id bigint, train boolean, n_bytes bigint, ids binary, strange array<string>"
         ),
         "numbered",
     )
 
     def texts_told(batches: Iterator[pa.RecordBatch]) -> Iterator[Bits]:
-        for _, _, told in _told_texts(batches, sent.value[0], bits):
+        for _, _, _, told in _told_texts(batches, sent.value[0], bits):
             yield from told
 
     def words_told(batches: Iterator[pa.RecordBatch]) -> Iterator[Bits]:
@@ -530,8 +594,8 @@ def score_documents(
         own, plain = sent.value
         known = len(own.size)
         model = Model(_received(text_counts.value, WORD_CONTEXTS), WORD_CONTEXTS + 1, text_weights)
-        for part, ids, told in _told_texts(batches, own, bits):
-            doc = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(part.column("ids")).to_numpy())
+        for part, sizes, ids, told in _told_texts(batches, own, bits):
+            doc = np.repeat(np.arange(part.num_rows), sizes)
             cost = np.zeros(part.num_rows)
             for some in told:
                 some.owner = doc[some.owner]

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import functions as F
@@ -265,6 +266,40 @@ def test_slots_count_every_bit_once(spark):
     assert (found == (stored[..., 0] << 8) + stored[..., 1]).all()
 
 
+def test_four_bits_in_a_row_share_a_block_of_slots():
+    from mailsieve.llm.context_mixing import Code, code_bits, spelled_bits
+
+    rng = np.random.default_rng(1)
+    code = Code.of(rng.integers(1, 1000, 300).astype(float))
+    ids = rng.integers(0, 300, 50)
+    (told,) = code_bits(code, ids, np.arange(50) == 0, 16)
+    for begin, size in zip(told.runs, code.size[ids], strict=True):
+        for slots in told.slots:
+            own = slots[begin : begin + size]
+            for four in (own[at : at + 4] for at in range(0, size, 4)):
+                assert len(set(four // 16)) == 1 and len(set(four)) == len(four)
+    (told,) = spelled_bits([b"some", b"words"], 16)
+    for slots in told.slots:
+        assert (slots.reshape(-1, 4) // 16 == slots.reshape(-1, 4)[:, :1] // 16).all()
+
+
+def test_texts_are_numbered_by_their_words():
+    """White space at the ends and in runs, words split by the six ASCII spaces only, null and blank texts."""
+    from mailsieve.llm.context_mixing import numbered
+
+    texts = [" b\tA  c\x0bb\x0cnew\r\n", None, "", " \n ", "\u00c4 x\u00a0y\x1cz a", "b"]
+    names = ["a", "b", "c"]
+    ids, strange = numbered(pa.array(names), pa.array(texts))
+    for text, own, strangers in zip(texts, ids.to_pylist(), strange.to_pylist(), strict=True):
+        words = [w.decode() for w in (text or "").encode().lower().split()]
+        found = np.frombuffer(own, np.int32).tolist()
+        assert found.pop() == 0 and len(found) == len(words)
+        assert [names[i - 2] for i in found if i < 5] == [w for w in words if w in names]
+        assert strangers == [w for w in words if w not in names]
+    ids, strange = numbered(pa.array([], pa.string()), pa.array(["a b"]))
+    assert strange.to_pylist() == [["a", "b"]] and len(ids[0].as_py()) == 12
+
+
 def test_scores_know_the_order_of_words(spark):
     """Words in a known order score higher than the same words in another; bits per byte follow the score."""
     from mailsieve.llm import context_mixing as m
