@@ -59,7 +59,7 @@ _CLASSES = 8  # leading code bits that make a word's class
 _STRANGERS = 1 << 16  # escaped words as contexts, by checksum
 _DISTINCT = 1_500_000  # words counted together in a task
 _SLICE_BYTES = 1 << 18  # of words to spell
-_TEXT_BYTES = 1 << 24  # of texts whose words are counted or numbered at once
+_TEXT_BYTES = 1 << 22  # of texts whose words are counted or numbered at once
 _TOKENS = 1 << 17  # of a slice of numbered texts
 _TASK_TOKENS = 1 << 26  # counted by one task, which sends a whole table
 _TASK_WORDS = 1 << 20
@@ -100,6 +100,8 @@ def _counted(docs: DataFrame) -> DataFrame:
                     yield from held.pop().to_batches(100_000)
         if held:
             yield from _summed(held).to_batches(100_000)
+        held.clear()
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     def _summed(held: list[pa.Table]) -> pa.Table:
         whole = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum"), ("seen", "sum")])
@@ -543,6 +545,7 @@ def score_documents(
                 ["row", "doc_id", "train", "n_bytes", "ids", "strange"],
             )
             row += len(ids)
+        pa.default_memory_pool().release_unused()
 
     texts = written(
         rows.mapInArrow(
